@@ -7,6 +7,7 @@ from pyspark.sql import functions as pf
 
 from barloom.functions.arrays import let
 from barloom.functions.numbers import round_half_up
+from barloom.functions.rows import each
 from barloom.functions.sql import F, Sql
 
 SHAPE_TYPE = "struct<shape:string,label:string,points:array<struct<ts:bigint,price:double>>>"
@@ -174,11 +175,9 @@ def pattern_geometry(rows: DataFrame) -> DataFrame:
     drawn = F.transform(
         F.col("patterns"), lambda h: F.struct(("group_id", group_id(h.kind)), ("shapes", hit_shapes(h)))
     )
-    return (
-        rows.select("symbol", pf.posexplode(drawn.column()).alias("hit_no", "d"))
-        .select("symbol", "hit_no", "d.group_id", pf.posexplode("d.shapes").alias("shape_no", "s"))
-        .select("symbol", "hit_no", "shape_no", "group_id", "s.*")
-    )
+    hits = each(rows, drawn, "symbol", no="hit_no").select("symbol", "hit_no", "x.*")
+    keep = ("symbol", "hit_no", "group_id")
+    return each(hits, "shapes", *keep, no="shape_no").select("symbol", "hit_no", "shape_no", "group_id", "x.*")
 
 
 # Fixed values.
@@ -258,8 +257,8 @@ def thesis_layers(summary: DataFrame, theses: DataFrame, zone_ts: DataFrame) ->
     layers = F.concat(
         context, F.when(setup.isNotNull(), action).otherwise(F.array().cast(f"array<{SHAPE_TYPE}>"))
     )
-    return df.select("symbol", pf.posexplode(layers.column()).alias("layer_no", "s")).select(
-        "symbol", "layer_no", pf.lit(THESIS_GROUP).alias("group_id"), "s.*"
+    return each(df, layers, "symbol", no="layer_no").select(
+        "symbol", "layer_no", pf.lit(THESIS_GROUP).alias("group_id"), "x.*"
     )
 
 

@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as pf
-
+from barloom.functions.rows import each
 from barloom.functions.sql import F, Sql
 from barloom.operators.patterns.basins import cup_handle_hits, rounding_bottom_hits, rounding_unless_cup
 from barloom.operators.patterns.breach import breach_guard
@@ -69,14 +68,10 @@ def with_patterns(rows: DataFrame) -> DataFrame:
 
 def hit_rows(rows: DataFrame, column: str = "patterns") -> DataFrame:
     """One row per hit."""
-    return rows.select("symbol", pf.posexplode(column).alias("hit_no", "h")).select("symbol", "hit_no", "h.*")
+    return each(rows, column, "symbol", no="hit_no").select("symbol", "hit_no", "x.*")
 
 
 def hit_points(hits: DataFrame) -> DataFrame:
     """One row per anchor of every hit."""
-    return hits.select(
-        "symbol",
-        "hit_no",
-        "kind",
-        pf.posexplode("points").alias("point_no", "p"),
-    ).select("symbol", "hit_no", "kind", "point_no", "p.ts", "p.price", "p.role")
+    keep = ("symbol", "hit_no", "kind")
+    return each(hits, "points", *keep, no="point_no").select(*keep, "point_no", "x.ts", "x.price", "x.role")

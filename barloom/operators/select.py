@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as pf
 
+from barloom.functions.rows import each, each_struct
 from barloom.functions.sql import F, Sql
 from barloom.schema import PATTERN_KINDS
 
@@ -47,15 +47,8 @@ def recent_hits(hits: Sql, first_ts: Sql, last_ts: Sql, fraction: float = RECENT
 
 def trim_hits(rows: DataFrame) -> DataFrame:
     """One row per pattern without its points."""
-    return rows.select("symbol", pf.posexplode("patterns").alias("hit_no", "h")).select(
-        "symbol",
-        "hit_no",
-        "h.kind",
-        "h.confidence",
-        "h.target_price",
-        "h.invalidation_price",
-        pf.size("h.points").alias("anchor_count"),
-    )
+    trimmed = F.transform(F.col("patterns"), trim)
+    return each(rows, trimmed, "symbol", no="hit_no").select("symbol", "hit_no", "x.*")
 
 
 def recent_patterns(rows: DataFrame, fraction: float = RECENT_FRACTION) -> DataFrame:
@@ -72,8 +65,4 @@ def pattern_by_rank(rows: DataFrame, kind: str | None = None, rank: int = 0) ->
     hits = recent_hits(F.col("patterns"), F.col("first_ts"), F.col("last_ts"))
     if kind is not None:
         hits = F.filter(hits, lambda h: h.kind == kind)
-    return (
-        rows.select("symbol", F.get(by_confidence(hits), rank).column().alias("h"))
-        .where(pf.col("h").isNotNull())
-        .select("symbol", "h.*")
-    )
+    return each_struct(rows, F.slice(by_confidence(hits), rank + 1, 1), "symbol")

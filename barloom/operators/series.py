@@ -24,9 +24,10 @@ ATR_PERIOD = 14
 REVERSAL_FALLBACK = 0.005
 
 
-def _collect(cond: Column | None, *cols: Column) -> Column:
-    row = F.struct(*cols)
-    return F.array_sort(F.collect_list(row if cond is None else F.when(cond, row)))
+def _collect(cond: Sql | None, **fields: Sql) -> Sql:
+    """All (matching) rows of the group as structs, in bar order."""
+    row = S.struct(*fields.items())
+    return S.array_sort(S.collect_list(row if cond is None else S.when(cond, row)))
 
 
 def scan_bars(candles: DataFrame, lookback: int = MAX_LOOKBACK, chunk_seconds: int | None = None) -> DataFrame:
@@ -69,23 +70,22 @@ def scan_bars(candles: DataFrame, lookback: int = MAX_LOOKBACK, chunk_seconds: i
     return layout.with_columns({**flags, "prev_atr": F.lag("atr").over(layout.ordered)}).bars()
 
 
-def gap_size() -> tuple[Column, Column]:
+def gap_size() -> tuple[Sql, Sql]:
     """Empty space above / below the previous bar."""
-    return F.col("low") - F.col("prev_high"), F.col("prev_low") - F.col("high")
+    return S.col("low") - S.col("prev_high"), S.col("prev_low") - S.col("high")
 
 
 # Fixed value: smallest gap, in ATRs of the bar before it.
 GAP_MIN_ATR = 0.5
 
 
-def open_gap() -> Column:
+def open_gap() -> Sql:
     """'gap_up' / 'gap_down' on bars whose gap is large enough and was never traded back."""
     up, down = gap_size()
-    floor = F.when(F.col("prev_atr") > 0, F.col("prev_atr") * F.lit(GAP_MIN_ATR))
-    is_up = up >= floor
-    up_open = ~F.coalesce(F.col("later_low") <= F.col("prev_high"), F.lit(False))
-    down_open = ~F.coalesce(F.col("later_high") >= F.col("prev_low"), F.lit(False))
-    return F.when(is_up, F.when(up_open, F.lit("gap_up"))).when((down >= floor) & down_open, F.lit("gap_down"))
+    floor = S.when(S.col("prev_atr") > 0, S.col("prev_atr") * GAP_MIN_ATR)
+    up_open = ~S.coalesce(S.col("later_low") <= S.col("prev_high"), False)
+    down_open = ~S.coalesce(S.col("later_high") >= S.col("prev_low"), False)
+    return S.when(up >= floor, S.when(up_open, "gap_up")).when((down >= floor) & down_open, "gap_down")
 
 
 def scan_rows(candles: DataFrame, lookback: int = MAX_LOOKBACK, chunk_seconds: int | None = None) -> DataFrame:
@@ -93,67 +93,73 @@ def scan_rows(candles: DataFrame, lookback: int = MAX_LOOKBACK, chunk_seconds: i
 
     ``bars`` and every pivot list are arrays in bar order.
     """
-    b = scan_bars(candles, lookback, chunk_seconds).withColumn("gap_kind", open_gap())
-    i = F.col("bar_idx").cast("int").alias("idx")
-    sec = F.col("sec").alias("ts")
+    b = scan_bars(candles, lookback, chunk_seconds).withColumn("gap_kind", open_gap().column())
+    idx, sec = S.col("bar_idx").cast("int"), S.col("sec")
+    is_last = S.col("bars_after") == 0
+    near_end = S.col("bars_after") <= 20
+    width = S.col("boll_upper") - S.col("boll_lower")
 
-    def pivots(flag: str, column: str) -> Column:
-        return _collect(F.col(flag), i, sec, F.col(column).alias("price"))
+    def pivots(flag: str, column: str) -> Sql:
+        return _collect(S.col(flag), idx=idx, ts=sec, price=S.col(column))
 
-    is_last = F.col("bars_after") == 0
-    last = lambda c: F.max(F.when(is_last, F.col(c)))
-    width = F.col("boll_upper") - F.col("boll_lower")
+    def last(value: Sql) -> Sql:
+        return S.max(S.when(is_last, value))
+
+    def where_bar(cond: Sql) -> Sql:
+        return S.when(cond, S.col("bar_idx"))
+
+    gap_up = S.col("gap_kind") == "gap_up"
     up, down = gap_size()
-    rows = b.groupBy("symbol").agg(
-        F.count("*").cast("int").alias("n"),
-        F.min("sec").alias("first_ts"),
-        F.max("sec").alias("last_ts"),
-        F.min(F.when(F.col("bar_idx") == 1, F.col("sec") - F.col("prev_sec"))).alias("timeframe_seconds"),
-        last("close").alias("last_close"),
-        last("prev_close").alias("prev_close"),
-        F.coalesce(F.max_by("atr", F.when(F.col("atr") > 0, F.col("bar_idx"))), F.lit(0.0)).alias("last_atr"),
-        last("atr").alias("end_atr"),
-        last("rsi").alias("rsi"),
-        last("macd_hist").alias("macd_hist"),
-        last("realized_vol").alias("realized_vol"),
-        F.min_by("macd_flag", F.when(F.col("macd_flag").isNotNull() & (F.col("bars_after") < 3), F.col("bar_idx"))).alias(
-            "macd_cross"
+    parts = {
+        "n": S.count(1).cast("int"),
+        "first_ts": S.min(sec),
+        "last_ts": S.max(sec),
+        "timeframe_seconds": S.min(S.when(S.col("bar_idx") == 1, sec - S.col("prev_sec"))),
+        "last_close": last(S.col("close")),
+        "prev_close": last(S.col("prev_close")),
+        "last_atr": S.coalesce(S.max_by(S.col("atr"), where_bar(S.col("atr") > 0)), 0.0),
+        "end_atr": last(S.col("atr")),
+        "rsi": last(S.col("rsi")),
+        "macd_hist": last(S.col("macd_hist")),
+        "realized_vol": last(S.col("realized_vol")),
+        "macd_cross": S.min_by(
+            S.col("macd_flag"), where_bar(S.col("macd_flag").isNotNull() & (S.col("bars_after") < 3))
         ),
-        F.max(F.when(is_last, width)).alias("bb_width"),
-        F.avg(F.when(F.col("bars_after") <= 20, width)).alias("bb_mean_width"),
-        F.count(F.when(F.col("bars_after") <= 20, width)).alias("bb_widths"),
-        F.bool_or(is_last & F.col("bb_squeeze")).alias("bb_squeeze"),
-        F.regr_slope("close", "bar_idx").alias("trend_slope"),
-        F.regr_r2("close", "bar_idx").alias("trend_r2"),
-        F.avg("close").alias("avg_close"),
-        F.var_pop("close").alias("var_close"),
-        _collect(
+        "bb_width": last(width),
+        "bb_mean_width": S.avg(S.when(near_end, width)),
+        "bb_widths": S.count(S.when(near_end, width)),
+        "bb_squeeze": S.bool_or(is_last & S.col("bb_squeeze")),
+        "trend_slope": S.regr_slope(S.col("close"), S.col("bar_idx")),
+        "trend_r2": S.regr_r2(S.col("close"), S.col("bar_idx")),
+        "avg_close": S.avg(S.col("close")),
+        "var_close": S.var_pop(S.col("close")),
+        "bars": _collect(
             None,
-            i,
-            sec,
-            *[F.col(c) for c in ("open", "high", "low", "close", "volume", "later_low", "later_high")],
-        ).alias("bars"),
-        pivots("swing_high", "high").alias("highs"),
-        pivots("swing_low", "low").alias("lows"),
-        pivots("close_high", "close").alias("close_highs"),
-        pivots("close_low", "close").alias("close_lows"),
-        pivots("rsi_high", "rsi").alias("rsi_highs"),
-        pivots("rsi_low", "rsi").alias("rsi_lows"),
-        pivots("macd_high", "macd").alias("macd_highs"),
-        pivots("macd_low", "macd").alias("macd_lows"),
-        _collect(
-            F.col("gap_kind").isNotNull(),
-            i,
-            F.col("gap_kind").alias("kind"),
-            (F.col("bar_idx") - 1).cast("int").alias("prev_idx"),
-            F.col("prev_sec").alias("prev_ts"),
-            sec,
-            F.when(F.col("gap_kind") == "gap_up", F.col("prev_high")).otherwise(F.col("high")).alias("zone_low"),
-            F.when(F.col("gap_kind") == "gap_up", F.col("low")).otherwise(F.col("prev_low")).alias("zone_high"),
-            F.when(F.col("gap_kind") == "gap_up", up).otherwise(down).alias("gap"),
-            F.col("prev_atr").alias("atr"),
-        ).alias("gaps"),
-    )
+            idx=idx,
+            ts=sec,
+            **{c: S.col(c) for c in ("open", "high", "low", "close", "volume", "later_low", "later_high")},
+        ),
+        "highs": pivots("swing_high", "high"),
+        "lows": pivots("swing_low", "low"),
+        **{
+            f"{name}_{kind}s": pivots(f"{name}_{kind}", name)
+            for name in ("close", "rsi", "macd")
+            for kind in ("high", "low")
+        },
+        "gaps": _collect(
+            S.col("gap_kind").isNotNull(),
+            idx=idx,
+            kind=S.col("gap_kind"),
+            prev_idx=idx - 1,
+            prev_ts=S.col("prev_sec"),
+            ts=sec,
+            zone_low=S.when(gap_up, S.col("prev_high")).otherwise(S.col("high")),
+            zone_high=S.when(gap_up, S.col("low")).otherwise(S.col("prev_low")),
+            gap=S.when(gap_up, up).otherwise(down),
+            atr=S.col("prev_atr"),
+        ),
+    }
+    rows = b.groupBy("symbol").agg(*[v.column().alias(k) for k, v in parts.items()])
     rows = rows.withColumns(
         {
             "swings": merge_swings(S.col("highs"), S.col("lows")).column(),

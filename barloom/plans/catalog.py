@@ -15,6 +15,7 @@ from barloom.functions.arrays import let
 from barloom.functions.fits import fit_parabola
 from barloom.functions.indicators import Indicator, apply_preset, suffix_extrema, with_indicators
 from barloom.functions.layout import index_bars
+from barloom.functions.rows import each, each_struct
 from barloom.functions.sql import F
 from barloom.operators import geometry, levels, momentum, ranges, select, sizing, states, swings
 from barloom.operators.patterns import channels, detect
@@ -248,8 +249,7 @@ def momentum_summary(spark, d):
 
 @query
 def momentum_recent(spark, d):
-    rows = _momentum(spark, d).select("symbol", pf.posexplode("m.divergences.recent").alias("no", "r"))
-    return _flat(rows.select("symbol", "no", "r.*"))
+    return _flat(each(_momentum(spark, d), "m.divergences.recent", "symbol").select("symbol", "no", "x.*"))
 
 
 @query
@@ -280,7 +280,7 @@ def indicator_state(spark, d):
 def volume_profile(spark, d):
     p = levels.volume_profile(F.col("bars"))
     rows = scan_rows(candles_walk(spark, d)).select("symbol", p.column().alias("p"))
-    return _flat(rows.select("symbol", pf.posexplode("p.bins").alias("bin", "volume")))
+    return _flat(each(rows, "p.bins", "symbol", no="bin", value="volume"))
 
 
 @query
@@ -314,8 +314,8 @@ def candle_swings(spark, d):
 
 @query
 def zigzag(spark, d):
-    rows = scan_rows(candles_walk(spark, d)).select("symbol", pf.posexplode("zz").alias("no", "p"))
-    return _flat(rows.select("symbol", "no", "p.idx", "p.kind", "p.ts", "p.price"))
+    rows = each(scan_rows(candles_walk(spark, d)), "zz", "symbol")
+    return _flat(rows.select("symbol", "no", "x.idx", "x.kind", "x.ts", "x.price"))
 
 
 @query
@@ -333,35 +333,35 @@ def two_line_fit(spark, d):
             ("last_touch_idx", x.touch),
         )
     )
-    return _flat(scan_rows(candles_walk(spark, d)).select("symbol", pf.inline(fit.column())))
+    return _flat(each_struct(scan_rows(candles_walk(spark, d)), fit, "symbol"))
 
 
 @query
 def plr_segments(spark, d):
     rows = with_segments(scan_rows(candles_walk(spark, d)))
-    return _flat(rows.select("symbol", pf.posexplode("plr").alias("seg_no", "s")).select("symbol", "seg_no", "s.*"))
+    return _flat(each(rows, "plr", "symbol", no="seg_no").select("symbol", "seg_no", "x.*"))
 
 
 @query
 def level_clusters(spark, d):
     rows = levels.with_levels(scan_rows(candles_walk(spark, d)))
-    return _flat(rows.select("symbol", pf.posexplode("clusters").alias("no", "price")))
+    return _flat(each(rows, "clusters", "symbol", value="price"))
 
 
 @query
 def find_levels(spark, d):
     rows = levels.with_levels(scan_rows(candles_walk(spark, d)))
     sides = [
-        rows.select("symbol", pf.lit(side).alias("side"), pf.posexplode(side).alias("no", "price"))
+        F.transform(F.col(side), lambda p, i, side=side: F.struct(("side", side), ("no", i), ("price", p)))
         for side in ("support", "resistance")
     ]
-    return _flat(sides[0].unionByName(sides[1]))
+    return _flat(each_struct(rows, F.concat(*sides), "symbol"))
 
 
 @query
 def level_detail(spark, d):
     rows = levels.with_level_detail(levels.with_levels(scan_rows(candles_walk(spark, d))))
-    return _flat(rows.select("symbol", pf.inline("level_detail")))
+    return _flat(each_struct(rows, "level_detail", "symbol"))
 
 
 @query
@@ -371,14 +371,13 @@ def nearest_pivot(spark, d):
         F.col("close_lows"),
         lambda p: F.struct(("idx", p.idx), ("m", momentum.nearest_pivot(F.col("rsi_lows"), p.idx))),
     )
-    rows = scan_rows(candles_walk(spark, d)).select("symbol", pf.inline(near.column()))
+    rows = each_struct(scan_rows(candles_walk(spark, d)), near, "symbol")
     return _flat(rows.where("m IS NOT NULL").select("symbol", "idx", pf.col("m.idx").alias("match_idx"), pf.col("m.price").alias("value")))
 
 
 @query
 def divergences(spark, d):
-    rows = scan_rows(candles_walk(spark, d)).select("symbol", pf.inline(momentum.divergences("rsi", "macd").column()))
-    return _flat(rows)
+    return _flat(each_struct(scan_rows(candles_walk(spark, d)), momentum.divergences("rsi", "macd"), "symbol"))
 
 
 @query
@@ -403,8 +402,9 @@ def as_of_bar(spark, d):
 
 def _points_flat(rows: DataFrame, column: str) -> DataFrame:
     hits = detect.hit_rows(rows, column)
-    points = hits.select("symbol", "hit_no", "kind", "confidence", "target_price", "invalidation_price", pf.posexplode("points").alias("point_no", "p"))
-    return _flat(points.select("*", "p.ts", "p.price", "p.role").drop("p"))
+    keep = ("symbol", "hit_no", "kind", "confidence", "target_price", "invalidation_price")
+    points = each(hits, "points", *keep, no="point_no")
+    return _flat(points.select(*keep, "point_no", "x.ts", "x.price", "x.role"))
 
 
 def _detector(*names, kinds=None):
@@ -492,7 +492,7 @@ def pattern_by_rank(spark, d):
 @query
 def compact_summary_rows(spark, d):
     s = compact_summary(market_summary(candles_walk(spark, d)))
-    return _flat(s.select("symbol", pf.posexplode("patterns").alias("no", "p")).select("symbol", "no", "p.*"))
+    return _flat(each(s, "patterns", "symbol").select("symbol", "no", "x.*"))
 
 
 @query
@@ -522,10 +522,15 @@ def market_summary_rows(spark, d):
 def evidence(spark, d):
     e = with_evidence(market_summary(candles_walk(spark, d)))
     sides = [
-        e.select("symbol", pf.lit(side).alias("side"), pf.posexplode(f"_{side}").alias("no", "p"))
+        F.transform(
+            F.col(f"_{side}"),
+            lambda p, i, side=side: F.struct(
+                ("side", side), ("no", i), ("factor", p.factor), ("weight", p.weight), ("detail", p.detail)
+            ),
+        )
         for side in ("bull", "bear")
     ]
-    return _flat(sides[0].unionByName(sides[1]).select("symbol", "side", "no", "p.factor", "p.weight", "p.detail"))
+    return _flat(each_struct(e, F.concat(*sides), "symbol"))
 
 
 @query
@@ -537,7 +542,7 @@ def verdict(spark, d):
 @query
 def trade_setup(spark, d):
     t = compose_thesis(market_summary(candles_user(spark, d)))
-    return _flat(t.where("setup IS NOT NULL").select("symbol", "verdict", "setup.*"))
+    return _flat(each_struct(t, F.array_compact(F.array(F.col("setup"))), "symbol", "verdict"))
 
 
 @query
@@ -604,10 +609,15 @@ def position_size(spark, d):
 # ── drawing and alerts ──────────────────────────────────────────────────────
 
 
+def _shape_points(shapes: DataFrame) -> DataFrame:
+    keep = [c for c in shapes.columns if c != "points"]
+    return each(shapes, "points", *keep, no="point_no").select(*keep, "point_no", "x.ts", "x.price")
+
+
 @query
 def pattern_geometry(spark, d):
     g = geometry.pattern_geometry(_patterns(spark, d))
-    return _flat(g.select("*", pf.posexplode("points").alias("point_no", "p")).select("*", "p.ts", "p.price").drop("points", "p"))
+    return _flat(_shape_points(g))
 
 
 @query
@@ -615,7 +625,7 @@ def thesis_layers(spark, d):
     rows = scan_rows(candles_walk(spark, d))
     s = summarize(rows)
     g = geometry.thesis_layers(s, compose_thesis(s), geometry.zone_starts(rows))
-    return _flat(g.select("*", pf.posexplode("points").alias("point_no", "p")).select("*", "p.ts", "p.price").drop("points", "p"))
+    return _flat(_shape_points(g))
 
 
 @query
