@@ -1,6 +1,6 @@
 """Every operator as a query over the given tables, flattened to scalar columns.
 
-Each entry takes (spark, sf_dir). Doubles are rounded to 4 places, times are unix
+Each entry takes (spark, sf_dir). Doubles are rounded to 6 places, times are unix
 seconds, counts and positions are BIGINT.
 """
 
@@ -48,7 +48,7 @@ def _flat(df: DataFrame) -> DataFrame:
     for f in df.schema.fields:
         c, t = pf.col(f"`{f.name}`"), f.dataType.typeName()
         if t == "double":
-            c = pf.round(c, 4)
+            c = pf.round(c, 6)
         elif t in ("integer", "short", "byte"):
             c = c.cast("bigint")
         elif t == "timestamp":
