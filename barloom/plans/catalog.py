@@ -26,7 +26,15 @@ from barloom.plans.summary import compact_summary, market_summary, summarize
 from barloom.plans.thesis import compose_thesis, horizon, rank_setups, with_evidence, with_verdict
 from barloom.sources.candles import clean_quotes, tag_candles, validate_candles
 from barloom.sources.resample import infer_timeframe, resample_candles, tail_lookback, utc_ts
-from barloom.sources.views import candles_ev, candles_ord, candles_user, candles_walk, tick_candles
+from barloom.sources.views import (
+    candles_ev,
+    candles_frames,
+    candles_ord,
+    candles_paths,
+    candles_user,
+    candles_walk,
+    tick_candles,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 DAY = 86400
@@ -407,11 +415,11 @@ def _points_flat(rows: DataFrame, column: str) -> DataFrame:
     return _flat(points.select(*keep, "point_no", "x.ts", "x.price", "x.role"))
 
 
-def _detector(*names, kinds=None):
+def _detector(*names, kinds=None, view=candles_walk):
     """One row per anchor of every hit, before the breach guard."""
 
     def run(spark, d):
-        rows = detect.with_detector(scan_rows(candles_walk(spark, d)), *names)
+        rows = detect.with_detector(scan_rows(view(spark, d)), *names)
         if kinds:
             rows = rows.withColumn("hits", F.filter(F.col("hits"), lambda h: h.kind.isin(*kinds)).column())
         return _points_flat(rows, "hits")
@@ -424,33 +432,23 @@ QUERIES |= {
     "inverse_head_shoulders": _detector("head_shoulders", kinds=("inverse_head_shoulders",)),
     "double_top_bottom": _detector("double_triple", kinds=("double_top", "double_bottom")),
     "triple_top_bottom": _detector("double_triple", kinds=("triple_top", "triple_bottom")),
+    "double_triple_paths": _detector("double_triple", view=candles_paths),
+    "double_triple_users": _detector("double_triple", view=candles_user),
     "triangles": _detector("triangles"),
-    "flags": _detector("flags"),
+    "triangles_frames": _detector("triangles", view=candles_frames),
+    "triangles_users": _detector("triangles", view=candles_user),
+    "flags": _detector("flags", view=candles_frames),
+    "flags_users": _detector("flags", view=candles_user),
     "channels": _detector("channels"),
-    "wedges": _detector("wedges"),
-    "cup_handle": _detector("cup_handle"),
-    "rounding_bottom": _detector("rounding_bottom"),
-    "template_match": _detector("templates"),
+    "channels_paths": _detector("channels", view=candles_paths),
+    "wedges": _detector("wedges", view=candles_user),
+    "wedges_frames": _detector("wedges", view=candles_frames),
+    "cup_handle": _detector("cup_handle", view=candles_paths),
+    "rounding_bottom": _detector("rounding_bottom", view=candles_paths),
+    "template_match": _detector("templates", view=candles_paths),
+    "harmonics_users": _detector("templates", view=candles_user),
     "gaps": _detector("gaps"),
-}
-
-
-def _user_detector(*names):
-    """The same over many short, jumpy series."""
-
-    def run(spark, d):
-        return _points_flat(detect.with_detector(scan_rows(candles_user(spark, d)), *names), "hits")
-
-    return run
-
-
-QUERIES |= {
-    "flags_users": _user_detector("flags"),
-    "triangles_users": _user_detector("triangles"),
-    "double_triple_users": _user_detector("double_triple"),
-    "harmonics_users": _user_detector("templates"),
-    "wedges_users": _user_detector("wedges"),
-    "gaps_users": _user_detector("gaps"),
+    "gaps_users": _detector("gaps", view=candles_user),
 }
 
 
@@ -470,6 +468,16 @@ def detect_patterns(spark, d):
     return _points_flat(_patterns(spark, d), "patterns")
 
 
+@query
+def detect_patterns_paths(spark, d):
+    return _points_flat(_patterns(spark, d, candles_paths), "patterns")
+
+
+@query
+def detect_patterns_frames(spark, d):
+    return _points_flat(_patterns(spark, d, candles_frames), "patterns")
+
+
 @query
 def trim_hits(spark, d):
     return _flat(select.trim_hits(_patterns(spark, d)))

@@ -10,6 +10,7 @@ from barloom.sources.resample import bucket_start, resample_candles, utc_ts
 HOUR = 3600
 DAY = 86400
 MINUTE = 60
+FRAME_MINUTES = (15, 30, 90, 120, 180, 240, 360, 480)
 
 
 def _ticks(df: DataFrame, symbol: str, ts: str, price: str, seq: str) -> DataFrame:
@@ -51,18 +52,18 @@ def candles_ord(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def candles_walk(spark: SparkSession, sf_dir: str, seconds: int = HOUR) -> DataFrame:
+def candles_walk(spark: SparkSession, sf_dir: str, seconds: int = HOUR, symbol: str = "event_type") -> DataFrame:
     """Bars of a price path that each event moves by (value - 50) / 10, starting at 2000.
 
-    A running sum over all events of one type would put a whole type into one
+    A running sum over all events of one symbol would put a whole symbol into one
     task. Instead the path is built in two levels: running sums inside each
-    (type, minute), then one running sum over the minutes' net moves, whose number
+    (symbol, minute), then one running sum over the minutes' net moves, whose number
     is bounded by the calendar. Moves are counted in whole thousandths, so the sums
     are exact in any order.
     """
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     moves = events.select(
-        F.col("event_type").alias("symbol"),
+        F.col(symbol).cast("string").alias("symbol"),
         utc_ts(events, "ts").alias("ts"),
         F.col("event_id").alias("seq"),
         (F.round(F.col("value") * 100).cast("bigint") - 5000).alias("move"),
@@ -102,3 +103,31 @@ def candles_walk(spark: SparkSession, sf_dir: str, seconds: int = HOUR) -> DataF
         F.col("moves").cast("double").alias("volume"),
     )
     return bars if seconds == MINUTE else resample_candles(bars, seconds)
+
+
+def candles_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four-hour bars of one price path per user: many series of medium length."""
+    return candles_walk(spark, sf_dir, 4 * HOUR, "user_id")
+
+
+def candles_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event-type paths in several timeframes at once; symbol is 'type@minutes'."""
+    minutes = candles_walk(spark, sf_dir, MINUTE)
+    frames = F.explode(F.array(*[F.lit(m) for m in FRAME_MINUTES])).alias("m")
+    spread = minutes.select("*", frames).withColumns(
+        {
+            "symbol": F.concat("symbol", F.lit("@"), F.col("m").cast("string")),
+            "bucket": F.timestamp_seconds(F.unix_seconds("ts") - F.unix_seconds("ts") % (F.col("m") * 60)),
+        }
+    )
+    return (
+        spread.groupBy("symbol", "bucket")
+        .agg(
+            F.min_by("open", "ts").alias("open"),
+            F.max("high").alias("high"),
+            F.min("low").alias("low"),
+            F.max_by("close", "ts").alias("close"),
+            F.sum("volume").alias("volume"),
+        )
+        .withColumnRenamed("bucket", "ts")
+    )

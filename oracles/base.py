@@ -56,6 +56,26 @@ raw_bars AS (
   FROM events
 )"""
 
+PATHS = (
+    WALK.replace("event_type", "user_id")
+    .replace("SELECT user_id AS symbol", "SELECT CAST(user_id AS VARCHAR) AS symbol")
+    .replace("3600", "14400")
+)
+
+FRAMES = """
+path AS (
+  SELECT event_type, ts, event_id AS seq,
+         CAST(2000000 + sum(CAST(round(value * 100) AS BIGINT) - 5000)
+              OVER (PARTITION BY event_type ORDER BY ts, event_id) AS DOUBLE) / CAST(1000 AS DOUBLE) AS price
+  FROM events
+),
+raw_bars AS (
+  SELECT event_type || '@' || m AS symbol, CAST(floor(epoch(ts) / (m * 60)) * (m * 60) AS BIGINT) AS sec,
+         first(price ORDER BY ts, seq) AS open, max(price) AS high, min(price) AS low,
+         last(price ORDER BY ts, seq) AS close, CAST(count(*) AS DOUBLE) AS volume
+  FROM path CROSS JOIN (SELECT unnest([15, 30, 90, 120, 180, 240, 360, 480]) AS m) GROUP BY 1, 2
+)"""
+
 # Position, previous bar and bars that follow.
 BARS = """,
 bars AS (

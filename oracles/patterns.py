@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from oracles.base import FULL, USER, WALK, sql
+from oracles.base import FRAMES, FULL, PATHS, USER, WALK, sql
 
 O: dict[str, str] = {}
 
@@ -180,8 +180,8 @@ tpl_hits AS (
   FROM abcd WHERE anchor IS NOT NULL
   UNION ALL
   SELECT symbol, 9, 1000000 + no, t, name || CASE WHEN dir > 0 THEN '_bullish' ELSE '_bearish' END,
-         least(0.85::DOUBLE, 0.5 + coalesce(0.15 * greatest(0, 1 - abs(b - b_at) / 0.05), 0.15)
-           + coalesce(0.2 * greatest(0, 1 - abs(d - d_at) / 0.05), CASE WHEN d BETWEEN 1.272 AND 1.618 THEN 0.1 ELSE 0 END)),
+         least(0.85::DOUBLE, 0.5 + CASE WHEN b_at IS NULL THEN 0.15 ELSE 0.15 * greatest(0, 1 - abs(b - b_at) / 0.05) END
+           + CASE WHEN d_at IS NOT NULL THEN 0.2 * greatest(0, 1 - abs(d - d_at) / 0.05) WHEN d BETWEEN 1.272 AND 1.618 THEN 0.1 ELSE 0 END),
          p5_price + dir * 0.382 * abs(p2_price - p5_price), coalesce(p2_price - dir * (lim + 0.05) * abs(p2_price - p1_price), p1_price),
          [{_pt('p1_', 'X')}, {_pt('p2_', 'A')}, {_pt('p3_', 'B')}, {_pt('p4_', 'C')}, {_pt('p5_', 'D')}]
   FROM xabcd
@@ -476,18 +476,18 @@ O["inverse_head_shoulders"] = _detector(HS, "hs_hits", where="kind = 'inverse_he
 O["double_top_bottom"] = _detector(DT, "dt_hits", where="kind LIKE 'double%'")
 O["triple_top_bottom"] = _detector(DT, "dt_hits", where="kind LIKE 'triple%'")
 O["triangles"] = _detector(TRI, "tri_hits")
-O["flags"] = _detector(FLAG, "flag_hits")
+O["flags"] = _detector(FLAG, "flag_hits", FRAMES)
 O["channels"] = _detector(CHANNEL, "channel_hits")
-O["wedges"] = _detector(WEDGE, "wedge_hits")
-O["cup_handle"] = _detector(CUP, "cup_hits")
-O["rounding_bottom"] = _detector(ROUND, "rb_hits")
-O["template_match"] = _detector(TPL, "tpl_hits")
+O["wedges"] = _detector(WEDGE, "wedge_hits", USER)
+O["cup_handle"] = _detector(CUP, "cup_hits", PATHS)
+O["rounding_bottom"] = _detector(ROUND, "rb_hits", PATHS)
+O["template_match"] = _detector(TPL, "tpl_hits", PATHS)
 O["gaps"] = _detector(GAP, "gap_hits")
 O["flags_users"] = _detector(FLAG, "flag_hits", USER)
 O["triangles_users"] = _detector(TRI, "tri_hits", USER)
 O["double_triple_users"] = _detector(DT, "dt_hits", USER)
 O["harmonics_users"] = _detector(TPL, "tpl_hits", USER)
-O["wedges_users"] = _detector(WEDGE, "wedge_hits", USER)
+O["wedges_frames"] = _detector(WEDGE, "wedge_hits", FRAMES)
 O["gaps_users"] = _detector(GAP, "gap_hits", USER)
 O["two_line_fit"] = sql(
     WALK,
@@ -525,6 +525,11 @@ recent AS (
   WHERE c.last_ts <= c.first_ts OR list_max(list_transform(pts, lambda x: x.sec)) >= c.last_ts - 0.25 * (c.last_ts - c.first_ts)
 )"""
 )
+O["channels_paths"] = _detector(CHANNEL, "channel_hits", PATHS)
+O["double_triple_paths"] = _detector(DT, "dt_hits", PATHS)
+O["triangles_frames"] = _detector(TRI, "tri_hits", FRAMES)
+O["detect_patterns_paths"] = sql(PATHS, FULL, ALL, select=points("patterns"))
+O["detect_patterns_frames"] = sql(FRAMES, FULL, ALL, select=points("patterns"))
 O["breach_guard"] = sql(WALK, FULL, HS, SUFFIX, alive("hs_hits", "live"), select=points("live"))
 O["detect_patterns"] = sql(WALK, FULL, ALL, select=points("patterns"))
 _TRIM = """kind, round(conf, 6) AS confidence, round(tgt, 6) AS target_price, round(inv, 6) AS invalidation_price"""
