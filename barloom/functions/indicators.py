@@ -24,8 +24,7 @@ def _wilder_decay(period: int) -> float:
 # Columns that start with "_" are intermediate results; `Layout.bars` drops them.
 
 
-def true_range(layout: Layout) -> Column:
-    prev = F.lag("close").over(layout.ordered)
+def true_range(prev: Column) -> Column:
     return F.when(
         prev.isNotNull(),
         F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - prev), F.abs(F.col("low") - prev)),
@@ -33,14 +32,20 @@ def true_range(layout: Layout) -> Column:
 
 
 def add_true_range(layout: Layout, name: str = "true_range") -> Layout:
-    return layout if name in layout.df.columns else layout.with_columns({name: true_range(layout)})
+    return layout if name in layout.df.columns else layout.with_columns({name: true_range(F.lag("close").over(layout.ordered))})
 
 
 def add_wilder(layout: Layout, outputs: dict[str, tuple[str, int]]) -> Layout:
     """Wilder averages ``name -> (column, period)``, seeded at bar ``period`` with a plain mean."""
-    layout = layout.with_columns(
-        {f"_{n}_seed": F.avg(c).over(layout.frame(-(p - 1), 0)) for n, (c, p) in outputs.items()}
-    )
+    layout = layout.with_columns(wilder_seeds(layout, outputs))
+    return affine_scan(layout, wilder_filters(outputs))
+
+
+def wilder_seeds(layout: Layout, outputs: dict[str, tuple[str, int]]) -> dict[str, Column]:
+    return {f"_{n}_seed": F.avg(c).over(layout.frame(-(p - 1), 0)) for n, (c, p) in outputs.items()}
+
+
+def wilder_filters(outputs: dict[str, tuple[str, int]]) -> dict[str, Filter]:
     i = F.col("bar_idx")
 
     def feed(name: str, column: str, period: int) -> Column:
@@ -50,9 +55,7 @@ def add_wilder(layout: Layout, outputs: dict[str, tuple[str, int]]) -> Layout:
             .otherwise(F.coalesce(F.col(column), F.lit(0.0)) / F.lit(float(period)))
         )
 
-    return affine_scan(
-        layout, {n: Filter(_wilder_decay(p), feed(n, c, p), from_bar=p) for n, (c, p) in outputs.items()}
-    )
+    return {n: Filter(_wilder_decay(p), feed(n, c, p), from_bar=p) for n, (c, p) in outputs.items()}
 
 
 def add_atr(layout: Layout, period: int = 14, name: str | None = None) -> Layout:
@@ -73,9 +76,13 @@ def add_rolling_std(layout: Layout, period: int, column: str = "close", name: st
 
 
 def add_bollinger(layout: Layout, period: int = 20, k: float = 2.0) -> Layout:
+    return layout.with_columns(bollinger(layout, period, k))
+
+
+def bollinger(layout: Layout, period: int, k: float) -> dict[str, Column]:
     mid = _rolling(layout, F.avg, "close", period)
     band = F.lit(k) * _rolling(layout, F.stddev_pop, "close", period)
-    return layout.with_columns({"boll_middle": mid, "boll_upper": mid + band, "boll_lower": mid - band})
+    return {"boll_middle": mid, "boll_upper": mid + band, "boll_lower": mid - band}
 
 
 def add_keltner(layout: Layout, period: int = 20, k: float = 1.5) -> Layout:
@@ -88,13 +95,15 @@ def add_keltner(layout: Layout, period: int = 20, k: float = 1.5) -> Layout:
 def add_squeeze(layout: Layout, period: int = 20) -> Layout:
     """Bollinger bands strictly inside the Keltner channel."""
     layout = add_keltner(add_bollinger(layout, period), period)
-    inside = (F.col("boll_upper") < F.col("keltner_upper")) & (F.col("boll_lower") > F.col("keltner_lower"))
-    return layout.with_columns(
-        {"bb_squeeze": F.coalesce((F.col("bar_idx") >= period) & inside, F.lit(False))}
-    )
+    return layout.with_columns({"bb_squeeze": squeezed(period, F.col("keltner_upper"), F.col("keltner_lower"))})
+
+
+def squeezed(period: int, keltner_upper: Column, keltner_lower: Column) -> Column:
+    inside = (F.col("boll_upper") < keltner_upper) & (F.col("boll_lower") > keltner_lower)
+    return F.coalesce((F.col("bar_idx") >= period) & inside, F.lit(False))
 
 
-def _ema_filter(period: int, column: str) -> Filter:
+def ema_filter(period: int, column: str) -> Filter:
     x = F.col(column)
     feed = F.when(F.col("pos") == 0, x).otherwise(x * F.lit(2.0 / (period + 1)))
     return Filter(_ema_decay(period), feed)
@@ -102,11 +111,11 @@ def _ema_filter(period: int, column: str) -> Filter:
 
 def add_ema(layout: Layout, period: int, column: str = "close", name: str | None = None) -> Layout:
     """Seeded with the first value, no warm-up gap."""
-    return affine_scan(layout, {name or f"ema_{period}": _ema_filter(period, column)})
+    return affine_scan(layout, {name or f"ema_{period}": ema_filter(period, column)})
 
 
 def add_macd(layout: Layout, fast: int = 12, slow: int = 26, signal: int = 9) -> Layout:
-    layout = affine_scan(layout, {"_fast": _ema_filter(fast, "close"), "_slow": _ema_filter(slow, "close")})
+    layout = affine_scan(layout, {"_fast": ema_filter(fast, "close"), "_slow": ema_filter(slow, "close")})
     layout = layout.with_columns({"macd": F.col("_fast") - F.col("_slow")})
     layout = add_ema(layout, signal, column="macd", name="macd_signal")
     return layout.with_columns({"macd_hist": F.col("macd") - F.col("macd_signal")})
@@ -114,34 +123,41 @@ def add_macd(layout: Layout, fast: int = 12, slow: int = 26, signal: int = 9) ->
 
 def add_rsi(layout: Layout, period: int = 14, name: str | None = None) -> Layout:
     """Wilder RSI; 100 whenever the average loss is zero."""
-    move = F.col("close") - F.lag("close").over(layout.ordered)
-    layout = layout.with_columns(
-        {"_gain": F.greatest(move, F.lit(0.0)), "_loss": F.greatest(-move, F.lit(0.0))}
-    )
+    layout = layout.with_columns(moves(F.lag("close").over(layout.ordered)))
     layout = add_wilder(layout, {"_gains": ("_gain", period), "_losses": ("_loss", period)})
-    g, l = F.col("_gains"), F.col("_losses")  # noqa: E741
-    value = F.when(l == 0, F.lit(100.0)).otherwise(F.lit(100.0) - F.lit(100.0) / (F.lit(1.0) + g / l))
-    return layout.with_columns({name or f"rsi_{period}": value})
+    return layout.with_columns({name or f"rsi_{period}": relative_strength("_gains", "_losses")})
+
+
+def moves(prev: Column) -> dict[str, Column]:
+    move = F.col("close") - prev
+    return {"_gain": F.greatest(move, F.lit(0.0)), "_loss": F.greatest(-move, F.lit(0.0))}
+
+
+def relative_strength(gains: str, losses: str) -> Column:
+    g, l = F.col(gains), F.col(losses)  # noqa: E741
+    return F.when(l == 0, F.lit(100.0)).otherwise(F.lit(100.0) - F.lit(100.0) / (F.lit(1.0) + g / l))
 
 
 def add_realized_vol(layout: Layout, period: int = 20, name: str = "realized_vol") -> Layout:
     """Annualised percent volatility of the last ``period`` log returns (252 sessions)."""
-    ratio = F.try_divide(F.col("close"), F.lag("close").over(layout.ordered))
-    layout = layout.with_columns({"_return": F.when(ratio > 0, F.ln(ratio))})
+    layout = layout.with_columns({"_return": log_return(F.lag("close").over(layout.ordered))})
+    return layout.with_columns({name: realized_vol(layout, period)})
+
+
+def log_return(prev: Column) -> Column:
+    ratio = F.try_divide(F.col("close"), prev)
+    return F.when(ratio > 0, F.ln(ratio))
+
+
+def realized_vol(layout: Layout, period: int) -> Column:
     vol = F.stddev_samp("_return").over(layout.frame(-(period - 1), 0)) * F.lit(252.0**0.5) * F.lit(100.0)
-    return layout.with_columns({name: F.when(F.col("bar_idx") >= period, vol)})
+    return F.when(F.col("bar_idx") >= period, vol)
 
 
-def add_macd_cross_flag(layout: Layout, name: str = "macd_flag") -> Layout:
+def macd_cross_flag(was: Column) -> Column:
     """'bullish' / 'bearish' on the bar where macd - signal changes sign."""
-    now, was = F.col("macd_hist"), F.lag("macd_hist").over(layout.ordered)
-    return layout.with_columns(
-        {
-            name: F.when((was <= 0) & (now > 0), F.lit("bullish")).when(
-                (was >= 0) & (now < 0), F.lit("bearish")
-            )
-        }
-    )
+    now = F.col("macd_hist")
+    return F.when((was <= 0) & (now > 0), F.lit("bullish")).when((was >= 0) & (now < 0), F.lit("bearish"))
 
 
 def pivot_flag(layout: Layout, column: str, lookback: int, kind: str) -> Column:
@@ -272,7 +288,9 @@ def suffix_extrema(candles: DataFrame, chunk_seconds: int) -> DataFrame:
     """
     order = ["ts", "seq"] if "seq" in candles.columns else ["ts"]
     chunk = F.floor(F.unix_seconds("ts") / F.lit(chunk_seconds))
-    later = Window.partitionBy("symbol").orderBy("_chunk").rowsBetween(1, Window.unboundedFollowing)
+    # Later rows are a running frame over the reversed order: linear per group.
+    before = (Window.unboundedPreceding, -1)
+    later = Window.partitionBy("symbol").orderBy(F.desc("_chunk")).rowsBetween(*before)
     per_chunk = (
         candles.groupBy("symbol", chunk.alias("_chunk"))
         .agg(F.min("low").alias("_lo"), F.max("high").alias("_hi"))
@@ -280,7 +298,7 @@ def suffix_extrema(candles: DataFrame, chunk_seconds: int) -> DataFrame:
             "symbol", "_chunk", F.min("_lo").over(later).alias("_later_lo"), F.max("_hi").over(later).alias("_later_hi")
         )
     )
-    inside = Window.partitionBy("symbol", "_chunk").orderBy(*order).rowsBetween(1, Window.unboundedFollowing)
+    inside = Window.partitionBy("symbol", "_chunk").orderBy(*[F.desc(c) for c in order]).rowsBetween(*before)
     return (
         candles.withColumn("_chunk", chunk)
         .withColumns({"_lo": F.min("low").over(inside), "_hi": F.max("high").over(inside)})

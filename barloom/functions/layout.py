@@ -70,6 +70,17 @@ class Layout:
     def frame(self, first: int, last: int) -> WindowSpec:
         return self.ordered.rowsBetween(first, last)
 
+    @property
+    def later(self) -> WindowSpec:
+        """All strictly later rows: a running frame over the reversed order, linear in the
+        group size (frames that end at the last row are re-evaluated for every row)."""
+        newest_first = Window.partitionBy(*self.keys).orderBy(F.desc("pos"))
+        return newest_first.rowsBetween(Window.unboundedPreceding, -1)
+
+    @property
+    def whole(self) -> WindowSpec:
+        return Window.partitionBy(*self.keys)
+
     def bars(self) -> DataFrame:
         """The bars themselves, without halo rows, layout columns and intermediate results."""
         out = self.df.where("own") if "block" in self.keys else self.df

@@ -5,13 +5,13 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from barloom.functions.layout import Layout
 
-# exp(600) and its sums stay far inside double range.
-_MAX_EXPONENT = 600.0
+# Powers run from exp(-650) to exp(+650), far inside double range.
+_MAX_EXPONENT = 1300.0
 # a**k below exp(-40) is lost against one unit in the last place.
 _FORGET = 40.0
 
@@ -37,21 +37,28 @@ class Filter:
         return F.when(F.col("bar_idx") >= self.from_bar, value) if self.from_bar else value
 
 
+def in_one_run(layout: Layout, f: Filter) -> bool:
+    return layout.max_rows is not None and layout.max_rows <= f.run
+
+
+def scanned(f: Filter, window: WindowSpec, pos: Column, rows: int) -> Column:
+    """``a**pos * sum(b * a**-pos)`` as one running sum, with powers centred on the group's middle."""
+    k = pos - F.lit(rows // 2)
+    return F.pow(F.lit(f.a), k) * F.sum(f.b * F.pow(F.lit(f.a), -k)).over(window)
+
+
 def affine_scan(layout: Layout, filters: dict[str, Filter]) -> Layout:
     """Add every filter's output column, computed along each group of the layout.
 
-    ``a**pos * sum(b * a**-pos)`` is one running window sum. Where a group may be
-    long enough for ``a**-pos`` to overflow, it is cut into runs; each run adds the
-    decayed end value of the run before it (older runs are below double precision).
+    Where a group may be long enough for the powers to overflow, it is cut into runs;
+    each run adds the decayed end value of the run before it (older runs are below
+    double precision).
     """
-    short = {n: f for n, f in filters.items() if layout.max_rows is not None and layout.max_rows <= f.run}
-    pos = F.col("pos")
+    short = {n: f for n, f in filters.items() if in_one_run(layout, f)}
     if short:
         layout = layout.with_columns(
             {
-                n: f.visible(
-                    F.pow(F.lit(f.a), pos) * F.sum(f.b * F.pow(F.lit(f.a), -pos)).over(layout.ordered)
-                )
+                n: f.visible(scanned(f, layout.ordered, F.col("pos"), layout.max_rows))
                 for n, f in short.items()
             }
         )
@@ -71,9 +78,9 @@ def _scan_in_runs(layout: Layout, name: str, f: Filter) -> Layout:
     )
     in_run = Window.partitionBy(*layout.keys, f"_{name}_run").orderBy("pos")
     local = f"_{name}_local"
-    layout = layout.with_columns({local: F.pow(a, j) * F.sum(f.b * F.pow(a, -j)).over(in_run)})
-    run_end = F.last(F.when(j == f.run - 1, F.col(local)), ignorenulls=True).over(
-        layout.frame(Window.unboundedPreceding, -1)
-    )
+    layout = layout.with_columns({local: scanned(f, in_run, j, f.run)})
+    # Ordered by (run, pos), which is bar order and the order the rows are already in.
+    so_far = Window.partitionBy(*layout.keys).orderBy(f"_{name}_run", "pos").rowsBetween(Window.unboundedPreceding, -1)
+    run_end = F.last(F.when(j == f.run - 1, F.col(local)), ignorenulls=True).over(so_far)
     carried = F.coalesce(run_end, F.lit(0.0)) * F.pow(a, j + 1)
     return layout.with_columns({name: f.visible(F.col(local) + carried)})

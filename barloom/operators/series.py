@@ -7,12 +7,13 @@ whole analysis costs one shuffle on ``symbol``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions import indicators as ind
 from barloom.functions.arrays import empty_like
-from barloom.functions.layout import index_bars, series_layout
+from barloom.functions.layout import series_layout
+from barloom.functions.scan import affine_scan
 from barloom.functions.sql import F as S
 from barloom.functions.sql import Sql
 from barloom.schema import MAX_LOOKBACK
@@ -21,6 +22,7 @@ from barloom.sources.resample import tail_lookback
 # Fixed values.
 SWING_LOOKBACK = 3
 ATR_PERIOD = 14
+BAND_PERIOD = 20
 REVERSAL_FALLBACK = 0.005
 
 
@@ -31,31 +33,60 @@ def _collect(cond: Sql | None, **fields: Sql) -> Sql:
 
 
 def scan_bars(candles: DataFrame, lookback: int = MAX_LOOKBACK, chunk_seconds: int | None = None) -> DataFrame:
-    """Bars of the analysis windows with position, indicators and pivot flags."""
-    recent = index_bars(tail_lookback(candles, lookback, chunk_seconds))
-    layout = series_layout(recent, max_rows=lookback)
-    bars = F.count("*").over(layout.frame(-lookback, lookback))
-    later = layout.frame(1, lookback)
+    """Bars of the analysis windows with position, indicators and pivot flags.
+
+    Window functions are computed in as few steps as their dependencies allow, since
+    every step buffers the group once: raw lags and averages, then seeds, then the
+    recursive filters, then pivots.
+    """
+    recent = tail_lookback(candles, lookback, chunk_seconds, age="_age")
+    newer = Window.partitionBy("symbol").orderBy("_age").rowsBetween(Window.unboundedPreceding, -1)
+    df = recent.withColumns(
+        {
+            "later_low": F.min("low").over(newer),
+            "later_high": F.max("high").over(newer),
+            "bar_idx": F.count("*").over(Window.partitionBy("symbol")) - F.col("_age"),
+        }
+    ).withColumns({"bars_after": F.col("_age") - 1, "sec": F.unix_seconds("ts")})
+    layout = series_layout(df, max_rows=lookback)
 
     def before(column: str) -> Column:
         return F.lag(column).over(layout.ordered)
 
     layout = layout.with_columns(
         {
-            "bars_after": bars - 1 - F.col("bar_idx"),
-            "sec": F.unix_seconds("ts"),
-            "prev_sec": before("ts").cast("bigint"),
-            "later_low": F.min("low").over(later),
-            "later_high": F.max("high").over(later),
-            "prev_close": before("close"),
-            "prev_high": before("high"),
-            "prev_low": before("low"),
+            **{f"prev_{c}": before(c) for c in ("sec", "close", "high", "low")},
+            **ind.bollinger(layout, BAND_PERIOD, 2.0),
+        }
+    )
+    layout = affine_scan(layout, {"_fast": ind.ema_filter(12, "close"), "_slow": ind.ema_filter(26, "close")})
+    prev = F.col("prev_close")
+    layout = layout.with_columns(
+        {
+            "_tr": ind.true_range(prev),
+            "_return": ind.log_return(prev),
+            **ind.moves(prev),
+            "macd": F.col("_fast") - F.col("_slow"),
+        }
+    )
+    averages = {
+        "atr": ("_tr", ATR_PERIOD),
+        "_katr": ("_tr", BAND_PERIOD),
+        "_gains": ("_gain", 14),
+        "_losses": ("_loss", 14),
+    }
+    layout = layout.with_columns(
+        {**ind.wilder_seeds(layout, averages), "realized_vol": ind.realized_vol(layout, 20)}
+    )
+    layout = affine_scan(layout, {**ind.wilder_filters(averages), "_signal": ind.ema_filter(9, "macd")})
+    band = F.lit(1.5) * F.col("_katr")
+    layout = layout.with_columns(
+        {
+            "rsi": ind.relative_strength("_gains", "_losses"),
+            "macd_hist": F.col("macd") - F.col("_signal"),
+            "bb_squeeze": ind.squeezed(BAND_PERIOD, F.col("boll_middle") + band, F.col("boll_middle") - band),
         }
     )
-    layout = ind.add_atr(layout, ATR_PERIOD, "atr")
-    layout = ind.add_rsi(layout, 14, "rsi")
-    layout = ind.add_macd_cross_flag(ind.add_macd(layout))
-    layout = ind.add_realized_vol(ind.add_squeeze(layout))
     flags = {
         f"{name}_{kind}": ind.pivot_flag(layout, column, SWING_LOOKBACK, kind)
         for name, column, kinds in (
@@ -67,7 +98,9 @@ def scan_bars(candles: DataFrame, lookback: int = MAX_LOOKBACK, chunk_seconds: i
         )
         for kind in kinds
     }
-    return layout.with_columns({**flags, "prev_atr": F.lag("atr").over(layout.ordered)}).bars()
+    return layout.with_columns(
+        {**flags, "prev_atr": before("atr"), "macd_flag": ind.macd_cross_flag(before("macd_hist"))}
+    ).bars()
 
 
 def gap_size() -> tuple[Sql, Sql]:

@@ -17,6 +17,9 @@ def local_session(cpus: str | int = "*", partitions: int = 8, app: str = "barloo
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "8g")
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "32k")
+        # A whole analysis has more than the default 100 generated classes; beyond that every task recompiles.
+        .config("spark.sql.codegen.cache.maxEntries", "4000")
         .config("spark.ui.enabled", "false")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")

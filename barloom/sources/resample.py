@@ -68,13 +68,16 @@ def order_columns(candles: DataFrame) -> list[str]:
     return ["ts", "seq"] if "seq" in candles.columns else ["ts"]
 
 
-def tail_lookback(candles: DataFrame, lookback: int, chunk_seconds: int | None = None) -> DataFrame:
+def tail_lookback(
+    candles: DataFrame, lookback: int, chunk_seconds: int | None = None, age: str | None = None
+) -> DataFrame:
     """The last ``lookback`` bars of every symbol.
 
     With ``chunk_seconds`` the needed time range is found first from per-chunk row
     counts (a column-pruned, map-side combined aggregate) and all older rows are
     dropped by a semi join before the ranking shuffle; use it on stored tables
-    where one symbol may hold a large share of the rows.
+    where one symbol may hold a large share of the rows. ``age`` names a column to
+    keep that counts bars from the newest, 1 upwards.
     """
     if not MIN_LOOKBACK <= lookback <= MAX_LOOKBACK:
         raise ValueError(f"lookback must be between {MIN_LOOKBACK} and {MAX_LOOKBACK}")
@@ -93,9 +96,9 @@ def tail_lookback(candles: DataFrame, lookback: int, chunk_seconds: int | None =
         )
         rows = candles.withColumn("_chunk", chunk).join(needed, ["symbol", "_chunk"], "left_semi").drop("_chunk")
     newest_first = Window.partitionBy("symbol").orderBy(*[F.desc(c) for c in order_columns(candles)])
-    return (
-        rows.withColumn("_age", F.row_number().over(newest_first)).where(F.col("_age") <= lookback).drop("_age")
-    )
+    name = age or "_age"
+    kept = rows.withColumn(name, F.row_number().over(newest_first)).where(F.col(name) <= lookback)
+    return kept if age else kept.drop(name)
 
 
 def lookback_start(now: Column, timeframe: str, lookback: int) -> Column:
