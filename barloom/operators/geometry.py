@@ -186,12 +186,16 @@ ZONE_BARS = 20
 THESIS_GROUP = "thesis"
 
 
-def thesis_layers(summary: DataFrame, theses: DataFrame, zone_ts: DataFrame) -> DataFrame:
+# Summary columns that a thesis must carry along to be drawn.
+LAYER_COLUMNS = ("meta", "levels", "volatility", "patterns", "left_ts")
+
+
+def thesis_layers(theses: DataFrame) -> DataFrame:
     """Context lines for every symbol; entry zone and trade box only where there is a setup.
 
-    ``zone_ts`` gives (symbol, left_ts): where zone and box start, 20 bars back.
+    Needs ``LAYER_COLUMNS`` next to the thesis; ``left_ts`` is where zone and box start.
     """
-    df = summary.join(theses.select("symbol", "verdict", "setup"), "symbol").join(zone_ts, "symbol")
+    df = theses
     meta, levels, setup, atr = F.col("meta"), F.col("levels"), F.col("setup"), F.col("volatility").atr
 
     def text(x: Sql) -> Sql:
@@ -262,8 +266,7 @@ def thesis_layers(summary: DataFrame, theses: DataFrame, zone_ts: DataFrame) ->
     )
 
 
-def zone_starts(rows: DataFrame) -> DataFrame:
-    """Time of the bar 20 bars back (the first bar of shorter series), from scan rows."""
-    n = F.col("n")
-    bar = F.get(F.col("bars"), F.greatest(0, n - ZONE_BARS))
-    return rows.select("symbol", bar.ts.column().alias("left_ts"))
+def with_zone_start(rows: DataFrame) -> DataFrame:
+    """Add ``left_ts`` to scan rows: the bar 20 bars back, or the first one."""
+    bar = F.get(F.col("bars"), F.greatest(0, F.col("n") - ZONE_BARS))
+    return rows.withColumn("left_ts", bar.ts.column())

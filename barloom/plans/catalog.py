@@ -38,6 +38,7 @@ from barloom.sources.views import (
 
 Query = Callable[[SparkSession, str], DataFrame]
 DAY = 86400
+MINUTE = 60
 QUERIES: dict[str, Query] = {}
 
 
@@ -135,7 +136,7 @@ def _indicator(columns, *wanted, view=candles_walk, **kw):
 
 def _on_ticks(columns, *wanted):
     """Over every event as its own bar: few, very long series, hence the block layout."""
-    return _indicator(columns, *wanted, view=tick_candles, chunk_seconds=DAY)
+    return _indicator(columns, *wanted, view=tick_candles, chunk_seconds=MINUTE)
 
 
 QUERIES |= {
@@ -312,7 +313,7 @@ def series_pivots(spark, d):
 
 @query
 def series_pivots_ticks(spark, d):
-    return _flat(swings.series_pivots(tick_candles(spark, d), chunk_seconds=DAY).drop("ts"))
+    return _flat(swings.series_pivots(tick_candles(spark, d), chunk_seconds=MINUTE).drop("ts"))
 
 
 @query
@@ -402,7 +403,7 @@ def as_of_bar(spark, d):
         shifted.alias("at"),
         pf.col("event_id").alias("request_id"),
     )
-    return _flat(ranges.as_of_bar(bars, keyed, 90 * DAY).select("symbol", "request_id", "bar_idx"))
+    return _flat(ranges.as_of_bar(bars, keyed, 7 * DAY).select("symbol", "request_id", "bar_idx"))
 
 
 # ── patterns ────────────────────────────────────────────────────────────────
@@ -562,7 +563,7 @@ def stand_aside_guard(spark, d):
 @query
 def horizon_by_symbol(spark, d):
     parts = [
-        scan_rows(view(spark, d)).select("symbol", horizon(F.col("timeframe_seconds")).column().alias("horizon"))
+        infer_timeframe(view(spark, d)).select("symbol", horizon(F.col("timeframe_seconds")).column().alias("horizon"))
         for view in (candles_ev, candles_user, candles_ord)
     ]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
@@ -630,9 +631,8 @@ def pattern_geometry(spark, d):
 
 @query
 def thesis_layers(spark, d):
-    rows = scan_rows(candles_walk(spark, d))
-    s = summarize(rows)
-    g = geometry.thesis_layers(s, compose_thesis(s), geometry.zone_starts(rows))
+    rows = geometry.with_zone_start(scan_rows(candles_walk(spark, d)))
+    g = geometry.thesis_layers(compose_thesis(summarize(rows, ("left_ts",)), geometry.LAYER_COLUMNS))
     return _flat(_shape_points(g))
 
 
@@ -640,11 +640,13 @@ def thesis_layers(spark, d):
 def price_alerts(spark, d):
     """Alerts at each nation's key price (20 + 4 per nation), direction by region."""
     n = spark.read.parquet(f"{d}/nation.parquet")
-    types = spark.read.parquet(f"{d}/events.parquet").select(pf.col("event_type").alias("symbol")).distinct()
     way = pf.when(pf.col("n_regionkey") == 0, "above").when(pf.col("n_regionkey") == 1, "below")
-    rules = types.join(
-        n.select((20 + 4 * pf.col("n_nationkey")).cast("double").alias("price"), way.alias("direction"), pf.col("n_name").alias("note")),
-        how="cross",
+    types = [pf.lit(t) for t in ("click", "error", "purchase", "signup", "view")]
+    rules = n.select(
+        pf.explode(pf.array(*types)).alias("symbol"),
+        (20 + 4 * pf.col("n_nationkey")).cast("double").alias("price"),
+        way.alias("direction"),
+        pf.col("n_name").alias("note"),
     )
     return _flat(ranges.price_alerts(candles_ev(spark, d), rules, 7 * DAY))
 

@@ -30,8 +30,11 @@ def meta_summary() -> Sql:
     )
 
 
-def summarize(rows: DataFrame) -> DataFrame:
-    """Scan rows to summary rows: symbol, meta, trend, plr, levels, momentum, volatility, patterns."""
+def summarize(rows: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Scan rows to summary rows: symbol, meta, trend, plr, levels, momentum, volatility, patterns.
+
+    ``keep`` names further columns of the scan rows to carry along.
+    """
     rows = with_segments(with_levels(with_patterns(rows)))
     rows = rows.withColumn("_div", divergences("rsi", "macd").column())
     return rows.select(
@@ -43,6 +46,7 @@ def summarize(rows: DataFrame) -> DataFrame:
         momentum_summary(F.col("_div")).column().alias("momentum"),
         volatility_summary().column().alias("volatility"),
         "patterns",
+        *keep,
     )
 
 

@@ -299,8 +299,11 @@ def _notes() -> Sql:
     )
 
 
-def compose_thesis(summary: DataFrame) -> DataFrame:
-    """One thesis per summary row. Without a clean setup the verdict is to stand aside."""
+def compose_thesis(summary: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One thesis per summary row. Without a clean setup the verdict is to stand aside.
+
+    ``keep`` names summary columns to carry along.
+    """
     df = with_verdict(with_evidence(summary))
     setup = F.when(F.col("bias") == "bullish", trade_setup("long")).when(
         F.col("bias") == "bearish", trade_setup("short")
@@ -339,6 +342,7 @@ def compose_thesis(summary: DataFrame) -> DataFrame:
         _notes().column().alias("notes"),
         pf.col("_bull_score").alias("bull_score"),
         pf.col("_bear_score").alias("bear_score"),
+        *keep,
     )
 
 
@@ -358,10 +362,13 @@ def rank_setups(
 ) -> tuple[DataFrame, DataFrame]:
     """(ranked, failed): theses of all symbols, best first, and the symbols that have no usable bar.
 
-    Ranking is a distributed sort; take the head of it for a top-k report.
+    Ranking is a distributed sort. It needs a sampling pass over its input, so the
+    finished theses (one short row per symbol) are shuffled once before it; otherwise
+    the whole analysis would run twice.
     """
     ok = is_valid_candle()
-    ranked = score(thesis(candles.where(ok), lookback, chunk_seconds)).orderBy(pf.desc("score"), "symbol")
+    done = score(thesis(candles.where(ok), lookback, chunk_seconds).repartition(pf.xxhash64("symbol")))
+    ranked = done.orderBy(pf.desc("score"), "symbol")
     failed = (
         candles.groupBy("symbol")
         .agg(pf.count_if(ok).alias("usable"), pf.count("*").alias("rows"))
