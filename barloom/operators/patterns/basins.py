@@ -82,14 +82,21 @@ def cup_handle_hits(bars: Sql, n: Sql, zz: Sql, atr: Sql, close: Sql) -> Sql:
         & (x.rim - x.dip <= F.lit(HANDLE_MAX_DEPTH_FRAC * MAX_DEPTH_FRAC) * x.rim * 1.000001)
         & (close >= x.rim * F.lit(1 - HANDLE_RECOVERY_FRAC * MAX_DEPTH_FRAC - 0.000001)),
     )
-    c = c.add(lows=lambda x: as_xy(bar_slice(bars, x.left.idx, x.right.idx), "low"))
-    c = c.add(bottom=lambda x: F.array_min(F.transform(x.lows, lambda p: p.y)))
+    # The lowest low needs no lambda per bar: a slice of the plain list of lows.
+    lows = F.transform(bars, lambda b: b.low)
+    c = Candidates(
+        let(lows, lambda ls: c.add(bottom=lambda x: F.array_min(bar_slice(ls, x.left.idx, x.right.idx))).array),
+        (*c.fields, "bottom"),
+    )
     c = c.add(depth=lambda x: x.rim - x.bottom)
     c = c.where(lambda x: (x.depth >= F.lit(MIN_DEPTH_ATR) * atr)
         & (x.depth <= F.lit(MAX_DEPTH_FRAC) * x.rim)
         & (x.rim - x.dip <= F.lit(HANDLE_MAX_DEPTH_FRAC) * x.depth)
         & (close >= x.rim - F.lit(HANDLE_RECOVERY_FRAC) * x.depth)
-        & (_basin_share(x.lows, x.bottom + F.lit(BASIN_DEPTH_FRAC) * x.depth) >= MIN_BASIN_FRAC),
+    )
+    c = c.add(lows=lambda x: as_xy(bar_slice(bars, x.left.idx, x.right.idx), "low"))
+    c = c.where(
+        lambda x: _basin_share(x.lows, x.bottom + F.lit(BASIN_DEPTH_FRAC) * x.depth) >= MIN_BASIN_FRAC
     )
     c = c.add(fit=lambda x: fit_parabola(x.lows))
     c = c.where(lambda x: (x.fit.a > 0)
