@@ -213,14 +213,12 @@ def encode(docs: DataFrame, path: str, text: str = "text", digests_only: bool =
     """The rows of ``docs`` with token_ids (array of int) and decoded (text), or with n_tokens and the digests of both."""
     spark = docs.sparkSession
     tables = spark.sparkContext.broadcast(Tables(path))
-    more = (
-        "0L AS n_tokens, '' AS ids_sha256, '' AS decoded_sha256" if digests_only else "array(0) AS token_ids, '' AS decoded"
-    )
+    more = ["0L AS n_tokens", "'' AS ids_sha256", "'' AS decoded_sha256"] if digests_only else ["array(0) AS token_ids", "'' AS decoded"]
     new = ["n_tokens", "ids_sha256", "decoded_sha256"] if digests_only else ["token_ids", "decoded"]
     docs = docs.drop(*new)
     keep = [c for c in docs.columns if not (digests_only and c == text)]
     names = docs.columns
-    schema = docs.select(*keep).selectExpr("*", more).schema
+    schema = docs.select(*keep).selectExpr("*", *more).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(tables.value)
