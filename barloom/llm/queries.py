@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import bpe, jaccard_join, language_id, pii
+from barloom.llm import bpe, decontaminate, jaccard_join, language_id, pii
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,12 @@ def _crc(mod: int):
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(mod))
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    flagged = decontaminate.flag(docs, _table(spark, sf_dir, "benchmark"))
+    return flagged.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(_crc(4) == 2, F.lit(False)))
     model = language_id.train(docs.where("NOT held_out"))
@@ -45,6 +51,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op5_decontaminate": op5_decontaminate,
     "op6_language_id": op6_language_id,
     "op7_jaccard_join": op7_jaccard_join,
     "op9_bpe": op9_bpe,

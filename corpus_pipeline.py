@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from barloom.llm import bpe, language_id, pii
+from barloom.llm import bpe, decontaminate, jaccard_join, language_id, pii
 from barloom.llm.common import written
 
 
@@ -13,6 +14,18 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return language_id.without_unknown(docs, language_id.identify(docs, language_id.train(docs)))
 
 
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of every group of near copies the document with the smallest id stays; of rows with that id, all."""
+    joined = jaccard_join.join(docs).where("doc_id IS NOT NULL AND doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(joined, "doc_id", "left_anti").select(*docs.columns)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a test item go."""
+    flagged = decontaminate.flag(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return flagged.where(F.size("leaks") == 0).select(*docs.columns)
+
+
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data become their kind in brackets; every document stays."""
     return pii.redact(pii.find(docs, pii.train(docs))).select(*docs.columns)
@@ -27,6 +40,8 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("language_id", known_language),
+    ("jaccard_join", one_of_each),
+    ("decontaminate", without_benchmark),
     ("pii", without_personal_data),
     ("bpe", encoded),
 ]
