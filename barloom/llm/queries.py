@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import bpe, decontaminate, jaccard_join, language_id, pii
+from barloom.llm import bpe, chat, decontaminate, jaccard_join, language_id, pii, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,22 @@ def _crc(mod: int):
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(mod))
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.read(warc.write(_table(spark, sf_dir, "pages")), keep_payload=False).where("kind = 'record'")
+    return records.select(
+        F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", F.col("warc_type").alias("record_type"), "refers_to"
+    )
+
+
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text")
+    )
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat.digests(chat.windows(turns))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     flagged = decontaminate.flag(docs, _table(spark, sf_dir, "benchmark"))
@@ -51,6 +67,8 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_warc": op1_warc,
+    "op2_chat": op2_chat,
     "op5_decontaminate": op5_decontaminate,
     "op6_language_id": op6_language_id,
     "op7_jaccard_join": op7_jaccard_join,
