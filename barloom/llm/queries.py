@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import bpe, chat, decontaminate, jaccard_join, language_id, pii, warc
+from barloom.llm import bpe, chat, decontaminate, jaccard_join, language_id, mtree, pii, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,11 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.windows(turns))
 
 
+def op4_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mtree.whole(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 256)
+    return mtree.search(rows, rows.where("vec_id % 50 = 0"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     flagged = decontaminate.flag(docs, _table(spark, sf_dir, "benchmark"))
@@ -69,6 +74,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_chat": op2_chat,
+    "op4_mtree": op4_mtree,
     "op5_decontaminate": op5_decontaminate,
     "op6_language_id": op6_language_id,
     "op7_jaccard_join": op7_jaccard_join,
