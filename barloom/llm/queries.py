@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import bpe, chat, decontaminate, jaccard_join, language_id, mtree, pii, warc
+from barloom.llm import bpe, chat, decontaminate, jaccard_join, language_id, mtree, pii, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,15 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(_table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(_crc(5) == 0, F.lit(False)))
+    labels = _table(spark, sf_dir, "labels").where(F.coalesce(_crc(5) != 0, F.lit(False)))
+    found = toxicity.score(docs.select("doc_id", "held_out", "text"), toxicity.train(docs, labels), keep_text=False)
+    return found.select(
+        "doc_id", "held_out", F.col("toxic_score").alias("score"), (F.col("toxic_score") >= 0.5).cast("int").alias("predicted"), F.size("toxic_spans").alias("n_spans")
+    )
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -78,6 +87,7 @@ QUERIES = {
     "op5_decontaminate": op5_decontaminate,
     "op6_language_id": op6_language_id,
     "op7_jaccard_join": op7_jaccard_join,
+    "op8_toxicity": op8_toxicity,
     "op9_bpe": op9_bpe,
     "op10_pii": op10_pii,
 }
