@@ -19,7 +19,7 @@ document where ids are compared, each with its own set; extra columns are ignore
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -253,18 +253,37 @@ def _remember(rule: Rule) -> Rule:
 
 def _links(docs: DataFrame, nodes: DataFrame, blocks: DataFrame, rule: Rule) -> DataFrame:
     """Verified links (a, b) between set keys that connect each component."""
-    spark, k = docs.sparkSession, rule.k
-    bounds = F.array(*[F.lit(b).cast("long") for b in rule.bounds])
-    size_class = F.size(F.filter(bounds, lambda b: b <= F.col("n")))
+    k = rule.k
     one = nodes.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"))
     member = written(one.join(blocks.select(F.col("id").alias("key"), F.col("label").alias("block")), "key"), "join-member")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, found in _sets(batch.column(0), k):
+                part = batch.slice(at, len(found))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([s.tobytes() for s in found], pa.binary()), *part.columns[1:]], ["shingles", "key", "block", "at"]
+                )
+
+    def with_sets(placed: DataFrame) -> DataFrame:
+        texts = docs.join(placed.select("doc_id", "key", "block", "at"), "doc_id").select("text", "key", "block", "at")
+        return texts.mapInArrow(sets, texts.selectExpr("cast('' as binary) AS shingles", "key", "block", "at").schema)
+
+    return tiled_links(member, with_sets, rule)
+
+
+def tiled_links(member: DataFrame, with_sets: Callable[[DataFrame], DataFrame], rule: Rule, by_size: bool = True) -> DataFrame:
+    """Verified links (a, b) that connect each component, of sets (key, n, block) of which no link leaves its block.
+
+    ``with_sets`` gets the members with a column ``at`` and returns (shingles, key, block, at), shingles being the sorted
+    64-bit hashes of the set as bytes. With ``by_size``, n is the exact size and tiles of sizes that can't link don't meet.
+    """
+    bounds = F.array(*[F.lit(b).cast("long") for b in rule.bounds])
+    size_class = F.size(F.filter(bounds, lambda b: b <= F.col("n")))
     weight = member.groupBy("block").agg(F.sum("n").alias("weight"))
-    member = member.join(weight, "block").withColumn("class", F.when(F.col("weight") > TILE, size_class).otherwise(F.lit(0)))
-    tiles = (
-        member.groupBy("block", "class")
-        .agg(F.ceil(F.sum("n") / F.lit(TILE)).cast("int").alias("tiles"))
-        .select("block", "class", F.when(F.col("class") == 0, F.lit(1)).otherwise(F.col("tiles")).alias("tiles"))
-    )
+    big = F.col("weight") > TILE
+    member = member.join(weight, "block").withColumn("class", F.when(big, size_class if by_size else F.lit(1)).otherwise(F.lit(0)))
+    tiles = member.groupBy("block", "class").agg(F.ceil(F.sum("n") / F.lit(TILE)).cast("int").alias("tiles"))
     above = tiles.select("block", (F.col("class") - 1).alias("class"), F.col("tiles").alias("tiles_above"))
     below = tiles.select("block", (F.col("class") + 1).alias("class"), F.col("tiles").alias("tiles_below"))
     plan = tiles.join(above, ["block", "class"], "left").join(below, ["block", "class"], "left")
@@ -291,17 +310,7 @@ def _links(docs: DataFrame, nodes: DataFrame, blocks: DataFrame, rule: Rule) ->
     )
     beside = F.concat(same, F.coalesce(up, none), F.coalesce(down, none))
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at, found in _sets(batch.column(0), k):
-                part = batch.slice(at, len(found))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([s.tobytes() for s in found], pa.binary()), *part.columns[1:]], ["shingles", "key", "block", "at"]
-                )
-
-    texts = docs.join(member.select("doc_id", "key", "block", beside.alias("at")), "doc_id").select("text", "key", "block", "at")
-    schema = texts.selectExpr("cast('' as binary) AS shingles", "key", "block", "at").schema
-    placed = texts.mapInArrow(sets, schema).select("block", "key", "shingles", F.explode("at").alias("at"))
+    placed = with_sets(member.withColumn("at", beside)).select("block", "key", "shingles", F.explode("at").alias("at"))
     placed = placed.select("block", "key", "shingles", "at.*")
 
     def tile(table: pa.Table) -> pa.Table:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import bpe, chat, decontaminate, jaccard_join, language_id, mtree, pii, toxicity, warc
+from barloom.llm import bpe, chat, decontaminate, jaccard_join, language_id, mtree, passages, pii, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,10 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.windows(turns))
 
 
+def op3_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeats(_table(spark, sf_dir, "documents"))
+
+
 def op4_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mtree.whole(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 256)
     return mtree.search(rows, rows.where("vec_id % 50 = 0"))
@@ -83,6 +87,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_chat": op2_chat,
+    "op3_passages": op3_passages,
     "op4_mtree": op4_mtree,
     "op5_decontaminate": op5_decontaminate,
     "op6_language_id": op6_language_id,

@@ -19,7 +19,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-def _powers(n: int) -> list[np.ndarray]:
+def powers(n: int) -> list[np.ndarray]:
     if len(_POWERS[0]) < n:
         size = max(n, SLICE_BYTES + 1)
         for k, base in enumerate((_P, pow(_P, -1, 1 << 64))):
@@ -73,7 +73,7 @@ class Words:
         self.start = np.flatnonzero(begins)
         self.end = np.flatnonzero(inside & (gap[1:] | first[1:])) + 1
         self.row = np.searchsorted(offs, self.start, "right") - 1
-        up, down = _powers(len(low) + 1)
+        up, down = powers(len(low) + 1)
         sums = np.zeros(len(low) + 1, np.uint64)
         np.cumsum(low * up[: len(low)], out=sums[1:])
         raw = (sums[self.end] - sums[self.start]) * down[self.start]
