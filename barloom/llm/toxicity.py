@@ -1,8 +1,8 @@
 """Toxicity by a linear-chain conditional random field over words.
 
-Labels are per document, so token labels are made from them: on one part of the labelled sample, words that occur far
-more often in toxic than in clean texts (counted once per distinct text) get a strength; in the other part, strong
-words of toxic texts are the toxic tokens. The field has two states; a word's features are its own strength and those of the words
+Labels are per document, so token labels are made from them: on one part of the labelled sample, words and beginnings
+of words that occur far more often in toxic than in clean texts (counted once per distinct text) get a strength, a word the
+largest of its own; in the other part, strong words of toxic texts are the toxic tokens. The field has two states; a word's features are its own strength and those of the words
 before and after it. It is fitted by gradient steps on forward-backward marginals. Per document the marginals are
 aggregated (noisy-or, expected count, largest) and calibrated by a logistic regression; runs of likely toxic words
 come out with their offsets.
@@ -30,12 +30,14 @@ from barloom.llm.common import written
 from barloom.llm.decontaminate import BREAKS, fold
 from barloom.llm.words import Words, slices
 
-SAMPLE = 6_000
+SAMPLE = 4_000
 FIELD_DOCS = 1_500
 STEPS, RATE, DECAY = 60, 0.3, 1e-3
 #: Log-odds from which a word has strength 1, 2, ...; from ``STRONG`` on it is a toxic token in a toxic text.
 BINS = (1.0, 2.0, 3.0, 4.0, 5.0, 6.0)
 STRONG = 3
+#: Lengths, in bytes, of the beginnings of words that can be signs.
+BEGINNINGS = (4, 5, 6, 7, 8)
 SPAN = 0.5
 
 
@@ -134,14 +136,22 @@ class Model:
     def __init__(self, words: np.ndarray, strength: np.ndarray):
         order = np.argsort(words)
         self.words, self.strength = words[order], strength[order]
+        # A bit per low hash bits keeps most signs away from the search.
+        self.filter = np.zeros(1 << max(12, int(len(words)).bit_length() + 5), bool)
+        self.filter[(self.words & np.uint64(len(self.filter) - 1)).astype(np.int64)] = True
         self.field: Field | None = None
         self.weights = np.zeros(4)
 
     def strengths(self, w: Words) -> np.ndarray:
-        if not len(self.words):
-            return np.zeros(len(w.hash), np.int64)
-        at = np.minimum(np.searchsorted(self.words, w.hash), len(self.words) - 1)
-        return np.where(self.words[at] == w.hash, self.strength[at], 0)
+        out = np.zeros(len(w.hash), np.int64)
+        if not len(self.words) or not len(out):
+            return out
+        for sign in _signs(w):
+            maybe = np.flatnonzero(self.filter[(sign & np.uint64(len(self.filter) - 1)).astype(np.int64)])
+            at = np.minimum(np.searchsorted(self.words, sign[maybe]), len(self.words) - 1)
+            hit = self.words[at] == sign[maybe]
+            out[maybe[hit]] = np.maximum(out[maybe[hit]], self.strength[at[hit]])
+        return out
 
     def probability(self, strength: np.ndarray, first: np.ndarray) -> np.ndarray:
         return self.field.marginals(strength, first)[0] if len(strength) else np.zeros(0)
@@ -168,6 +178,11 @@ def _words(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, Word
         yield at, data, offs, Words(fold(data), offs, BREAKS)
 
 
+def _signs(w: Words) -> list[np.ndarray]:
+    """Hashes of the words and of their beginnings."""
+    return [w.hash, *(w.beginnings(k) for k in BEGINNINGS)]
+
+
 def _firsts(w: Words) -> np.ndarray:
     first = np.zeros(len(w.hash), bool)
     first[w.first[:-1][np.diff(w.first) > 0]] = True
@@ -189,27 +204,41 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            toxic = batch.column(1).to_numpy()
+            label, part = batch.column(1).to_numpy(), batch.column(2).to_numpy()
             for at, _, _, w in _words(batch.column(0)):
-                found = [np.unique(w.hash[a:b]) for a, b in zip(w.first[:-1], w.first[1:], strict=True)]
-                label = np.repeat(toxic[at : at + w.rows], [len(x) for x in found])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).astype(np.int64)), pa.array(label.astype(np.int32))], ["word", "toxic"])
-
-    source = rows.where("part < 2").select("text", "toxic").distinct()
-    size = {r["toxic"]: r["n"] for r in source.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    if len(size) < 2:
+                signs = np.stack(_signs(w))
+                found = [np.unique(signs[:, a:b]) for a, b in zip(w.first[:-1], w.first[1:], strict=True)]
+                row = np.repeat(np.arange(at, at + w.rows), [len(x) for x in found])
+                columns = [np.concatenate(found).astype(np.int64), label[row].astype(np.int32), part[row].astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["word", "toxic", "part"])
+
+    texts = rows.distinct()
+    early = F.col("part") < 2
+    toxic = F.col("toxic") == 1
+    size = texts.agg(*[F.count_if(c).alias(x) for x, c in (("t", toxic), ("n", ~toxic), ("t2", toxic & early), ("n2", ~toxic & early))]).first()
+    if not size["t2"] or not size["n2"]:
         return Model(np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    counts = source.mapInArrow(distinct, "word long, toxic int").groupBy("word").agg(F.sum("toxic").alias("t"), F.count("*").alias("n"))
-    odds = F.log((F.col("t") + 0.5) / (size[1] + 1)) - F.log((F.col("n") - F.col("t") + 0.5) / (size[0] + 1))
-    least = max(3, size[1] // 200)
-    strong = counts.where(F.col("t") >= least).select("word", odds.alias("odds")).where(F.col("odds") >= BINS[0]).toPandas()
-    model = Model(strong["word"].to_numpy(np.int64).astype(np.uint64), np.searchsorted(BINS, strong["odds"].to_numpy(float), "right").astype(np.int64))
+    counts = texts.mapInArrow(distinct, "word long, toxic int, part int").groupBy("word")
+    counts = counts.agg(*[F.count_if(c).alias(x) for x, c in (("t", toxic), ("n", ~toxic), ("t2", toxic & early), ("n2", ~toxic & early))])
+
+    def odds(t: str, n: str):
+        return F.log((F.col(t) + 0.5) / (size[t] + 1)) - F.log((F.col(n) + 0.5) / (size[n] + 1))
+
+    strong = counts.select("word", *[F.when(F.col(t) >= max(4, size[t] // 200), odds(t, n)).alias(t) for t, n in (("t", "n"), ("t2", "n2"))])
+    strong = strong.where((F.col("t") >= BINS[0]) | (F.col("t2") >= BINS[0])).toPandas()
+
+    def lexicon(column: str) -> Model:
+        value = strong[column].fillna(0.0).to_numpy(float)
+        return Model(strong["word"].to_numpy(np.int64).astype(np.uint64), np.searchsorted(BINS, value, "right").astype(np.int64))
+
+    # The field and the calibration learn on texts that the words' strengths do not come from; the model then has those of all.
+    first_part, model = lexicon("t2"), lexicon("t")
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for _, _, _, w in _words(batch.column(0)):
-                s = model.strengths(w).astype(np.uint8)
+                s = first_part.strengths(w).astype(np.uint8)
                 out += [s[a:b].tobytes() for a, b in zip(w.first[:-1], w.first[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), batch.column(1)], ["strengths", "toxic"])
 

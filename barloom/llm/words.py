@@ -76,11 +76,20 @@ class Words:
         up, down = powers(len(low) + 1)
         sums = np.zeros(len(low) + 1, np.uint64)
         np.cumsum(low * up[: len(low)], out=sums[1:])
+        self._sums, self._down = sums, down
         raw = (sums[self.end] - sums[self.start]) * down[self.start]
         self.hash = mix(raw ^ ((self.end - self.start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
         #: Words of row r are first[r]:first[r + 1].
         self.first = np.searchsorted(self.row, np.arange(self.rows + 1))
 
+    def beginnings(self, k: int) -> np.ndarray:
+        """Hashes of the first k bytes of the words; 0 for words that are not longer."""
+        longer = self.end - self.start > k
+        at = self.start[longer]
+        out = np.zeros(len(self.start), np.uint64)
+        out[longer] = mix((self._sums[at + k] - self._sums[at]) * self._down[at] ^ np.uint64(k * 0x100000001B3))
+        return out
+
     def shingles(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the k-word sequences in order, and where each row's begin; fewer words make one of all."""
         n = np.diff(self.first)
