@@ -28,7 +28,7 @@ from pyspark.sql.window import Window
 
 from barloom.llm.common import written
 
-PIVOTS, SEEDS, PAGE, LEAF, QUERIES = 64, 512, 2048, 48, 512
+PIVOTS, SEEDS, PAGE, LEAF, QUERIES = 16, 512, 8192, 256, 512
 
 
 def whole(vectors: DataFrame, vec_id: str, vector: str, scale: int) -> DataFrame:
