@@ -198,10 +198,8 @@ def template_hits(zz: Sql, atr: Sql, templates: Sequence[Template] = HARMONICS)
     )
     in_order = F.array_sort(
         found,
-        lambda a, b: (
-            (a.arity - b.arity) * 10000 + (a.i - b.i) * 100 + (a.no - b.no)
-        ),
+        lambda a, b: F.when(a.arity != b.arity, a.arity - b.arity).when(a.i != b.i, a.i - b.i).otherwise(a.no - b.no),
     )
     return when_enough(atr > 0, F.transform(in_order, lambda m: m.hit))
 
-__all__ = ["HARMONICS", "Ratio", "Template", "at", "template_hits"]
+__all__ = ["HARMONICS", "Ratio", "Template", "template_hits"]

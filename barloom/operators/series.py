@@ -1,8 +1,9 @@
 """One row per symbol: the analysis window of a series and what all detectors share.
 
-An analysis looks at the last ``lookback`` bars (at most 5,000) of each symbol, so
-a row is bounded and every operator downstream of it is a plain projection: the
-whole analysis costs one shuffle on ``symbol``.
+An analysis looks at the last ``lookback`` bars of each symbol, or at the whole series
+where none is given. The series is one row of arrays, so every operator downstream of it
+is a plain projection and the whole analysis costs one shuffle on ``symbol``; the row
+grows with the bars that are looked at, so give a lookback for series of many millions.
 """
 
 from __future__ import annotations
@@ -16,8 +17,7 @@ from barloom.functions.layout import series_layout
 from barloom.functions.scan import affine_scan
 from barloom.functions.sql import F as S
 from barloom.functions.sql import Sql
-from barloom.schema import MAX_LOOKBACK
-from barloom.sources.resample import tail_lookback
+from barloom.sources.resample import with_age
 
 # Fixed values.
 SWING_LOOKBACK = 3
@@ -32,14 +32,14 @@ def _collect(cond: Sql | None, **fields: Sql) -> Sql:
     return S.array_sort(S.collect_list(row if cond is None else S.when(cond, row)))
 
 
-def scan_bars(candles: DataFrame, lookback: int = MAX_LOOKBACK, chunk_seconds: int | None = None) -> DataFrame:
+def scan_bars(candles: DataFrame, lookback: int | None = None, chunk_seconds: int | None = None) -> DataFrame:
     """Bars of the analysis windows with position, indicators and pivot flags.
 
     Window functions are computed in as few steps as their dependencies allow, since
     every step buffers the group once: raw lags and averages, then seeds, then the
     recursive filters, then pivots.
     """
-    recent = tail_lookback(candles, lookback, chunk_seconds, age="_age")
+    recent = with_age(candles, "_age", lookback, chunk_seconds)
     newer = Window.partitionBy("symbol").orderBy("_age").rowsBetween(Window.unboundedPreceding, -1)
     df = recent.withColumns(
         {
@@ -121,7 +121,7 @@ def open_gap() -> Sql:
     return S.when(up >= floor, S.when(up_open, "gap_up")).when((down >= floor) & down_open, "gap_down")
 
 
-def scan_rows(candles: DataFrame, lookback: int = MAX_LOOKBACK, chunk_seconds: int | None = None) -> DataFrame:
+def scan_rows(candles: DataFrame, lookback: int | None = None, chunk_seconds: int | None = None) -> DataFrame:
     """One wide row per symbol; unused parts are pruned by the optimizer.
 
     ``bars`` and every pivot list are arrays in bar order.

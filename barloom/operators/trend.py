@@ -48,16 +48,17 @@ def trend_summary() -> Sql:
     )
 
 
-def trend_by_symbol(indexed: DataFrame) -> DataFrame:
-    """Trend of whole histories from plain aggregates over (symbol, bar_idx, close)."""
+def trend_by_symbol(indexed: DataFrame, **more: Column) -> DataFrame:
+    """Trend of whole histories from plain aggregates over (symbol, bar_idx, close); ``more`` are further aggregates."""
     fits = indexed.groupBy("symbol").agg(
         pf.count("*").alias("n"),
         pf.regr_slope("close", "bar_idx").alias("trend_slope"),
         pf.regr_r2("close", "bar_idx").alias("trend_r2"),
         pf.avg("close").alias("avg_close"),
         pf.var_pop("close").alias("var_close"),
+        *[column.alias(name) for name, column in more.items()],
     )
-    return fits.withColumn("trend", trend_summary().column()).select("symbol", "trend.*")
+    return fits.withColumn("trend", trend_summary().column()).select("symbol", "trend.*", *more)
 
 
 def _merge_moments(a: tuple, b: tuple) -> tuple:

@@ -29,6 +29,7 @@ from barloom.sources.resample import infer_timeframe, resample_candles, tail_loo
 from barloom.sources.views import (
     candles_ev,
     candles_frames,
+    candles_lines,
     candles_ord,
     candles_paths,
     candles_user,
@@ -199,8 +200,8 @@ def min_reversal(spark, d):
 
 
 @query
-def trend_summary(spark, d):
-    return _flat(trend_by_symbol(index_bars(candles_walk(spark, d))))
+def trend_summary(spark, d, view=candles_walk):
+    return _flat(trend_by_symbol(index_bars(view(spark, d))))
 
 
 @query
@@ -293,13 +294,13 @@ def volume_profile(spark, d):
 
 
 @query
-def poc_value_area(spark, d):
-    return _flat(levels.with_levels(scan_rows(candles_walk(spark, d))).select("symbol", "poc", "vah", "val"))
+def poc_value_area(spark, d, view=candles_walk):
+    return _flat(levels.with_levels(scan_rows(view(spark, d))).select("symbol", "poc", "vah", "val"))
 
 
 @query
-def meta_summary(spark, d):
-    rows = scan_rows(candles_user(spark, d))
+def meta_summary(spark, d, view=candles_user):
+    rows = scan_rows(view(spark, d))
     return _flat(rows.select("symbol", pf.col("n").alias("candle_count"), "timeframe_seconds", "first_ts", "last_ts", "last_close"))
 
 
@@ -322,8 +323,8 @@ def candle_swings(spark, d):
 
 
 @query
-def zigzag(spark, d):
-    rows = each(scan_rows(candles_walk(spark, d)), "zz", "symbol")
+def zigzag(spark, d, view=candles_walk):
+    rows = each(scan_rows(view(spark, d)), "zz", "symbol")
     return _flat(rows.select("symbol", "no", "x.idx", "x.kind", "x.ts", "x.price"))
 
 
@@ -358,8 +359,8 @@ def level_clusters(spark, d):
 
 
 @query
-def find_levels(spark, d):
-    rows = levels.with_levels(scan_rows(candles_walk(spark, d)))
+def find_levels(spark, d, view=candles_walk):
+    rows = levels.with_levels(scan_rows(view(spark, d)))
     sides = [
         F.transform(F.col(side), lambda p, i, side=side: F.struct(("side", side), ("no", i), ("price", p)))
         for side in ("support", "resistance")
@@ -651,15 +652,19 @@ def price_alerts(spark, d):
     return _flat(ranges.price_alerts(candles_ev(spark, d), rules, 7 * DAY))
 
 
+def _long(f: Query) -> Query:
+    """The same over series of many thousand bars."""
+    return lambda spark, d: f(spark, d, candles_lines)
+
+
+QUERIES |= {f"{f.__name__}_lines": _long(f) for f in (trend_summary, meta_summary, zigzag, poc_value_area, find_levels)}
+
+
 def trending_with_bands(spark: SparkSession, d: str) -> DataFrame:
     """Which symbols trend, and how wide are their bands."""
     bars = with_indicators(candles_walk(spark, d), [Indicator("BOLL", (20,))])
-    trend = trend_by_symbol(bars)
-    width = bars.groupBy("symbol").agg(
-        pf.max_by(pf.col("boll_upper") - pf.col("boll_lower"), "bar_idx").alias("band_width"),
-        pf.max_by("close", "bar_idx").alias("last"),
-    )
-    return _flat(trend.join(width, "symbol"))
+    width = pf.max_by(pf.col("boll_upper") - pf.col("boll_lower"), "bar_idx")
+    return _flat(trend_by_symbol(bars, band_width=width, last=pf.max_by("close", "bar_idx")))
 
 
 query(trending_with_bands)

@@ -13,7 +13,6 @@ from barloom.operators.patterns.detect import with_patterns
 from barloom.operators.select import top_hits
 from barloom.operators.series import scan_rows
 from barloom.operators.trend import trend_summary, with_segments
-from barloom.schema import MAX_LOOKBACK
 
 # Fixed values.
 COMPACT_SEGMENTS = 4
@@ -50,7 +49,7 @@ def summarize(rows: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     )
 
 
-def market_summary(candles: DataFrame, lookback: int = MAX_LOOKBACK, chunk_seconds: int | None = None) -> DataFrame:
+def market_summary(candles: DataFrame, lookback: int | None = None, chunk_seconds: int | None = None) -> DataFrame:
     return summarize(scan_rows(candles, lookback, chunk_seconds))
 
 

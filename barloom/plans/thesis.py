@@ -10,7 +10,7 @@ from barloom.functions.numbers import clamp01, round_half_up
 from barloom.functions.sql import F, Sql
 from barloom.operators.select import recent_hits
 from barloom.plans.summary import market_summary
-from barloom.schema import BEARISH_KINDS, BULLISH_KINDS, HIT_TYPE, MAX_LOOKBACK, NEUTRAL_KINDS
+from barloom.schema import BEARISH_KINDS, BULLISH_KINDS, HIT_TYPE, NEUTRAL_KINDS
 from barloom.sources.candles import is_valid_candle
 
 # Evidence weights and decision limits.
@@ -346,7 +346,7 @@ def compose_thesis(summary: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     )
 
 
-def thesis(candles: DataFrame, lookback: int = MAX_LOOKBACK, chunk_seconds: int | None = None) -> DataFrame:
+def thesis(candles: DataFrame, lookback: int | None = None, chunk_seconds: int | None = None) -> DataFrame:
     return compose_thesis(market_summary(candles, lookback, chunk_seconds))
 
 
@@ -358,7 +358,7 @@ def score(theses: DataFrame) -> DataFrame:
 
 
 def rank_setups(
-    candles: DataFrame, lookback: int = MAX_LOOKBACK, chunk_seconds: int | None = None
+    candles: DataFrame, lookback: int | None = None, chunk_seconds: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """(ranked, failed): theses of all symbols, best first, and the symbols that have no usable bar.
 

@@ -35,10 +35,8 @@ TIMEFRAME_MINUTES = {
     "3mo": 129600,
 }
 
-# How many bars one analysis may look at.
-DEFAULT_LOOKBACK = 500
+# Fixed value: the fewest bars that a lookback may ask for.
 MIN_LOOKBACK = 10
-MAX_LOOKBACK = 5000
 
 # The pattern kinds, in their canonical order.
 PATTERN_KINDS = (

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.schema import MAX_LOOKBACK, MIN_LOOKBACK, TIMEFRAME_MINUTES
+from barloom.schema import MIN_LOOKBACK
 
 
 def utc_ts(df: DataFrame, name: str) -> Column:
@@ -68,21 +68,23 @@ def order_columns(candles: DataFrame) -> list[str]:
     return ["ts", "seq"] if "seq" in candles.columns else ["ts"]
 
 
-def tail_lookback(
-    candles: DataFrame, lookback: int, chunk_seconds: int | None = None, age: str | None = None
-) -> DataFrame:
-    """The last ``lookback`` bars of every symbol.
+def tail_lookback(candles: DataFrame, lookback: int, chunk_seconds: int | None = None) -> DataFrame:
+    """The last ``lookback`` bars of every symbol."""
+    return with_age(candles, "_age", lookback, chunk_seconds).drop("_age")
+
+
+def with_age(candles: DataFrame, age: str, lookback: int | None = None, chunk_seconds: int | None = None) -> DataFrame:
+    """Adds ``age``, which counts bars from the newest, 1 upwards; with ``lookback`` only the last bars stay.
 
     With ``chunk_seconds`` the needed time range is found first from per-chunk row
     counts (a column-pruned, map-side combined aggregate) and all older rows are
     dropped by a semi join before the ranking shuffle; use it on stored tables
-    where one symbol may hold a large share of the rows. ``age`` names a column to
-    keep that counts bars from the newest, 1 upwards.
+    where one symbol may hold a large share of the rows.
     """
-    if not MIN_LOOKBACK <= lookback <= MAX_LOOKBACK:
-        raise ValueError(f"lookback must be between {MIN_LOOKBACK} and {MAX_LOOKBACK}")
+    if lookback is not None and lookback < MIN_LOOKBACK:
+        raise ValueError(f"lookback must be at least {MIN_LOOKBACK}")
     rows = candles
-    if chunk_seconds:
+    if lookback is not None and chunk_seconds:
         chunk = F.floor(F.unix_seconds("ts") / F.lit(chunk_seconds)).alias("_chunk")
         newer = F.sum("_rows").over(
             Window.partitionBy("symbol").orderBy(F.desc("_chunk")).rowsBetween(Window.unboundedPreceding, -1)
@@ -96,31 +98,16 @@ def tail_lookback(
         )
         rows = candles.withColumn("_chunk", chunk).join(needed, ["symbol", "_chunk"], "left_semi").drop("_chunk")
     newest_first = Window.partitionBy("symbol").orderBy(*[F.desc(c) for c in order_columns(candles)])
-    name = age or "_age"
-    kept = rows.withColumn(name, F.row_number().over(newest_first)).where(F.col(name) <= lookback)
-    return kept if age else kept.drop(name)
-
-
-def lookback_start(now: Column, timeframe: str, lookback: int) -> Column:
-    """Earliest time worth reading for ``lookback`` bars, with a 1.5x margin for closed sessions."""
-    seconds = int(TIMEFRAME_MINUTES[timeframe] * 60 * lookback * 1.5)
-    return now - F.expr(f"INTERVAL {seconds} SECONDS")
+    aged = rows.withColumn(age, F.row_number().over(newest_first))
+    return aged if lookback is None else aged.where(F.col(age) <= lookback)
 
 
 def infer_timeframe(candles: DataFrame) -> DataFrame:
-    """Seconds between the first two bars of each symbol; NULL when there is only one.
+    """Seconds between the first and the second bar of each symbol; NULL when there is only one.
 
-    The two smallest timestamps come from plain aggregates, so no ordering of the
-    full series is needed.
+    Ranking stops at two bars per symbol in every task, before and after the shuffle.
     """
-    firsts = candles.groupBy("symbol").agg(F.min("ts").alias("t0"))
-    rest = (
-        candles.select("symbol", "ts")
-        .join(firsts, "symbol")
-        .where(F.col("ts") > F.col("t0"))
-        .groupBy("symbol")
-        .agg(F.min("ts").alias("t1"))
-    )
-    return firsts.join(rest, "symbol", "left").select(
-        "symbol", (F.unix_seconds("t1") - F.unix_seconds("t0")).alias("timeframe_seconds")
-    )
+    oldest_first = Window.partitionBy("symbol").orderBy(*order_columns(candles))
+    firsts = candles.withColumn("_rn", F.row_number().over(oldest_first)).where(F.col("_rn") <= 2)
+    seconds = F.unix_seconds(F.max("ts")) - F.unix_seconds(F.min("ts"))
+    return firsts.groupBy("symbol").agg(F.when(F.count("*") == 2, seconds).alias("timeframe_seconds"))

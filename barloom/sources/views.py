@@ -52,6 +52,15 @@ def candles_ord(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def candles_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One bar per order and return flag from the prices of its lines: a few very long series."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
+        "l_returnflag", F.timestamp_seconds(F.col("l_orderkey") * HOUR).alias("ts"), "l_extendedprice",
+        (F.col("l_linenumber") * 10**12 + F.col("l_partkey") * 10**6 + F.col("l_suppkey")).alias("line"),
+    )
+    return resample_candles(_ticks(lines, "l_returnflag", "ts", "l_extendedprice", "line"), HOUR)
+
+
 def candles_walk(spark: SparkSession, sf_dir: str, seconds: int = HOUR, symbol: str = "event_type") -> DataFrame:
     """Bars of a price path that each event moves by (value - 50) / 10, starting at 2000.
 

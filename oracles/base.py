@@ -49,6 +49,14 @@ raw_bars AS (
   FROM orders GROUP BY 1, 2
 )"""
 
+LINES = """
+raw_bars AS (
+  SELECT l_returnflag AS symbol, CAST(l_orderkey AS BIGINT) * 3600 AS sec,
+         first(l_extendedprice ORDER BY l_linenumber, l_partkey, l_suppkey) AS open, max(l_extendedprice) AS high, min(l_extendedprice) AS low,
+         last(l_extendedprice ORDER BY l_linenumber, l_partkey, l_suppkey) AS close, CAST(count(*) AS DOUBLE) AS volume
+  FROM lineitem GROUP BY 1, 2
+)"""
+
 TICK_BARS = """
 raw_bars AS (
   SELECT event_type AS symbol, CAST(floor(epoch(ts)) AS BIGINT) AS sec, event_id AS seq,

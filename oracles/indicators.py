@@ -6,6 +6,7 @@ from oracles.base import (
     BARS,
     BARS_TICKS,
     EV,
+    LINES,
     FULL,
     ORD,
     PREP,
@@ -485,3 +486,7 @@ asked AS (
     select="""SELECT a.symbol, a.request_id, coalesce(b.i, -1) AS bar_idx
 FROM asked a ASOF LEFT JOIN bars b ON a.symbol = b.symbol AND a.at >= b.sec""",
 )
+
+# The same over the long series.
+for _name, _view in (("trend_summary", WALK), ("meta_summary", USER), ("zigzag", WALK), ("poc_value_area", WALK), ("find_levels", WALK)):
+    O[f"{_name}_lines"] = O[_name].replace(_view, LINES)
