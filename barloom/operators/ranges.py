@@ -93,13 +93,23 @@ def crossed(rule_price, direction, prev, close):
 def price_alerts(candles: DataFrame, rules: DataFrame, chunk_seconds: int = 30 * DAY) -> DataFrame:
     """Bars that trigger alert rules (symbol, price, direction NULL = cross, note).
 
-    The join strategy is left to the planner, which broadcasts the rules only when
-    their measured size allows it and splits skewed symbols otherwise.
+    A bar meets only the rules between its previous close and its close: prices are cut into buckets as wide as
+    the symbol's mean move, a bar is copied into the buckets it crosses (two on average), and the join is on
+    (symbol, bucket). The exact test follows.
     """
     bars = with_previous_close(candles.select("symbol", "ts", "close"), chunk_seconds)
-    r = rules.select("symbol", F.col("price").alias("alert_price"), "direction", "note")
+    move = F.abs(F.col("close") - F.col("prev_close"))
+    width = bars.where(move > 0).groupBy("symbol").agg(F.avg(move).alias("_width"))
+
+    def bucket(price):
+        return F.floor(price / F.col("_width"))
+
+    low, high = F.least("prev_close", "close"), F.greatest("prev_close", "close")
+    bars = bars.where(move > 0).join(width, "symbol").withColumn("_bucket", F.explode(F.sequence(bucket(low), bucket(high))))
+    r = rules.select("symbol", F.col("price").alias("alert_price"), "direction", "note").join(width, "symbol")
+    r = r.withColumn("_bucket", bucket(F.col("alert_price"))).drop("_width")
     return (
-        bars.join(r, "symbol")
+        bars.join(r, ["symbol", "_bucket"])
         .where(crossed(F.col("alert_price"), F.col("direction"), F.col("prev_close"), F.col("close")))
         .select(
             "symbol",

@@ -38,6 +38,31 @@ def indicator_values(candles: DataFrame, indicators: list[Indicator]) -> DataFra
     return wide.select("symbol", "bar_idx", F.inline(F.array(*rows)))
 
 
+def last_two(candles: DataFrame, indicators: list[Indicator]) -> DataFrame:
+    """What ``indicator_last`` gives for ``indicator_values``, from one aggregate over the wide table.
+
+    Per column the last computed value and the one a bar before it; only these, one row per symbol, are unpivoted.
+    """
+    wide = with_indicators(candles, indicators)
+    columns = [(i.type, no, name, column) for i in indicators for no, (name, column) in enumerate(_SERIES[i.type](i.params))]
+    order = Window.partitionBy("symbol").orderBy("bar_idx")
+    before = {f"_before_{c}": F.lag(c).over(order) for *_, c in columns}
+    parts = []
+    for *_, c in columns:
+        at = F.when(F.col(c).isNotNull() & (F.abs(F.col(c)) < float("inf")), F.col("bar_idx"))
+        parts += [F.max_by(c, at).alias(f"_last_{c}"), F.max_by(f"_before_{c}", at).alias(f"_prev_{c}"), F.max(at).alias(f"_at_{c}")]
+    ends = wide.withColumns(before).groupBy("symbol").agg(*parts)
+    rows = [
+        F.struct(
+            F.lit(kind).alias("indicator"), F.lit(no).alias("series_no"), F.lit(name).alias("series"),
+            F.col(f"_last_{c}").alias("last"), F.col(f"_prev_{c}").alias("prev"), F.col(f"_at_{c}").alias("_at"),
+        )
+        for kind, no, name, c in columns
+    ]
+    found = ends.select("symbol", F.inline(F.array(*rows))).where("_at IS NOT NULL").drop("_at")
+    return found.withColumn("delta", F.col("last") - F.col("prev"))
+
+
 def indicator_last(values: DataFrame) -> DataFrame:
     """Per series: last computed value, the value one bar before it, and their difference."""
     w = Window.partitionBy("symbol", "indicator", "series_no", "series").orderBy("bar_idx")

@@ -220,10 +220,9 @@ def line_fit(spark, d):
 
 @query
 def quad_fit(spark, d):
-    """Parabola through the lows of the last 60 bars."""
-    n = F.col("n")
+    """Parabola through the lows."""
     q = let(
-        fit_parabola(as_xy(bar_slice(F.col("bars"), F.greatest(0, n - 60), n - 1), "low")),
+        fit_parabola(as_xy(F.col("bars"), "low")),
         lambda f: F.struct(("a", f.a), ("r2", f.r2), ("vertex", f.vertex)),
     )
     return _flat(scan_rows(candles_walk(spark, d)).select("symbol", q.column().alias("q")).select("symbol", "q.*"))
@@ -277,13 +276,12 @@ _STATES = [
 
 @query
 def indicator_last(spark, d):
-    return _flat(states.indicator_last(states.indicator_values(candles_walk(spark, d), _STATES)))
+    return _flat(states.last_two(candles_walk(spark, d), _STATES))
 
 
 @query
 def indicator_state(spark, d):
-    last = states.indicator_last(states.indicator_values(candles_walk(spark, d), _STATES))
-    return states.indicator_state(last)
+    return states.indicator_state(states.last_two(candles_walk(spark, d), _STATES))
 
 
 @query
@@ -392,18 +390,15 @@ def divergences(spark, d):
 
 @query
 def as_of_bar(spark, d):
-    """The daily-order bar in force at each event, per priority of the day's symbols."""
+    """The daily-order bar in force at each event; an event asks for one priority of the table."""
     bars = index_bars(candles_ord(spark, d))
+    orders = spark.read.parquet(f"{d}/orders.parquet")
+    symbols = orders.agg(pf.sort_array(pf.collect_set("o_orderpriority")).alias("symbols")).scalar()
     events = spark.read.parquet(f"{d}/events.parquet")
     shifted = utc_ts(events, "ts") - pf.expr("INTERVAL 10000 DAYS") + pf.make_dt_interval(days=pf.col("user_id") * 10)
-    keyed = events.select(
-        pf.element_at(
-            pf.array(*[pf.lit(p) for p in ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")]),
-            (pf.col("event_id") % 5 + 1).cast("int"),
-        ).alias("symbol"),
-        shifted.alias("at"),
-        pf.col("event_id").alias("request_id"),
-    )
+    asked = events.select(symbols.alias("symbols"), shifted.alias("at"), pf.col("event_id").alias("request_id"))
+    pick = pf.get("symbols", (pf.col("request_id") % pf.size("symbols")).cast("int"))
+    keyed = asked.select(pick.alias("symbol"), "at", "request_id")
     return _flat(ranges.as_of_bar(bars, keyed, 7 * DAY).select("symbol", "request_id", "bar_idx"))
 
 
@@ -451,6 +446,7 @@ QUERIES |= {
     "harmonics_users": _detector("templates", view=candles_user),
     "gaps": _detector("gaps"),
     "gaps_users": _detector("gaps", view=candles_user),
+    "templates_frames": _detector("templates", view=candles_frames),
 }
 
 
@@ -480,6 +476,12 @@ def detect_patterns_frames(spark, d):
     return _points_flat(_patterns(spark, d, candles_frames), "patterns")
 
 
+@query
+def breach_guard_all(spark, d):
+    """Hits of all families that are still alive, over many series."""
+    return _points_flat(_patterns(spark, d, candles_user), "patterns")
+
+
 @query
 def trim_hits(spark, d):
     return _flat(select.trim_hits(_patterns(spark, d)))
@@ -599,6 +601,15 @@ def rank_setups_users(spark, d):
     return _flat(ranked.select("symbol", "verdict", "confidence", "score", "setup.rr"))
 
 
+@query
+def rank_setups_failed(spark, d):
+    """Symbols that can't be ranked: bars above 150 or below 1 lack a price here, and some symbols have no other."""
+    quotes = _quotes(spark, d)
+    symbol = pf.concat_ws("-", "symbol", pf.floor(pf.col("close") / 25).cast("string"))
+    _, failed = rank_setups(quotes.withColumnRenamed("date", "ts").withColumn("symbol", symbol))
+    return _flat(failed)
+
+
 @query
 def position_size(spark, d):
     """Orders as planned trades: 2% below the price as stop, 5% above as target."""
@@ -642,9 +653,9 @@ def price_alerts(spark, d):
     """Alerts at each nation's key price (20 + 4 per nation), direction by region."""
     n = spark.read.parquet(f"{d}/nation.parquet")
     way = pf.when(pf.col("n_regionkey") == 0, "above").when(pf.col("n_regionkey") == 1, "below")
-    types = [pf.lit(t) for t in ("click", "error", "purchase", "signup", "view")]
-    rules = n.select(
-        pf.explode(pf.array(*types)).alias("symbol"),
+    types = spark.read.parquet(f"{d}/events.parquet").agg(pf.collect_set("event_type").alias("types")).scalar()
+    rules = n.withColumn("types", types).select(
+        pf.explode("types").alias("symbol"),
         (20 + 4 * pf.col("n_nationkey")).cast("double").alias("price"),
         way.alias("direction"),
         pf.col("n_name").alias("note"),

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 
-def local_session(cpus: str | int = "*", partitions: int = 8, app: str = "barloom") -> SparkSession:
-    """A session for tests and benches; on a cluster the session comes from spark-submit."""
+def local_session(cpus: str | int = "*", partitions: int = 8, app: str = "barloom", shared: str | None = None) -> SparkSession:
+    """A session for tests and benches; on a cluster the session comes from spark-submit.
+
+    ``shared`` is the folder for checkpoints and written tables.
+    """
+    builder = SparkSession.builder.config("spark.checkpoint.dir", shared) if shared else SparkSession.builder
     return (
-        SparkSession.builder.master(f"local[{cpus}]")
+        builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.adaptive.enabled", "true")
@@ -28,10 +30,8 @@ def local_session(cpus: str | int = "*", partitions: int = 8, app: str = "barloo
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only where none is set (tests)."""
+    """The cluster's shared checkpoint folder."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root
-    root = tempfile.mkdtemp(prefix="barloom-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", root)
+    if not root:
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return root

@@ -33,35 +33,31 @@ def tag_candles(candles: DataFrame, source: str, timeframe: str) -> DataFrame:
 
 
 def write_candles(candles: DataFrame, path: str, fmt: str = "parquet", mode: str = "errorifexists") -> None:
-    """Persist candles partitioned by symbol.
+    """Persist candles ordered by symbol and time.
 
-    Rows are spread by symbol and month first, so a symbol holding a large share
-    of the table is written by many tasks while small symbols do not turn into
-    one tiny file per task.
+    Range partitioning samples the table, so a symbol that holds a large share of it is cut by time
+    into many files, and small symbols share files; readers find a symbol by the files' value ranges.
     """
-    (
-        candles.withColumn("_month", F.date_trunc("month", "ts"))
-        .repartition("symbol", "_month")
-        .drop("_month")
-        .write.mode(mode)
-        .partitionBy("symbol")
-        .format(fmt)
-        .save(path)
-    )
+    candles.repartitionByRange("symbol", "ts").sortWithinPartitions("symbol", "ts").write.mode(mode).format(fmt).save(path)
+
+
+def is_number(name: str):
+    """Neither NULL nor NaN nor infinite (NaN is larger than infinity here)."""
+    return F.col(name).isNotNull() & (F.abs(F.col(name)) < F.lit(float("inf")))
 
 
 def is_valid_candle():
     """ts and all four prices must be real numbers; volume is not checked."""
     ok = F.col("ts").isNotNull()
     for name in PRICE_COLUMNS:
-        ok = ok & F.col(name).isNotNull()
+        ok = ok & is_number(name)
     return ok
 
 
 def validate_candles(candles: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Split into (valid, quarantined); the quarantine names the first missing field."""
+    """Split into (valid, quarantined); the quarantine names the first field that is missing or no number."""
     missing = F.coalesce(
-        *[F.when(F.col(c).isNull(), F.lit(c)) for c in ("ts", *PRICE_COLUMNS)]
+        F.when(F.col("ts").isNull(), F.lit("ts")), *[F.when(~is_number(c), F.lit(c)) for c in PRICE_COLUMNS]
     )
     valid = candles.where(is_valid_candle())
     bad = candles.where(~is_valid_candle()).withColumn("missing_field", missing)
@@ -77,8 +73,9 @@ def require_valid(candles: DataFrame) -> DataFrame:
 
 
 def clean_quotes(quotes: DataFrame) -> DataFrame:
-    """Vendor quotes to candles: drop rows lacking a price, volume defaults to 0, whole seconds."""
-    return quotes.dropna(subset=list(PRICE_COLUMNS)).select(
+    """Vendor quotes to candles: drop rows in which a price is no number, volume defaults to 0, whole seconds."""
+    usable = [is_number(c) for c in PRICE_COLUMNS]
+    return quotes.where(usable[0] & usable[1] & usable[2] & usable[3]).select(
         "symbol",
         F.date_trunc("second", "date").alias("ts"),
         *PRICE_COLUMNS,

@@ -39,7 +39,7 @@ def stream_resample(candles: DataFrame, seconds: int, lateness: str = "1 hour")
     )
 
 
-_CLOSE_STATE = T.StructType([T.StructField("close", T.DoubleType())])
+_CLOSE_STATE = T.StructType([T.StructField("close", T.DoubleType()), T.StructField("ts", T.LongType())])
 _CLOSE_OUT = T.StructType(
     [
         T.StructField("symbol", T.StringType()),
@@ -50,11 +50,19 @@ _CLOSE_OUT = T.StructType(
 )
 
 
-def _previous_close(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def _in_time(batches: Iterator[pd.DataFrame], newest: int | None) -> pd.DataFrame:
+    """A micro-batch's bars of one symbol in order, without those that are not newer than the state (late rows)."""
     bars = pd.concat(list(batches)).sort_values("ts")
-    first = state.get[0] if state.exists else None
+    return bars if newest is None else bars[bars["ts"] > pd.Timestamp(newest, unit="s")]
+
+
+def _previous_close(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    first, newest = state.get if state.exists else (None, None)
+    bars = _in_time(batches, newest)
+    if bars.empty:
+        return
     closes = bars["close"]
-    state.update((float(closes.iloc[-1]),))
+    state.update((float(closes.iloc[-1]), int(bars["ts"].iloc[-1].timestamp())))
     yield pd.DataFrame(
         {
             "symbol": key[0],
@@ -66,7 +74,7 @@ def _previous_close(key: tuple, batches: Iterator[pd.DataFrame], state: GroupSta
 
 
 def stream_alerts(bars: DataFrame, rules: DataFrame) -> DataFrame:
-    """Alert triggers of a live feed of finished bars; state is one close per symbol."""
+    """Alert triggers of a live feed of finished bars; state is one close per symbol. Late bars are dropped."""
     moves = (
         bars.select("symbol", "ts", "close")
         .groupBy("symbol")
@@ -121,13 +129,13 @@ _FALLBACK = 0.005
 
 
 def _scan(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    bars = pd.concat(list(batches)).sort_values("ts")
     if state.exists:
         n, prev_close, tr_sum, atr, ts, high, low, kind, price = state.get
         ts, high, low = list(ts), list(high), list(low)
     else:
         n, prev_close, tr_sum, atr, ts, high, low, kind, price = 0, None, 0.0, None, [], [], [], None, None
     out = []
+    bars = _in_time(batches, ts[-1] if ts else None)
     for b in bars.itertuples(index=False):
         if prev_close is not None:
             tr = max(b.high - b.low, abs(b.high - prev_close), abs(b.low - prev_close))
@@ -165,7 +173,8 @@ def incremental_scan(bars: DataFrame) -> DataFrame:
     """Zigzag pivots of a live feed of finished bars, three bars after they happen.
 
     ``action`` is 'append' for a new pivot and 'replace' when the latest pivot moved
-    further out. State per symbol is constant-size.
+    further out. State per symbol is constant-size; a bar that is not newer than the last one seen is late and
+    dropped, so that it cannot change what is settled.
     """
     return (
         bars.select("symbol", "ts", "open", "high", "low", "close")

@@ -174,7 +174,7 @@ _HORIZON = "CASE WHEN coalesce(tf, 0) = 0 THEN 'swing' WHEN tf < 3600 THEN 'intr
 O["market_summary_rows"] = _ctx(
     WALK,
     """SELECT c.symbol, n AS candle_count, tf AS timeframe_seconds, first_ts, last_ts, round(px, 6) AS last_price, direction,
-  round(r2, 6) AS strength, round(pct, 6) AS slope_pct, 8::BIGINT AS segments, len(support) AS supports, len(resistance) AS resistances,
+  round(r2, 6) AS strength, round(pct, 6) AS slope_pct, least(8, n - 1)::BIGINT AS segments, len(support) AS supports, len(resistance) AS resistances,
   round(poc, 6) AS poc, round(rsi, 6) AS rsi, macd_cross, round(atr, 6) AS atr, vstate AS volatility_state,
   (SELECT count(*) FROM patterns p WHERE p.symbol = c.symbol) AS patterns FROM ctx c""",
 )
@@ -207,6 +207,8 @@ O["thesis"] = _ctx(
   coalesce((SELECT string_agg(factor, '; ' ORDER BY weight DESC, o) FROM (SELECT * FROM ev e WHERE e.symbol = t.symbol AND side = 'bear' ORDER BY weight DESC, o LIMIT 5)), '') AS bear
 FROM theses t""",
 )
+O["rank_setups_failed"] = """SELECT event_type || '-' || CAST(floor(value / 25) AS BIGINT) AS symbol, count(*) AS rows, 'no bar with ts and OHLC' AS reason
+FROM events GROUP BY 1 HAVING count(*) FILTER (WHERE value >= 1 AND value <= 150) = 0"""
 O["rank_setups_users"] = _ctx(
     USER,
     """SELECT symbol, verdict, round(confidence, 6) AS confidence, round(coalesce(rr * confidence, 0), 6) AS score, round(rr, 6) AS rr FROM theses""",

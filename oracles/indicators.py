@@ -181,7 +181,7 @@ O["quad_fit"] = sql(
     BARS,
     """,
 w AS (SELECT symbol, low AS y, i, (min(i) OVER (PARTITION BY symbol) + max(i) OVER (PARTITION BY symbol)) / 2.0::DOUBLE AS x0
-      FROM bars WHERE i >= n - 60),
+      FROM bars),
 d AS (SELECT *, i - x0 AS x FROM w),
 s AS (SELECT symbol, any_value(x0) AS x0, count(*)::DOUBLE AS s0, sum(x) AS s1, sum(x*x) AS s2, sum(x*x*x) AS s3, sum(x*x*x*x) AS s4,
              sum(y) AS t0, sum(x*y) AS t1, sum(x*x*y) AS t2, avg(y) AS mean FROM d GROUP BY symbol),

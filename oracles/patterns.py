@@ -488,6 +488,7 @@ O["triangles_users"] = _detector(TRI, "tri_hits", USER)
 O["double_triple_users"] = _detector(DT, "dt_hits", USER)
 O["harmonics_users"] = _detector(TPL, "tpl_hits", USER)
 O["wedges_frames"] = _detector(WEDGE, "wedge_hits", FRAMES)
+O["templates_frames"] = _detector(TPL, "tpl_hits", FRAMES)
 O["gaps_users"] = _detector(GAP, "gap_hits", USER)
 O["two_line_fit"] = sql(
     WALK,
@@ -528,6 +529,7 @@ recent AS (
 O["channels_paths"] = _detector(CHANNEL, "channel_hits", PATHS)
 O["double_triple_paths"] = _detector(DT, "dt_hits", PATHS)
 O["triangles_frames"] = _detector(TRI, "tri_hits", FRAMES)
+O["breach_guard_all"] = sql(USER, FULL, ALL, select=points("patterns"))
 O["detect_patterns_paths"] = sql(PATHS, FULL, ALL, select=points("patterns"))
 O["detect_patterns_frames"] = sql(FRAMES, FULL, ALL, select=points("patterns"))
 O["breach_guard"] = sql(WALK, FULL, HS, SUFFIX, alive("hs_hits", "live"), select=points("live"))
