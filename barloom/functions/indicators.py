@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from barloom.functions.layout import Layout, block_layout, index_bars, series_layout
 from barloom.functions.scan import Filter, affine_scan, memory
+from barloom.schema import TIMEFRAME_MINUTES
+from barloom.sources.resample import resample_candles, tail_lookback
 
 
 def _ema_decay(period: int) -> float:
@@ -277,6 +279,20 @@ def apply_preset(candles: DataFrame, name: str, chunk_seconds: int | None = None
     return with_indicators(candles, PRESETS[name].indicators, chunk_seconds)
 
 
+def setup_preset(
+    candles: DataFrame, name: str, timeframe: str | None = None, lookback: int | None = None, chunk_seconds: int | None = None
+) -> DataFrame:
+    """A preset as it is set up: bars in its timeframe, the last ``lookback`` of them, its indicators over these.
+
+    Either value can be given instead of the preset's own. Bars that are coarser than the timeframe stay as they are.
+    """
+    if name not in PRESETS:
+        raise ValueError(f"unknown preset {name!r}; use one of {sorted(PRESETS)}")
+    preset = PRESETS[name]
+    bars = resample_candles(candles, TIMEFRAME_MINUTES[timeframe or preset.timeframe] * 60)
+    return apply_preset(tail_lookback(bars, lookback or preset.lookback, chunk_seconds), name, chunk_seconds)
+
+
 # ── suffix extrema ──────────────────────────────────────────────────────────
 
 

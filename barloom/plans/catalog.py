@@ -13,7 +13,7 @@ from pyspark.sql import functions as pf
 
 from barloom.functions.arrays import let
 from barloom.functions.fits import fit_parabola
-from barloom.functions.indicators import Indicator, apply_preset, suffix_extrema, with_indicators
+from barloom.functions.indicators import Indicator, apply_preset, setup_preset, suffix_extrema, with_indicators
 from barloom.functions.layout import index_bars
 from barloom.functions.rows import each, each_struct
 from barloom.functions.sql import F
@@ -185,6 +185,20 @@ QUERIES |= {
 }
 
 
+def _setup(name, columns):
+    def run(spark, d):
+        return _flat(setup_preset(candles_walk(spark, d), name).select("symbol", "ts", "bar_idx", *columns, "volume"))
+
+    return run
+
+
+QUERIES |= {
+    "setup_swing_trading": _setup("swing_trading", ["ema_50", "ema_200", "macd_hist", "rsi_14", "atr_14"]),
+    "setup_institutional": _setup("institutional", ["ema_20", "ema_50", "rsi_14", "macd_hist"]),
+    "setup_clean": _setup("clean", ["close"]),
+}
+
+
 @query
 def suffix_extrema_bars(spark, d):
     bars = suffix_extrema(candles_walk(spark, d), chunk_seconds=DAY)

@@ -137,6 +137,19 @@ O["preset_momentum"] = _ind(
 )
 O["preset_clean"] = sql(WALK, BARS, select=f"SELECT symbol, i AS bar_idx, {_r('close', 'close')}, {_VOL} FROM bars")
 
+
+
+def _setup(seconds: int, lookback: int, columns: str) -> str:
+    view = WALK.replace("3600", str(seconds)).replace("raw_bars AS", "all_bars AS")
+    last = f""",
+raw_bars AS (SELECT * FROM all_bars QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY sec DESC) <= {lookback})"""
+    return sql(view, last, BARS, PREP, RECURSION, select=f"SELECT symbol, sec AS ts, i AS bar_idx, {columns} FROM ind")
+
+
+O["setup_swing_trading"] = _setup(14400, 500, ", ".join([_EMA[50], _EMA[200], _HIST, _RSI, _r("atr14", "atr_14"), _VOL]))
+O["setup_institutional"] = _setup(3600, 500, ", ".join([_EMA[20], _EMA[50], _RSI, _HIST, _VOL]))
+O["setup_clean"] = _setup(3600, 200, f"{_r('close', 'close')}, {_VOL}")
+
 O["suffix_extrema_bars"] = sql(
     WALK,
     select="""SELECT symbol, sec AS ts, round(min(low) OVER w, 6) AS suffix_min_low, round(max(high) OVER w, 6) AS suffix_max_high

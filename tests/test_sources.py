@@ -3,9 +3,10 @@ import datetime as dt
 import pytest
 from shapes import candles, walk
 
-from barloom.functions.indicators import PRESETS, apply_preset
+from barloom.functions.indicators import PRESETS, apply_preset, setup_preset
 from barloom.operators.sizing import position_size
 from barloom.sources.candles import clean_quotes, load_candles, require_valid, validate_candles, write_candles
+from barloom.schema import TIMEFRAME_MINUTES
 from barloom.sources.resample import infer_timeframe, resample_candles
 
 T0 = dt.datetime(2024, 1, 1)
@@ -70,6 +71,16 @@ def test_presets_add_their_columns(spark):
         apply_preset(df, "nope")
 
 
+def test_presets_are_set_up_with_timeframe_and_lookback(spark):
+    df = candles(spark, {"a": walk(3000, 1)})
+    four_hours = resample_candles(df, 4 * 3600)
+    for name, lookback in (("swing_trading", 500), ("clean", 200), ("trend_analysis", 500)):
+        got = setup_preset(df, name)
+        assert got.count() == min(lookback, resample_candles(df, TIMEFRAME_MINUTES[PRESETS[name].timeframe] * 60).count())
+    newest = four_hours.agg({"ts": "max"}).first()[0]
+    assert setup_preset(df, "swing_trading", lookback=20).agg({"ts": "max"}).first()[0] == newest
+
+
 PLAN = "account_size double, risk_pct double, entry_price double, stop_loss double, target_price double, commission_per_side double"
 
 
