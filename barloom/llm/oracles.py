@@ -22,4 +22,20 @@ ORACLES: dict[str, str] = {
         SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
         FROM s QUALIFY rank <= 5
     """,
+    "op7_jaccard_join": """
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
+            FROM documents
+        ), s AS (
+            SELECT doc_id, CASE WHEN coalesce(len(w), 0) = 0 THEN []::VARCHAR[] ELSE
+                list_distinct(list_transform(range(1, greatest(len(w) - 3, 1) + 1), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s FROM w
+        ), e AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+        pairs AS (
+            SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id
+            GROUP BY 1, 2 HAVING 100 * count(*) >= 85 * (any_value(a.n) + any_value(b.n) - count(*))
+        ), reach AS (
+            SELECT doc_id, doc_id AS root FROM s UNION SELECT p.b, r.root FROM reach r JOIN pairs p ON p.a = r.doc_id
+        ), least AS (SELECT doc_id, min(root) AS component_id FROM reach GROUP BY 1)
+        SELECT doc_id, len(s) AS n_shingles, component_id FROM s JOIN least USING (doc_id)
+    """,
 }
