@@ -17,14 +17,17 @@ import hashlib
 import json
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Encoded pieces that a Python worker keeps; beyond it the store starts anew (a matter of speed only).
-KEPT_PIECES = 400_000
+#: Encoded words, pieces and checked pairs that a Python worker keeps of late (a matter of speed only).
+KEPT = 400_000
+#: Bytes of results that a task sends on at once.
+OUT_BYTES = 4 << 20
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 
 
@@ -97,6 +100,23 @@ class Tables:
                         return True
 
 
+class _Kept(dict):
+    """A store of results by key that keeps what was asked for of late: two generations of half the size."""
+
+    def __init__(self, make):
+        self.make, self.older = make, {}
+
+    def __missing__(self, key):
+        found = self.older.get(key)
+        if found is None:
+            found = self.make(key)
+        if len(self) >= KEPT // 2:
+            self.older = dict(self)
+            self.clear()
+        self[key] = found
+        return found
+
+
 class Encoder:
     """Encodes texts with ``Tables`` inside a task."""
 
@@ -114,13 +134,13 @@ class Encoder:
         self.split = regex.compile("|".join(regex.escape(a) for a in sorted(tables.added, key=len, reverse=True)) or r"(?!)")
         self.letters = dict(enumerate(_byte_letters()))
         self.blob = np.frombuffer(tables.blob, np.uint8)
-        self.kept_pieces: dict[str, list[int]] = {}
-        self.kept: dict[str, tuple[bytes, str]] = {}
-        self.again: dict[int, bool] = {}
+        self.kept_pieces = _Kept(lambda text: array("i", self.piece(text)).tobytes())
+        self.kept = _Kept(self._word)
+        self.fits = _Kept(lambda pair: tables.compatible(*divmod(pair, len(tables.keys))))
 
     def piece(self, text: str) -> list[int]:
         """Token ids of one piece."""
-        t, size, known, count = self.t, self.size, self.again, len(self.size)
+        t, size, known, count = self.t, self.size, self.fits, len(self.size)
         s = text.encode().decode("latin-1").translate(self.letters)
         if t.suffix:
             s += "\0"
@@ -142,10 +162,7 @@ class Encoder:
             end = at + size[token]
             fits = open_[end]
             if fits and tokens:
-                pair = tokens[-1] * count + token
-                fits = known.get(pair)
-                if fits is None:
-                    fits = known[pair] = t.compatible(tokens[-1], token)
+                fits = known[tokens[-1] * count + token]
             if fits:
                 tokens.append(token)
                 at = end
@@ -156,9 +173,6 @@ class Encoder:
 
     def encode(self, text: str) -> tuple[np.ndarray, str]:
         """Token ids of a whole text, and the same in decimal with one space between."""
-        for store in (self.kept, self.kept_pieces, self.again):
-            if len(store) > KEPT_PIECES:
-                store.clear()
         ids, decimal, at = [], [], 0
         for m in self.split.finditer(text) if "<" in text else ():
             self._plain(text[at : m.start()], ids, decimal)
@@ -176,20 +190,14 @@ class Encoder:
         words = self.pieces.findall(text) if _ODD_SPACE.search(text) else text.split()
         kept = self.kept
         for word in words:
-            known = kept.get(word)
-            if known is None:
-                known = kept[word] = self._word(word)
+            known = kept[word]
             ids.append(known[0])
             decimal.append(known[1])
 
     def _word(self, word: str) -> tuple[bytes, str]:
-        out = []
-        for p in self.pieces.findall(word):
-            got = self.kept_pieces.get(p)
-            if got is None:
-                got = self.kept_pieces[p] = self.piece(p)
-            out += got
-        return np.array(out, np.int32).tobytes(), " ".join(map(str, out))
+        out = [self.kept_pieces[p] for p in self.pieces.findall(word)]
+        ids = b"".join(out)
+        return ids, " ".join(map(str, array("i", ids)))
 
     def decode(self, ids: np.ndarray) -> bytes:
         """UTF-8 of the token texts with one space between."""
@@ -220,21 +228,26 @@ def encode(docs: DataFrame, path: str, text: str = "text", digests_only: bool =
     names = docs.columns
     schema = docs.select(*keep).selectExpr("*", *more).schema
 
+    kinds = [pa.int64(), pa.string(), pa.string()] if digests_only else [pa.list_(pa.int32()), pa.string()]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(tables.value)
         for batch in batches:
-            rows: list[list] = [[] for _ in new]
-            for scalar in batch.column(names.index(text)):
+            columns, at, size = [[] for _ in new], 0, 0
+            for row, scalar in enumerate(batch.column(names.index(text)), 1):
                 ids, decimal = encoder.encode(scalar.as_py() or "")
                 back = encoder.decode(ids)
                 if digests_only:
                     values = (len(ids), hashlib.sha256(decimal.encode()).hexdigest(), hashlib.sha256(back).hexdigest())
+                    size += 200
                 else:
                     values = (ids, back.decode())
-                for column, value in zip(rows, values, strict=True):
+                    size += 4 * len(ids) + len(back)
+                for column, value in zip(columns, values, strict=True):
                     column.append(value)
-            kinds = [pa.int64(), pa.string(), pa.string()] if digests_only else [pa.list_(pa.int32()), pa.string()]
-            columns = [batch.column(names.index(c)) for c in keep]
-            yield pa.RecordBatch.from_arrays(columns + [pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], [*keep, *new])
+                if size > OUT_BYTES or row == batch.num_rows:
+                    carried = [batch.column(names.index(c)).slice(at, row - at) for c in keep]
+                    yield pa.RecordBatch.from_arrays(carried + [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [*keep, *new])
+                    columns, at, size = [[] for _ in new], row, 0
 
     return docs.mapInArrow(run, schema)
