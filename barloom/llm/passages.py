@@ -1,11 +1,12 @@
 """Substring dedup: near-equal paragraphs by MinHash banding.
 
 A paragraph here is a run of whole sentences (ended by . ! ? or a line end) of at least ``LEAST`` words, and one begins at every
-sentence, so that a passage that was put into another text is found wherever it lies. Its set holds its five-word
+sentence of at least ``FIRST`` words, so that a passage that was put into another text is found wherever it lies, while
+paragraphs of one document are too far apart to be near-equal. Its set holds its five-word
 shingles; paragraphs in which fewer than ``DISTINCT`` differ from the one before (repeated words) are no passages.
 
 Bands and rows are tuned: of all settings that reach ``RECALL`` at the threshold, the one with the fewest band keys. Paragraphs
-that collide in a band are connected; inside such a block pairs are verified by exact Jaccard (in tiles, with count
+that collide in a band with one of another document are connected; inside such a block pairs are verified by exact Jaccard (in tiles, with count
 vectors to skip pairs and links already connected to skip checks), and components of verified links are clusters. Equal paragraphs
 are one node, whose occurrences are told apart only at the end. In a cluster that spans documents the occurrence with the
 smallest (doc_id, start) is kept, all others are removals; overlapping occurrences in a document are joined to spans.
@@ -28,7 +29,7 @@ from barloom.llm.common import components, written
 from barloom.llm.jaccard_join import Rule, tiled_links
 from barloom.llm.words import Words, mix, powers, slices
 
-LEAST, DISTINCT, SHINGLE = 20, 10, 5
+LEAST, FIRST, DISTINCT, SHINGLE = 20, 4, 10, 5
 PERCENT, RECALL = 80, 0.95
 _ENDS = np.zeros(256, bool)
 _ENDS[[ord(c) for c in ".!?"]] = True
@@ -61,6 +62,7 @@ class Paragraphs:
         ended[-1] = True
         starts = np.flatnonzero(np.append(True, ended[:-1]))
         stops = np.flatnonzero(ended) + 1
+        starts = starts[stops - starts >= FIRST]
         at = np.searchsorted(stops, starts + LEAST)  # the first sentence end at least LEAST words on
         stop = stops[np.minimum(at, len(stops) - 1)]
         ok = (stop - starts >= LEAST) & (stop <= w.first[w.row[starts] + 1])
@@ -103,11 +105,12 @@ def repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, data, offs in slices(batch.column(0)):
+            ids = batch.column(0).to_numpy()
+            for at, data, offs in slices(batch.column(1)):
                 p = Paragraphs(data, offs)
-                node, first = np.unique(p.node, return_index=True)
-                keys = p.bands(bands, band_rows)[first]
-                yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64).ravel()), pa.array(np.repeat(node, bands))], ["band", "node"])
+                keys = p.bands(bands, band_rows).astype(np.int64).ravel()
+                columns = [keys, np.repeat(p.node, bands), np.repeat(ids[at + p.row], bands)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["band", "node", "doc_id"])
 
     def occurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,11 +123,12 @@ def repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent
                 columns = [p.node, ids[at + p.row], start.astype(np.int32), end.astype(np.int32), (p.stop - p.begin).astype(np.int32)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["node", "doc_id", "start", "end", "words"])
 
+    band = Window.partitionBy("band")
     shared = (
-        docs.select("text")
-        .mapInArrow(keyed, "band long, node long")
-        .select("node", F.min("node").over(Window.partitionBy("band")).alias("low"))
-        .where("node <> low")
+        docs.mapInArrow(keyed, "band long, node long, doc_id long")
+        .select("node", *[f(c).over(band).alias(name) for f, c, name in ((F.min, "node", "low"), (F.min, "doc_id", "from"), (F.max, "doc_id", "to"))])
+        .where("node <> low AND from < to")
+        .select("node", "low")
         .distinct()
     )
     blocks = written(components(shared.select(F.col("node").alias("a"), F.col("low").alias("b")), "passage-blocks"), "passage-block")
