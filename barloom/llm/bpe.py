@@ -24,6 +24,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from barloom.llm.common import small
+
 #: Encoded words, pieces and checked pairs that a Python worker keeps of late (a matter of speed only).
 KEPT = 400_000
 #: Bytes of results that a task sends on at once.
@@ -232,7 +234,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", digests_only: bool =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(tables.value)
-        for batch in batches:
+        for batch in small(batches):
             columns, at, size = [[] for _ in new], 0, 0
             for row, scalar in enumerate(batch.column(names.index(text)), 1):
                 ids, decimal = encoder.encode(scalar.as_py() or "")

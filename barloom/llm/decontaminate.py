@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barloom.llm.common import small
 from barloom.llm.words import Words, mix, slices
 
 ENTRY, BLOCK = 64, 8
@@ -207,7 +208,7 @@ def flag(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = Index(shared.value)
-            for batch in batches:
+            for batch in small(batches):
                 leaks: list[list[dict]] = [[] for _ in range(batch.num_rows)]
                 for at, words in _words(batch.column(names.index(text))):
                     for row, found in index.candidates(words).items():

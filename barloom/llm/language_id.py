@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barloom.llm.common import small
 from barloom.llm.words import SLICE_BYTES
 
 ORDERS = (1, 2, 3)
@@ -79,7 +80,7 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", buckets:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in small(batches):
             langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             names = sorted(set(langs))
             index = {x: i for i, x in enumerate(names)}
@@ -121,7 +122,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = shared.value
-        for batch in batches:
+        for batch in small(batches):
             texts = batch.column(names.index(text)).to_pylist()
             pred, prob = [UNKNOWN] * len(texts), np.zeros(len(texts))
             for lo, hi, grams, row in _grams(texts, buckets):

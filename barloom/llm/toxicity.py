@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from barloom.llm.common import written
+from barloom.llm.common import small, written
 from barloom.llm.decontaminate import BREAKS, fold
 from barloom.llm.words import Words, slices
 
@@ -203,7 +203,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     rows = sample(docs, labels)
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             label, part = batch.column(1).to_numpy(), batch.column(2).to_numpy()
             for at, _, _, w in _words(batch.column(0)):
                 signs = np.stack(_signs(w))
@@ -235,7 +235,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     first_part, model = lexicon("t2"), lexicon("t")
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             out = []
             for _, _, _, w in _words(batch.column(0)):
                 s = first_part.strengths(w).astype(np.uint8)
@@ -278,7 +278,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep_text: bool = T
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for batch in batches:
+        for batch in small(batches):
             scores, spans = np.zeros(batch.num_rows), [[] for _ in range(batch.num_rows)]
             for at, data, offs, w in _words(batch.column(names.index(text))) if own.field else ():
                 p = own.probability(own.strengths(w), _firsts(w))
