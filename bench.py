@@ -39,17 +39,28 @@ def run(df) -> None:
     df.write.format("noop").mode("overwrite").save()
 
 
+def phases_of(build) -> dict[str, float]:
+    """Seconds for building and analysing the plan, and for optimizing it."""
+    start = time.perf_counter()
+    df = build()
+    built = time.perf_counter()
+    df._jdf.queryExecution().optimizedPlan()
+    return {"build": round(built - start, 3), "optimize": round(time.perf_counter() - built, 3)}
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = local_session(cpus, partitions=int(cpus) if cpus.isdigit() else 8, app="bench")
     spark.sparkContext.setLogLevel("ERROR")
     times: dict[str, float] = {}
+    phases: dict[str, dict[str, float]] = {}
     for name in HEADLINE:
         run(QUERIES[name](spark, sf_dir))
         start = time.perf_counter()
         run(QUERIES[name](spark, sf_dir))
         times[name] = round(time.perf_counter() - start, 3)
+        phases[name] = phases_of(lambda name=name: QUERIES[name](spark, sf_dir))
     rates = {}
     for name, view in (("detect_patterns_paths", candles_paths), ("detect_patterns_frames", candles_frames)):
         bars = view(spark, sf_dir).groupBy("symbol").count().selectExpr("sum(count)", "count(*)").first()
@@ -66,6 +77,7 @@ def main() -> None:
                 "queries": times,
                 "sf": os.path.basename(sf_dir.rstrip("/")),
                 "rates": rates,
+                "phases": phases,
             }
         )
     )

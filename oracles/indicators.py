@@ -359,17 +359,17 @@ UNION ALL SELECT symbol, 'ATR', CASE WHEN abs(atr14 - atr0) < 1e-6 THEN 'flat' W
 PROFILE = """,
 extent AS (SELECT symbol, min(low) AS lo, (max(high) - min(low)) / 50 AS width FROM bars GROUP BY symbol),
 spans AS (
-  SELECT symbol, volume, CAST(floor((low - lo) / nullif(width, 0)) AS INTEGER) AS a,
+  SELECT symbol, i, volume, CAST(floor((low - lo) / nullif(width, 0)) AS INTEGER) AS a,
          least(49, CAST(floor((high - lo) / nullif(width, 0)) AS INTEGER)) AS b FROM bars JOIN extent USING (symbol)
 ),
 bins AS (
-  SELECT e.symbol, k.bin, coalesce(sum(s.volume / greatest(1, s.b - s.a + 1)), 0) AS volume
+  SELECT e.symbol, k.bin, coalesce(sum(s.volume / greatest(1, s.b - s.a + 1) ORDER BY s.i), 0) AS volume
   FROM extent e CROSS JOIN (SELECT unnest(range(50)) AS bin) k
   LEFT JOIN spans s ON s.symbol = e.symbol AND k.bin BETWEEN s.a AND s.b GROUP BY 1, 2
 )"""
 AREA = """,
 profile AS (
-  SELECT symbol, list(volume ORDER BY bin) AS h, sum(volume) * 0.7 AS goal,
+  SELECT symbol, list(volume ORDER BY bin) AS h, sum(volume ORDER BY bin) * 0.7 AS goal,
          CAST(arg_min(bin, -volume * 1000000 + bin * 1e-7) AS INTEGER) AS poc FROM bins GROUP BY symbol
 ),
 grow AS (

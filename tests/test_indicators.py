@@ -104,8 +104,9 @@ def test_tail_lookback_with_and_without_pruning(bars):
     a = {(r.symbol, r.ts) for r in tail_lookback(bars, 100).collect()}
     b = {(r.symbol, r.ts) for r in tail_lookback(bars, 100, chunk_seconds=86400).collect()}
     assert a == b and len(a) == 209
+    assert tail_lookback(bars, 5001).count() == bars.count()
     with pytest.raises(ValueError):
-        tail_lookback(bars, 5001)
+        tail_lookback(bars, 9)
 
 
 def test_as_of_bar(spark, bars):

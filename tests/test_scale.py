@@ -13,6 +13,7 @@ from barloom.operators.ranges import price_alerts, with_previous_close, crossed
 from barloom.operators.series import scan_rows
 from barloom.operators.trend import trend_by_symbol, trend_summary
 from barloom.plans.catalog import QUERIES
+from barloom.plans.thesis import rank_setups
 from barloom.session import checkpoint_root
 from barloom.sources.candles import clean_quotes, is_valid_candle, validate_candles
 from barloom.sources.resample import infer_timeframe, tail_lookback
@@ -73,3 +74,24 @@ def test_no_shared_folder_is_an_error(spark):
     assert checkpoint_root(spark) == spark.conf.get("spark.checkpoint.dir")
     with pytest.raises(ValueError):
         checkpoint_root(Unset)
+
+
+def test_extreme_symbols_do_not_stop_a_ranking(spark):
+    t, rows = dt.datetime(2024, 1, 1), []
+    path = [100 + (i % 13) + (i % 7) / 3 for i in range(120)]
+    series = {
+        **{f"zero{n}": [0.0] * n for n in (1, 2, 3, 60)},
+        **{f"same{n}": [5.0] * n for n in (1, 2, 60)},
+        "below": [-x for x in path],
+        "huge": [x * 1e305 for x in path],
+        "tiny": [x * 1e-310 for x in path],
+        "swing": [1.7e308, -1.7e308] * 50,
+        "plain": path,
+    }
+    for symbol, prices in series.items():
+        rows += [(symbol, t + dt.timedelta(hours=i), p, p, p, p, 0.0 if symbol == "plain" else None) for i, p in enumerate(prices)]
+    rows += [("none", t, float("nan"), 1.0, 1.0, 1.0, 1.0)]
+    bars = spark.createDataFrame(rows, "symbol string, ts timestamp, open double, high double, low double, close double, volume double")
+    ranked, failed = rank_setups(bars)
+    assert {r["symbol"] for r in ranked.select("symbol").collect()} == set(series)
+    assert [r["symbol"] for r in failed.collect()] == ["none"]
