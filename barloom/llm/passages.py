@@ -1,8 +1,9 @@
 """Substring dedup: near-equal paragraphs by MinHash banding.
 
 A paragraph here is a run of whole sentences (ended by . ! ? or a line end) of at least ``LEAST`` words, and one begins at every
-sentence of at least ``FIRST`` words, so that a passage that was put into another text is found wherever it lies, while
-paragraphs of one document are too far apart to be near-equal. Its set holds its five-word
+sentence of at least ``FIRST`` words. Where sentences are shorter, one begins at those whose first words hash to the least value
+within ``FIRST`` words (content alone decides, so copies choose alike): were one to begin at each, neighbours in a document would be
+near-equal and chain copies to what lies beside them. Its set holds its five-word
 shingles; paragraphs in which fewer than ``DISTINCT`` differ from the one before (repeated words) are no passages.
 
 Bands and rows are tuned: of all settings that reach ``RECALL`` at the threshold, the one with the fewest band keys. Paragraphs
@@ -62,12 +63,12 @@ class Paragraphs:
         ended[-1] = True
         starts = np.flatnonzero(np.append(True, ended[:-1]))
         stops = np.flatnonzero(ended) + 1
-        starts = starts[stops - starts >= FIRST]
+        self.shingle = _shingles(w.hash)
+        starts = self._apart(starts, stops)
         at = np.searchsorted(stops, starts + LEAST)  # the first sentence end at least LEAST words on
         stop = stops[np.minimum(at, len(stops) - 1)]
         ok = (stop - starts >= LEAST) & (stop <= w.first[w.row[starts] + 1])
         begin, stop = starts[ok], stop[ok]
-        self.shingle = _shingles(w.hash)
         # Repeated words repeat the shingle before them; a passage has many that do not.
         changed = np.concatenate([[0], np.cumsum(np.append(True, self.shingle[1:] != self.shingle[:-1]))])
         rich = changed[stop - SHINGLE + 1] - changed[begin] >= DISTINCT
@@ -77,6 +78,19 @@ class Paragraphs:
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(w.hash * up[:n])])
         self.node = mix((sums[self.stop] - sums[self.begin]) * down[self.begin] + (self.stop - self.begin).astype(np.uint64)).astype(np.int64)
 
+    def _apart(self, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+        """Beginnings of the long sentences, and of the short ones that are least among those within FIRST words."""
+        w, far = self.words, np.uint64(2**64 - 1)
+        long, room = stops - starts >= FIRST, w.first[w.row[starts] + 1] - starts >= LEAST
+        value = np.full(len(w.hash) + 2 * FIRST, far)
+        value[starts[long & room] + FIRST] = 0
+        short = starts[~long & room]
+        own = value[short + FIRST] = self.shingle[short] | np.uint64(1)
+        least = np.ones(len(short), bool)
+        for d in range(1, FIRST):
+            least &= (own < value[short + FIRST - d]) & (own <= value[short + FIRST + d])
+        return np.sort(np.concatenate([starts[long], short[least]]))
+
     def bands(self, bands: int, rows: int) -> np.ndarray:
         """Band keys, paragraphs by bands: of each hash function the least value over a paragraph's shingles."""
         out = np.zeros((len(self.begin), bands), np.uint64)

@@ -156,6 +156,19 @@ def test_passages_are_found_inside_other_texts(spark):
     assert passages.repeats(empty(df)).count() == 0
 
 
+def test_passages_of_short_sentences_are_found(spark):
+    rng = random.Random(31)
+    short = lambda n: " ".join("".join(rng.choices("ABCDEFGH", k=6)) + rng.choice(["!!", ".!!", "!!", "?"]) for _ in range(n))
+    passage = short(60)
+    rows = [(i, f"{short(30)} {passage} {short(40)}") for i in range(3)] + [(i, short(130)) for i in range(10, 20)]
+    found = passages.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["kept"]) for r in found} == {(0, True), (1, False), (2, False)}
+    for i, text in rows[:3]:
+        begin, inside = text.index(passage), [r for r in found if r["doc_id"] == i]
+        assert min(r["start"] for r in inside) >= begin - 10 and max(r["end"] for r in inside) <= begin + len(passage) + 10
+        assert sum(r["end"] - r["start"] for r in inside) >= 0.5 * len(passage)
+
+
 def test_bands_reach_the_recall():
     for percent, recall in ((80, 0.95), (80, 0.999), (60, 0.99)):
         bands, rows = passages.tune(percent, recall)
