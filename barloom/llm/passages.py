@@ -3,8 +3,16 @@
 A paragraph here is a run of whole sentences (ended by . ! ? or a line end) of at least ``LEAST`` words, and one begins at every
 sentence of at least ``FIRST`` words. Where sentences are shorter, one begins at those whose first words hash to the least value
 within ``FIRST`` words (content alone decides, so copies choose alike): were one to begin at each, neighbours in a document would be
-near-equal and chain copies to what lies beside them. Its set holds its five-word
-shingles; paragraphs in which fewer than ``DISTINCT`` differ from the one before (repeated words) are no passages.
+near-equal and chain copies to what lies beside them.
+
+Sentences end differently around a copy, and not everywhere by these signs. So there are also windows of ``LEAST`` words, which
+begin where the hash of the first words falls into one of ``EVERY`` parts (mostly no word outside has a say, so copies choose alike) and,
+where none of ``SPAN`` in a row does, at the least of these: any run of ``LEAST + SPAN - 1`` words that two texts share holds
+one (if rich, see below), wherever it lies and whatever its signs. Windows are compared for equality only, which
+costs no bands: 80 % alike, they share 19 words in a row anyway.
+
+A paragraph's set holds its five-word
+shingles; paragraphs and windows in which fewer than ``DISTINCT`` differ from the one before (repeated words) are no passages.
 
 Bands and rows are tuned: of all settings that reach ``RECALL`` at the threshold, the one with the fewest band keys. Paragraphs
 that collide in a band with one of another document are connected; inside such a block pairs are verified by exact Jaccard (in tiles, with count
@@ -31,6 +39,7 @@ from barloom.llm.jaccard_join import Rule, tiled_links
 from barloom.llm.words import Words, mix, powers, slices
 
 LEAST, FIRST, DISTINCT, SHINGLE = 20, 4, 10, 5
+EVERY, SPAN = 5, 31
 PERCENT, RECALL = 80, 0.95
 _ENDS = np.zeros(256, bool)
 _ENDS[[ord(c) for c in ".!?"]] = True
@@ -47,9 +56,9 @@ def tune(percent: int, recall: float, most: int = 128) -> tuple[int, int]:
 
 
 class Paragraphs:
-    """Paragraphs of the rows of a slice: row, first word, word after the last, and content hash."""
+    """Paragraphs of the rows of a slice, with or without windows: row, first word, word after the last, and content hash."""
 
-    def __init__(self, data: np.ndarray, offs: np.ndarray):
+    def __init__(self, data: np.ndarray, offs: np.ndarray, windows: bool = False):
         self.words = w = Words(data, offs)
         n = len(w.hash)
         self.begin = self.stop = self.row = np.zeros(0, np.int64)
@@ -69,10 +78,16 @@ class Paragraphs:
         stop = stops[np.minimum(at, len(stops) - 1)]
         ok = (stop - starts >= LEAST) & (stop <= w.first[w.row[starts] + 1])
         begin, stop = starts[ok], stop[ok]
-        # Repeated words repeat the shingle before them; a passage has many that do not.
+        # Repeated words repeat the shingle before them; a passage has many that do not. Only words inside count.
         changed = np.concatenate([[0], np.cumsum(np.append(True, self.shingle[1:] != self.shingle[:-1]))])
-        rich = changed[stop - SHINGLE + 1] - changed[begin] >= DISTINCT
-        self.begin, self.stop = begin[rich], stop[rich]
+        rich = lambda begin, stop: changed[stop - SHINGLE + 1] - changed[begin + 1] >= DISTINCT - 1
+        some = rich(begin, stop)
+        self.begin, self.stop = begin[some], stop[some]
+        if windows:
+            begin = np.arange(n - LEAST + 1)
+            begin = self._least(rich(begin, begin + LEAST))
+            every = np.unique(np.stack([np.append(self.begin, begin), np.append(self.stop, begin + LEAST)], axis=1), axis=0)
+            self.begin, self.stop = every[:, 0], every[:, 1]
         self.row = w.row[self.begin]
         up, down = powers(n + 1)
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(w.hash * up[:n])])
@@ -91,6 +106,22 @@ class Paragraphs:
             least &= (own < value[short + FIRST - d]) & (own <= value[short + FIRST + d])
         return np.sort(np.concatenate([starts[long], short[least]]))
 
+    def _least(self, rich: np.ndarray) -> np.ndarray:
+        """Where rich windows begin that are chosen: one in EVERY, and the (first) least of SPAN in a row of a text that has none."""
+        n, row = len(rich), self.words.row
+        value = np.where(rich, self.shingle[:n] >> np.uint64(1), np.uint64(2**64 - 1))
+        low = value < np.uint64(2**63 // EVERY)
+        found = [np.flatnonzero(low & (row[:n] == row[LEAST - 1 :]))]
+        count = n - SPAN + 1
+        if count > 0:
+            lows, riches = (np.concatenate([[0], np.cumsum(x)]) for x in (low, rich))
+            bare = (lows[SPAN:] == lows[:count]) & (riches[SPAN:] > riches[:count]) & (row[:count] == row[SPAN + LEAST - 2 :])
+            bare = np.flatnonzero(bare)
+            for a in range(0, len(bare), 1 << 14):
+                at = bare[a : a + (1 << 14)]
+                found.append(at + value[at[:, None] + np.arange(SPAN)].argmin(axis=1))
+        return np.unique(np.concatenate(found))
+
     def bands(self, bands: int, rows: int) -> np.ndarray:
         """Band keys, paragraphs by bands: of each hash function the least value over a paragraph's shingles."""
         out = np.zeros((len(self.begin), bands), np.uint64)
@@ -130,7 +161,7 @@ def repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for at, data, offs in slices(batch.column(1)):
-                p = Paragraphs(data, offs)
+                p = Paragraphs(data, offs, windows=True)
                 point = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
                 zero = point[offs[p.row]]
                 start, end = point[p.words.start[p.begin]] - zero, point[p.words.end[p.stop - 1]] - zero

@@ -169,6 +169,32 @@ def test_passages_of_short_sentences_are_found(spark):
         assert sum(r["end"] - r["start"] for r in inside) >= 0.5 * len(passage)
 
 
+def test_passages_are_found_whatever_the_signs_around(spark):
+    rng = random.Random(33)
+    words = lambda n: " ".join("".join(rng.choices("abcdefghij", k=rng.randint(2, 8))) for _ in range(n))
+    bare, quoted = words(50), '." '.join(words(12) for _ in range(5))
+    hindi = "। ".join(words(13) for _ in range(4))
+    rows = [(10 * k + i, f"{words(33)} {x} {words(41)}") for k, x in enumerate((bare, quoted, hindi)) for i in range(2)]
+    rows += [(40 + i, f"{words(70)}. {words(30 + i)} {bare} {words(9)}. {words(45)}.") for i in range(2)] + [(60 + i, words(150)) for i in range(5)]
+    found = passages.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    text = dict(rows)
+    assert {r["doc_id"] for r in found if r["kept"]} == {0, 10, 20}
+    assert {r["doc_id"] for r in found if not r["kept"]} == {1, 11, 21, 40, 41}
+    for r in found:
+        assert any(text[r["doc_id"]][r["start"] : r["end"]] in x for x in (bare, quoted, hindi)), r
+
+
+def test_every_shared_run_holds_an_equal_window():
+    rng = random.Random(34)
+    words = lambda n: " ".join(f"w{rng.randrange(3000)}" for _ in range(n))
+    for _ in range(2000):
+        run, nodes = words(passages.LEAST + passages.SPAN - 1), []
+        for _ in range(2):
+            data = f"{words(rng.randrange(60))} {run} {words(rng.randrange(60))}".encode()
+            nodes.append(set(passages.Paragraphs(np.frombuffer(data, np.uint8), np.array([0, len(data)]), windows=True).node.tolist()))
+        assert nodes[0] & nodes[1]
+
+
 def test_bands_reach_the_recall():
     for percent, recall in ((80, 0.95), (80, 0.999), (60, 0.99)):
         bands, rows = passages.tune(percent, recall)
