@@ -1,5 +1,7 @@
 """The pipeline's stages one by one, each on what the one before has kept; queries with SQL counterparts."""
 
+import random
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -32,6 +34,24 @@ def test_stages(spark, sf):
     assert last.count() == len(kept["pii"]) and last.where(F.size("token_ids") == 0).count() == 0
 
 
+def test_near_copies_go_by_five_words_and_80_percent(spark, sf):
+    rng = random.Random(12)
+    text = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    rows = []
+    for added in (10, 16, 18, 20, 22, 24, 26, 28, 40):
+        base = text(104)
+        rows += [(len(rows), base), (len(rows) + 1, f"{base} {text(added)}")]
+    rows += [(100, text(3)), (101, ""), (102, None)]
+    sets = {}
+    for i, x in rows:
+        w = (x or "").split()
+        sets[i] = {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else set()
+    gone = {j for i in sets for j in sets if i < j and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    assert len(gone) == 6
+    kept = corpus_pipeline.one_of_each(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf)
+    assert {r["doc_id"] for r in kept.collect()} == set(sets) - gone
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_its_counterpart(spark, sf, name):
     con = duckdb.connect()
