@@ -139,14 +139,17 @@ class Damaged(Exception):
     """What a check found wrong."""
 
 
-def _head(window: _Window, start: int, limit: int = 1 << 16) -> tuple[dict[str, str], int]:
-    """Named fields of the record at start, and the length of its head."""
+def _head(window: _Window | _Member, start: int) -> tuple[dict[str, str], int]:
+    """Named fields of the record at start, and the length of its head, of whatever length."""
+    limit = 1 << 16
     data = window.get(start, limit)
     if not _VERSION.match(data):
         raise Damaged("no version line")
-    end = data.find(b"\r\n\r\n")
-    if end < 0:
-        raise Damaged("no end of the fields")
+    while (end := data.find(b"\r\n\r\n")) < 0:
+        if len(data) < limit:
+            raise Damaged("no end of the fields")
+        limit *= 4
+        data = window.get(start, limit)
     fields = {}
     for line in data[10:end].decode("utf-8", "replace").split("\r\n"):
         name, colon, value = line.partition(":")

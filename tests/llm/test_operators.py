@@ -92,6 +92,13 @@ def test_archives_give_rows_back(spark):
     assert warc.read(warc.write(empty(df))).count() == 0
 
 
+@pytest.mark.parametrize("compress", [True, False])
+def test_very_long_urls_are_read_back(spark, compress):
+    rows = [(1, "data:," + "x y" * 35_000, "a"), (2, "u", "b")]
+    got = warc.read(warc.write(spark.createDataFrame(rows, "page_id long, url string, html string"), compress=compress)).orderBy("record_id").collect()
+    assert [(r["kind"], r["record_id"], r["url"]) for r in got] == [("record", 1, rows[0][1].replace(" ", "%20")), ("record", 2, "u")]
+
+
 # ── 2 chat ──────────────────────────────────────────────────────────────────
 
 
