@@ -5,10 +5,13 @@ each attempt of a task and only archives of finished tasks are in the returned l
 files that nobody reads. Payloads that occur more than once are stored once: the row with the largest id is the response,
 the others are revisit records that refer to it.
 
-Reading: a task streams an archive through a buffer of ``WINDOW`` bytes (a longer record makes it grow). A member or record must pass all checks:
-gzip's checksum, version line, named fields, length, the record's digest and the two line ends after it. After a failed check the reader searches for the
+Reading: a task streams an archive through a buffer of ``WINDOW`` bytes (a longer record makes it grow). A record must pass all checks:
+version line, named fields, length, the record's digest and the two line ends after it. After a failed check the reader searches for the
 next gzip member or version line that passes, goes on there, and reports the bytes in between as a gap
-(path, start, end, reason). A record cut off by the end of the file is a gap too.
+(path, start, end, reason). A record cut off by the end of the file is a gap too. Inflated bytes are read the same way, in steps, and searched for
+version lines; a broken member gives the records before its break and those behind a failed one (after an error of gzip's, checksum
+included, only those with a digest; fields have none) unless it is all one record, and what follows the last is the gap. Records of a member have its start and end; gaps inside
+begin and end at the nearest known places (every ``PIECE`` packed bytes).
 
 Defined results: a null payload is empty; null ids are written as such and read back as null; of rows with equal payloads and equal
 largest ids all are responses; an empty table gives no archives and no rows. Extra columns are ignored.
@@ -17,6 +20,7 @@ largest ids all are responses; an empty table gives no archives and no rows. Ext
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
 import re
 import uuid
@@ -32,6 +36,8 @@ from barloom.llm.common import new_path, written
 
 ARCHIVE_BYTES = 64 << 20
 WINDOW = 1 << 20
+#: Packed bytes that are inflated at once.
+PIECE = 1 << 14
 #: Smaller payloads are stored anew each time.
 REVISIT_BYTES = 1000
 GZIP = b"\x1f\x8b\x08"
@@ -161,12 +167,14 @@ def _head(window: _Window | _Member, start: int) -> tuple[dict[str, str], int]:
     return fields, end + 4
 
 
-def _checked(fields: dict[str, str], block: bytes, tail: bytes) -> dict:
+def _checked(fields: dict[str, str], block: bytes, tail: bytes, proof: bool) -> dict:
     if tail != b"\r\n\r\n":
         raise Damaged("no end of the record")
     want = fields.get("warc-block-digest")
     if want and want.lower().startswith("sha1:") and want[5:].upper() != base64.b32encode(hashlib.sha1(block).digest()).decode():
         raise Damaged("digest")
+    if proof and not (want and want.lower().startswith("sha1:")):
+        raise Damaged("no digest in a broken member")
     number = lambda x: int(m[1]) if (m := re.fullmatch(r"<urn:record:([0-9-]+)>", fields.get(x, ""))) else None
     kind, given = fields.get("warc-type"), fields.get("warc-payload-digest", "")
     try:
@@ -177,80 +185,153 @@ def _checked(fields: dict[str, str], block: bytes, tail: bytes) -> dict:
     return {"warc_type": kind, "record_id": number("warc-record-id"), "url": fields.get("warc-target-uri"), "refers_to": number("warc-refers-to"), "payload_digest": digest, "payload_bytes": size, "payload": block}
 
 
-def _plain(window: _Window, start: int) -> tuple[dict, int]:
-    """The uncompressed record at start and where it ends."""
+def _plain(window: _Window | _Member, start: int, proof: bool = False) -> tuple[dict, int]:
+    """The uncompressed record at start, if asked for only with a digest, and where it ends."""
     fields, head = _head(window, start)
     length = int(fields["content-length"])
     if start + head + length + 4 > window.size:
         raise Damaged("cut off")
     data = window.get(start, head + length + 4)
-    return _checked(fields, data[head : head + length], data[head + length :]), start + head + length + 4
+    return _checked(fields, data[head : head + length], data[head + length :], proof), start + head + length + 4
 
 
 class _Member:
-    """The same calls as a window for one inflated member."""
-
-    def __init__(self, data: bytes):
-        self.data, self.size = data, len(data)
-
-    def get(self, start: int, length: int) -> bytes:
-        return self.data[start : start + length]
-
-
-def _member(window: _Window, start: int) -> tuple[list[dict], int]:
-    """The records of the gzip member at start and where it ends."""
-    inflate, parts, at = zlib.decompressobj(31), [], start
-    try:
+    """The inflated bytes of a gzip member with the calls of a window, read in steps and dropped behind.
+
+    A first pass finds where it ends (``end``), its inflated ``size`` and what is wrong with it (``reason``), and keeps small members.
+    """
+
+    def __init__(self, window: _Window, begin: int):
+        self.window, self.begin, self.end, self.size, self.reason = window, begin, begin, 0, None
+        self.marks, self.at, self.data = [(0, begin)], 0, bytearray()
+        for data, self.end in self._inflated():
+            self.size += len(data)
+            self.marks.append((self.size, self.end))
+            if self.size <= 4 * WINDOW:
+                self.data += data
+        if self.size <= 4 * WINDOW:
+            self.steps = iter(())
+        else:
+            self._open()
+
+    def _open(self) -> None:
+        self.at, self.data, self.steps = 0, bytearray(), self._inflated()
+
+    def _inflated(self) -> Iterator[tuple[bytes, int]]:
+        """Inflated pieces and how far they reach in the file; of a broken member all before the break."""
+        inflate, at = zlib.decompressobj(31), self.begin
         while not inflate.eof:
-            data = window.get(at, WINDOW // 4)
+            data, before = self.window.get(at, PIECE), inflate.copy()
             if not data:
-                raise Damaged("cut off")
-            parts.append(inflate.decompress(data))
+                self.reason = "cut off"
+                return
+            try:
+                out = inflate.decompress(data)
+            except zlib.error:
+                self.reason = "gzip"
+                for k in range(len(data)):
+                    try:
+                        out = before.decompress(data[k : k + 1])
+                    except zlib.error:
+                        return
+                    if out:
+                        yield out, at + k + 1
+                return
             at += len(data)
-    except zlib.error:
-        raise Damaged("gzip") from None
-    inner, records, done = _Member(b"".join(parts)), [], 0
-    while done < inner.size:
-        one, done = _plain(inner, done)
-        records.append(one)
-    if not records:
-        raise Damaged("empty member")
-    return records, at - len(inflate.unused_data)
+            yield out, at - len(inflate.unused_data)
+
+    def get(self, start: int, length: int) -> bytes:
+        if start < self.at:
+            self._open()
+        while True:
+            drop = min(start - self.at, len(self.data))
+            del self.data[:drop]
+            self.at += drop
+            if self.at + len(self.data) >= start + length or (step := next(self.steps, None)) is None:
+                return bytes(self.data[:length]) if self.at == start else b""
+            self.data += step[0]
+
+    def place(self, inner: int, after: bool = False) -> int:
+        """The last known place in the file before the inflated byte inner, or the first one after all bytes before it."""
+        if after:
+            return self.marks[min(bisect.bisect_left(self.marks, (inner, 0)), len(self.marks) - 1)][1]
+        return self.marks[bisect.bisect_right(self.marks, (inner, self.end)) - 1][1]
+
+
+def _inside(member: _Member) -> Iterator[dict]:
+    """Records of a member and gaps before or between them; leaves ``good``, where the last record ends, and ``lost``, why what follows it fails."""
+    at, gap = 0, None
+    member.good, member.lost = 0, None
+    while at < member.size:
+        try:
+            one, done = _plain(member, at, member.reason == "gzip")
+            if member.reason and at == 0 and done == member.size:
+                raise Damaged(member.reason)  # a member of one record stands or falls with it
+        except Damaged as e:
+            if gap is None:
+                gap, member.lost = at, str(e)
+            at = _next(member, at + 1, packed=False)
+            continue
+        if gap is not None:
+            yield {"kind": "gap", "start": member.place(gap), "end": member.place(at, True), "reason": member.lost}
+            gap = member.lost = None
+        yield {"kind": "record", "start": member.begin, "end": member.end, **one}
+        member.good = at = done
 
 
 def salvage(file: pa.NativeFile) -> Iterator[dict]:
     """Records and gaps of an archive, in order."""
     window, at, gap, reason = _Window(file), 0, None, ""
+    told, until = set(), 0  # records of a broken member, which may lie in it unpacked and are met again then
+    name = lambda r: tuple(r[x] for x in ("warc_type", "record_id", "url", "refers_to", "payload_digest"))
     while at < window.size:
-        begin = window.get(at, 10)
+        if at >= until:
+            told.clear()
+        if window.get(at, 10).startswith(GZIP):
+            member = _Member(window, at)
+            for r in _inside(member):
+                if gap is not None and gap < at:
+                    yield {"kind": "gap", "start": gap, "end": at, "reason": reason}
+                gap = None
+                if member.reason and r["kind"] == "record":
+                    told.add(name(r))
+                    until = member.end
+                yield r
+            if member.good and not member.reason:
+                if member.lost:
+                    yield {"kind": "gap", "start": member.place(member.good), "end": member.end, "reason": member.lost}
+                at = member.end
+                continue
+            if gap is None:
+                gap, reason = member.place(member.good), member.reason or member.lost or "empty member"
+            at = _next(window, at + 1)
+            continue
         try:
-            if begin.startswith(GZIP):
-                records, end = _member(window, at)
-            else:
-                one, end = _plain(window, at)
-                records = [one]
+            one, end = _plain(window, at)
         except Damaged as e:
             if gap is None:
                 gap, reason = at, str(e)
             at = _next(window, at + 1)
             continue
-        if gap is not None:
+        if at < until and name(one) in told:
+            at = end
+            continue
+        if gap is not None and gap < at:
             yield {"kind": "gap", "start": gap, "end": at, "reason": reason}
-            gap = None
-        for r in records:
-            yield {"kind": "record", "start": at, "end": end, **r}
+        gap = None
+        yield {"kind": "record", "start": at, "end": end, **one}
         at = end
     if gap is not None:
         yield {"kind": "gap", "start": gap, "end": window.size, "reason": reason}
 
 
-def _next(window: _Window, start: int) -> int:
-    """The next place that looks like a member or a version line; the end of the file if there is none."""
+def _next(window: _Window | _Member, start: int, packed: bool = True) -> int:
+    """The next place that looks like a member (if these may come) or a version line; the end if there is none."""
     at = start
     while at < window.size:
         data = window.get(at, WINDOW // 2)
         version = _VERSION.search(data)
-        places = [data.find(GZIP), version.start() if version else -1]
+        places = [data.find(GZIP) if packed else -1, version.start() if version else -1]
         if max(places) >= 0:
             return at + min(x for x in places if x >= 0)
         if at + len(data) >= window.size:

@@ -92,6 +92,34 @@ def test_archives_give_rows_back(spark):
     assert warc.read(warc.write(empty(df))).count() == 0
 
 
+@pytest.mark.parametrize("size", [50, 40_000])
+def test_salvage_inside_members_of_several_records(size):
+    rng = random.Random(size)
+    records = [warc.record(i, f"http://x/{i}", rng.randbytes(rng.randrange(size, 2 * size)), None) for i in range(200)]
+    got = lambda data: list(warc.salvage(pa.BufferReader(data)))
+    ids = lambda rows: [r["record_id"] for r in rows if r["kind"] == "record"]
+    last = packed(warc.record(900, "u", b"last", None))
+    assert ids(got(packed(b"".join(records)) + last)) == [*range(200), 900]
+    # One bad digest in an intact member.
+    bad = [r[:-6] + bytes([r[-6] ^ 1]) + r[-5:] if i == 70 else r for i, r in enumerate(records)]
+    whole = packed(b"".join(bad))
+    rows = got(whole + last)
+    assert ids(rows) == [*range(70), *range(71, 200), 900]
+    assert [(r["reason"], 0 <= r["start"] < r["end"] <= len(whole)) for r in rows if r["kind"] == "gap"] == [("digest", True)]
+    # Cut off, a checksum that fails, a break inside; stored bytes that show records again.
+    whole = packed(b"".join(records))
+    assert ids(got(whole[: len(whole) // 2]))[:80] == list(range(80))
+    assert ids(got(whole[:-8] + b"\0" * 8 + last)) == [*range(200), 900]
+    broken = bytearray(whole)
+    broken[len(whole) // 2 : len(whole) // 2 + 40] = bytes(40)
+    rows = got(bytes(broken) + last)
+    assert ids(rows)[:80] == list(range(80)) and ids(rows)[-1] == 900 and rows[-2]["kind"] == "gap"
+    assert len(set(ids(rows))) == len(ids(rows))
+    c = zlib.compressobj(0, zlib.DEFLATED, 31)
+    stored = c.compress(b"".join(records)) + c.flush()
+    assert sorted(ids(got(stored[:-8] + b"\0" * 8 + last))) == [*range(200), 900]
+
+
 @pytest.mark.parametrize("compress", [True, False])
 def test_very_long_urls_are_read_back(spark, compress):
     rows = [(1, "data:," + "x y" * 35_000, "a"), (2, "u", "b")]
