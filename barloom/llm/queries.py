@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import bpe, chat, decontaminate, jaccard_join, language_id, mtree, passages, pii, toxicity, warc
+from barloom.llm import bpe, chat, decontaminate, jaccard_join, language_id, mtree, passages, pii, spelling, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,6 +84,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(listed("pii_base"), 256).alias("base_sha256"), listed("pii_spans").alias("spans"))
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_chat": op2_chat,
@@ -95,4 +99,5 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_bpe": op9_bpe,
     "op10_pii": op10_pii,
+    "op13_spelling": op13_spelling,
 }
