@@ -3,14 +3,15 @@
 Trie: nodes are the beginnings of words that branch or end a word; an edge carries all characters between two nodes, so
 that a walk takes as many rounds as a word passes branches, not characters. A word's states start in the node at most half
 its length down, as the first half is spelled exactly unless the edit lies in it; that case is met in a second trie, of the
-reversed words, whose nodes stand in the same table. Every round joins the states with the edges on the node:
+reversed words, whose nodes stand in the same table. Every round joins the states with the edges of their nodes:
 
 * no edit yet: the edge with the word's next character is the word's own path; every other one is a replaced, an
   inserted or a deleted character, if the rest of its label then agrees (an edit can always be put where two words first differ);
 * one edit: only the edge that agrees is followed.
 
-States with one edit and no characters left are neighbours where their node ends a word. A node has at most as many edges as
-there are letters, so a round makes at most some dozens of rows of a state, whatever words share a beginning.
+An edge can be asked for by its first character or by the one after that, so that a state meets only edges that agree in the
+character that matters. States with one edit and no characters left are neighbours where their node ends a word. A node has
+at most as many edges as there are letters, so a round makes at most some dozens of rows of a state, whatever words share a beginning.
 
 Defined results: null and empty texts hold no words; a null id counts as the empty text in the checksum; rows that repeat
 count as often as they are there; equal counts go to the smaller word in code-point order; an empty table gives no rows.
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from barloom.llm.common import written
 
-RUN = "[A-Za-z\\u00C0-\\u00FF]+"
+LETTER = "[A-Za-z\\u00C0-\\u00FF]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Nodes up to this depth are named by their characters, deeper ones by a digest, so that a long word stays linear in size.
 NAMED = 48
@@ -37,8 +38,8 @@ def vocabulary(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_
     """
     runs = docs.select(
         F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":")).alias("head"),
-        F.explode(F.regexp_extract_all(F.col(text), F.lit(RUN), F.lit(0))).alias("run"),
-    ).where(F.char_length("run") >= min_chars)
+        F.explode(F.regexp_extract_all(F.col(text), F.lit(f"{LETTER}{{{min_chars},}}"), F.lit(0))).alias("run"),
+    )
     # lower() is for ASCII only here: letters from U+00C0 on keep their case.
     runs = runs.withColumn("run", F.when(F.col("run").rlike("[\\u00C0-\\u00DE]"), F.translate("run", UPPER, LOWER)).otherwise(F.lower("run")))
     runs = runs.withColumn("h", F.crc32(F.concat("head", "run").cast("binary")))
@@ -66,7 +67,10 @@ def _paths(words: DataFrame) -> DataFrame:
     steps = steps.select("way", "word", "depth", F.concat("way", F.get("before", block), passed).alias("node"), F.coalesce(F.ascii(after), F.lit(0)).alias("next"))
     ends = steps.groupBy("node").agg(F.min("next").alias("low"), F.max("next").alias("high"))
     nodes = ends.where("low <> high OR high = 0 OR char_length(node) = 1").select("node")
-    return steps.join(nodes, "node", "left_semi").groupBy("way", "word").agg(F.sort_array(F.collect_list(F.struct("depth", "node"))).alias("stops"))
+    size = F.char_length("word")
+    half = F.when(F.col("way") == ">", F.expr("char_length(word) div 2")).otherwise(size - F.expr("char_length(word) div 2"))
+    stop = F.struct("depth", "node")
+    return steps.join(nodes, "node", "left_semi").groupBy("way", "word").agg(F.sort_array(F.collect_list(stop)).alias("stops"), F.max(F.when(F.col("depth") <= half, stop)).alias("start"))
 
 
 def _path() -> Column:
@@ -74,51 +78,70 @@ def _path() -> Column:
 
 
 def _edges(paths: DataFrame) -> DataFrame:
-    """(node, label, child), once each; child is null where node and label spell it."""
+    """(at, label, child): every edge by its node with its first character, and with the one after that ('' at a word's end)."""
     e = paths.select(_path().alias("path"), "stops", F.posexplode(F.slice("stops", F.lit(2), F.size("stops") - 1)).alias("k", "to"))
-    e = e.select("path", "to", F.expr("stops[k]").alias("at"))
-    label = F.substring(F.col("path"), F.col("at.depth") + 1, F.col("to.depth") - F.col("at.depth"))
-    return e.select("at.node", label.alias("label"), F.when(F.col("to.depth") > NAMED, F.col("to.node")).alias("child")).distinct()
+    e = e.select("path", "to", F.expr("stops[k]").alias("from"))
+    label = F.substring(F.col("path"), F.col("from.depth") + 1, F.col("to.depth") - F.col("from.depth"))
+    return e.select("from.node", label.alias("label"), F.col("to.node").alias("child")).distinct()
+
+
+def _asked(edges: DataFrame, paths: DataFrame) -> DataFrame:
+    first = edges.select(_at("1", F.substring("label", 1, 1)).alias("at"), "label", "child")
+    second = edges.where("char_length(label) > 1").select(_at("2", F.substring("label", 2, 1)).alias("at"), "label", "child")
+    ends = paths.select(F.element_at("stops", -1)["node"].alias("child"), F.lit("").alias("next"))
+    beyond = edges.select(F.col("node").alias("child"), F.substring("label", 1, 1).alias("next")).unionAll(ends)
+    short = edges.where("char_length(label) = 1").join(beyond, "child").select(_at("2", F.col("next")).alias("at"), "label", "child")
+    return first.unionAll(second).unionAll(short)
+
+
+def _at(place: str, letter: Column) -> Column:
+    return F.concat("node", F.lit(place), letter)
 
 
 def _starts(paths: DataFrame) -> DataFrame:
     """The first state of every word and way: as deep as its exact half reaches."""
-    size = F.char_length("word")
-    half = F.when(F.col("way") == ">", F.floor(size / 2)).otherwise(size - F.floor(size / 2))
-    s = paths.select("word", _path().alias("path"), F.array_max(F.filter("stops", lambda s: s["depth"] <= half)).alias("at"))
-    return s.select("word", "at.node", F.substring(F.col("path"), F.col("at.depth") + 1, F.char_length("path")).alias("rest"), F.lit(0).alias("edits"))
+    rest = F.substring(_path(), F.col("start.depth") + 1, F.char_length("word"))
+    return paths.select("word", "start.node", rest.alias("rest"), F.lit(0).alias("edits"))
 
 
-def _stepped(states: DataFrame, edges: DataFrame) -> DataFrame:
+def _stepped(states: DataFrame, asked: DataFrame) -> DataFrame:
     """The states after one edge. ``rest`` is what the word still has to spell, i.e. its position."""
-    x = states.join(edges, "node")
-    m = F.char_length("label")
-    rest, label, tail = F.col("rest"), F.col("label"), F.substring(F.col("label"), F.lit(2), m)
-    other = (F.col("edits") == 0) & (F.ascii("label") != F.ascii("rest"))
-
-    def after(fits: Column, skipped: Column, edits: Column) -> Column:
-        return F.when(fits, F.struct(F.substring(rest, skipped + 1, F.char_length("rest")).alias("rest"), edits.cast("int").alias("edits")))
-
-    found = F.array(
-        after(rest.startswith(label), m, F.col("edits")),
-        after(other & (rest != "") & (tail == F.substring(rest, F.lit(2), m - 1)), m, F.lit(1)),
-        after(other & (label == F.substring(rest, F.lit(2), m)), m + 1, F.lit(1)),
-        after(other & (tail == F.substring(rest, F.lit(1), m - 1)), m - 1, F.lit(1)),
+    one, two = F.substring("rest", 1, 1), F.substring("rest", 2, 1)
+    fresh = F.col("edits") == 0
+
+    def want(kind: str, place: str, letter: Column, when: Column) -> Column:
+        return F.when(when, F.struct(F.lit(kind).alias("kind"), _at(place, letter).alias("at")))
+
+    wants = F.array(
+        want("same", "1", one, F.col("rest") != ""),
+        want("replaced", "2", two, fresh & (F.col("rest") != "")),
+        want("dropped", "1", two, fresh & (two != "") & (one != two)),
+        want("added", "2", one, fresh),
+    )
+    x = states.select("word", "rest", "edits", F.explode(F.array_compact(wants)).alias("w")).select("word", "rest", "edits", "w.*").join(asked, "at")
+    m, size, kind = F.char_length("label"), F.char_length("rest"), F.col("kind")
+    tail = F.substring(F.col("label"), F.lit(2), m)
+    fits = (
+        F.when(kind == "same", F.col("rest").startswith(F.col("label")))
+        .when(kind == "replaced", tail == F.substring(F.col("rest"), F.lit(2), m - 1))
+        .when(kind == "dropped", F.col("label") == F.substring(F.col("rest"), F.lit(2), m))
+        .otherwise(tail == F.substring(F.col("rest"), F.lit(1), m - 1))
     )
-    child = F.coalesce("child", F.concat("node", "label"))
-    return x.select("word", child.alias("node"), F.explode(F.array_compact(found)).alias("s")).select("word", "node", "s.rest", "s.edits")
+    x = x.where(fits & ((kind == "same") | (F.substring("label", 1, 1) != F.substring("rest", 1, 1))))
+    used = F.when(kind == "dropped", m + 1).when(kind == "added", m - 1).otherwise(m)
+    return x.select("word", F.col("child").alias("node"), F.substring(F.col("rest"), used + 1, size).alias("rest"), F.when(kind == "same", F.col("edits")).otherwise(F.lit(1)).alias("edits"))
 
 
 def neighbours(words: DataFrame, name: str = "spelling") -> DataFrame:
     """Pairs (word, near) of words that are one inserted, deleted or replaced character apart, each both ways, once."""
     paths = written(_paths(words), name)
-    edges = written(_edges(paths), name)
+    asked = written(_asked(written(_edges(paths), name), paths), name)
     states = written(_starts(paths), name)
     done = []
     while states.head(1):
         # The last character left out: the word before it is a neighbour if the node ends one.
         done.append(states.where("edits = 0 AND char_length(rest) = 1").select("word", "node"))
-        stepped = written(_stepped(states, edges), name)
+        stepped = written(_stepped(states, asked), name)
         done.append(stepped.where("edits = 1 AND rest = ''").select("word", "node"))
         states = stepped.where("edits = 0 OR rest <> ''")
     ends = paths.select(F.element_at("stops", -1)["node"].alias("node"), F.col("word").alias("near"))
