@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import bpe, byte_bpe, chat, decontaminate, jaccard_join, language_id, mtree, passages, pii, spelling, toxicity, warc
+from barloom.llm import align, bpe, byte_bpe, chat, decontaminate, jaccard_join, language_id, mtree, passages, pii, spelling, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,6 +84,14 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(listed("pii_base"), 256).alias("base_sha256"), listed("pii_spans").alias("spans"))
 
 
+def op11_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    a = byte_bpe.Tables.from_json(public_tokenizers.path("byte_bpe_50k.json"))
+    b = align.PieceTables(public_tokenizers.path("piece_bpe_32k.model"))
+    return align.align(_table(spark, sf_dir, "documents"), a, public_tokenizers.PATTERN, b)
+
+
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -106,6 +114,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_bpe": op9_bpe,
     "op10_pii": op10_pii,
+    "op11_align": op11_align,
     "op12_byte_bpe": op12_byte_bpe,
     "op13_spelling": op13_spelling,
 }
