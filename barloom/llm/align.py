@@ -150,7 +150,9 @@ def _block(ids: pa.Array, texts: list[str], encode_a, encode_b, tokens_a: _Token
     """The results of a block's texts, and its links by position in the block's sorted list of pairs."""
     whole = [" " + t if t else "" for t in texts]
     raw_a, raw_b = [encode_a(t) if t else b"" for t in whole], [encode_b(t) if t else b"" for t in whole]
-    for i, t in enumerate(whole):
+    spaced = "".join(whole).encode()
+    agree = all(tokens.spell(np.frombuffer(b"".join(raw), np.int32)) == spaced for raw, tokens in ((raw_a, tokens_a), (raw_b, tokens_b)))
+    for i, t in enumerate(whole if not agree else ()):
         if t and not (tokens_a.spell(np.frombuffer(raw_a[i], np.int32)) == t.encode() == tokens_b.spell(np.frombuffer(raw_b[i], np.int32))):
             raw_a[i] = raw_b[i] = b""
     a, b = _Side(raw_a, tokens_a), _Side(raw_b, tokens_b)

@@ -19,6 +19,7 @@ import base64
 import hashlib
 import heapq
 import json
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,15 +36,20 @@ CHUNK, OVERLAP = 32_768, 512
 OUT_BYTES = 4 << 20
 #: Pieces of more bytes are merged with a heap.
 LONG = 100
-_NEVER = 1 << 60
+_BITS = 24
+_MASK, _NEVER = (1 << _BITS) - 1, 1 << 60
 
 
 class Tables:
-    """Tokens and merges; plain data, so that it can be broadcast."""
+    """Tokens and merges; plain data, so that it can be broadcast.
 
-    def __init__(self, texts: list[bytes], ranks: dict[bytes, int], pairs: dict[tuple[bytes, bytes], int] | None = None):
+    ``merges`` has the two ids as one number, and the merge's rank and the new id as another, so that the smaller merges first.
+    """
+
+    def __init__(self, texts: list[bytes], merges: dict[int, int], whole: bool):
         self.texts, self.ids = texts, {t: i for i, t in enumerate(texts) if t}
-        self.ranks, self.pairs = ranks, pairs
+        self.merges, self.whole = merges, whole
+        self.bytes = [self.ids[bytes([b])] for b in range(256)]
         self.offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
         self.blob = b"".join(texts)
 
@@ -55,7 +61,8 @@ class Tables:
         texts = [b""] * (max(ranks.values()) + 1)
         for token, i in ranks.items():
             texts[i] = token
-        return Tables(texts, ranks)
+        halves = ((token[:k], token[k:], i) for token, i in ranks.items() for k in range(1, len(token)))
+        return Tables(texts, {ranks[a] << _BITS | ranks[b]: i << _BITS | i for a, b, i in halves if a in ranks and b in ranks}, whole=True)
 
     @staticmethod
     def from_json(path: str) -> Tables:
@@ -67,8 +74,10 @@ class Tables:
         texts = [b""] * (max(model["vocab"].values()) + 1)
         for t, i in model["vocab"].items():
             texts[i] = raw[t]
-        merges = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
-        return Tables(texts, {}, {(raw[a], raw[b]): k for k, (a, b) in enumerate(merges)})
+        ids = {t: i for i, t in enumerate(texts) if t}
+        merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        ranked = ((k, raw[a], raw[b]) for k, (a, b) in enumerate(merges))
+        return Tables(texts, {ids[a] << _BITS | ids[b]: k << _BITS | ids[a + b] for k, a, b in ranked}, whole=False)
 
 
 class Encoder:
@@ -82,55 +91,53 @@ class Encoder:
         self.kept = _Kept(self._piece)
         self.blob = np.frombuffer(tables.blob, np.uint8)
 
-    def _rank(self, a: bytes, b: bytes) -> int:
+    def merged(self, piece: bytes) -> list[int]:
+        """The ids of a piece: the pair with the lowest rank merges first, of equal ones the leftmost."""
         t = self.t
-        return t.ranks.get(a + b, _NEVER) if t.pairs is None else t.pairs.get((a, b), _NEVER)
-
-    def merged(self, piece: bytes) -> list[bytes]:
-        """The tokens of a piece: the pair with the lowest rank merges first, of equal ones the leftmost."""
-        if self.t.pairs is None and piece in self.t.ids:
-            return [piece]
-        parts = [piece[i : i + 1] for i in range(len(piece))]
-        if len(piece) > LONG:
-            return self._merged_long(parts)
-        ranks = [self._rank(a, b) for a, b in zip(parts, parts[1:], strict=False)]
+        if t.whole and piece in t.ids:
+            return [t.ids[piece]]
+        byte, rank = t.bytes, t.merges.get
+        ids = [byte[b] for b in piece]
+        if len(ids) > LONG:
+            return self._merged_long(ids)
+        ranks = [rank(a << _BITS | b, _NEVER) for a, b in zip(ids, ids[1:], strict=False)]
         while ranks:
             low = min(ranks)
             if low == _NEVER:
                 break
             i = ranks.index(low)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-            del ranks[i]
+            new = ids[i] = low & _MASK
+            del ids[i + 1], ranks[i]
             if i:
-                ranks[i - 1] = self._rank(parts[i - 1], parts[i])
+                ranks[i - 1] = rank(ids[i - 1] << _BITS | new, _NEVER)
             if i < len(ranks):
-                ranks[i] = self._rank(parts[i], parts[i + 1])
-        return parts
+                ranks[i] = rank(new << _BITS | ids[i + 1], _NEVER)
+        return ids
 
-    def _merged_long(self, parts: list[bytes]) -> list[bytes]:
-        n = len(parts)
+    def _merged_long(self, ids: list[int]) -> list[int]:
+        """The same with a heap of pairs (their merge, place and ids) over a linked list."""
+        n, rank = len(ids), self.t.merges.get
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r, i, parts[i], parts[i + 1]) for i in range(n - 1) if (r := self._rank(parts[i], parts[i + 1])) < _NEVER]
+        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := rank(ids[i] << _BITS | ids[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, a, b = heapq.heappop(heap)
+            low, i, a, b = heapq.heappop(heap)
             j = after[i]
-            if parts[i] != a or j >= n or parts[j] != b:
+            if ids[i] != a or j >= n or ids[j] != b:
                 continue  # one of the two has merged meanwhile
-            parts[i], parts[j] = a + b, b""
-            k = after[i] = after[j]
+            ids[i], ids[j] = low & _MASK, -1
+            k, h = after[j], before[i]
+            after[i] = k
             if k < n:
                 before[k] = i
-                if (r := self._rank(parts[i], parts[k])) < _NEVER:
-                    heapq.heappush(heap, (r, i, parts[i], parts[k]))
-            h = before[i]
-            if h >= 0 and (r := self._rank(parts[h], parts[i])) < _NEVER:
-                heapq.heappush(heap, (r, h, parts[h], parts[i]))
-        return [p for p in parts if p]
+            for left, right in ((i, k), (h, i)):
+                if left >= 0 and right < n and (r := rank(ids[left] << _BITS | ids[right])) is not None:
+                    heapq.heappush(heap, (r, left, ids[left], ids[right]))
+        return [i for i in ids if i >= 0]
 
     def _piece(self, piece: str) -> tuple[bytes, str]:
-        ids = [self.t.ids[p] for p in self.merged(piece.encode())]
-        return np.array(ids, np.int32).tobytes(), " ".join(map(str, ids))
+        ids = self.merged(piece.encode())
+        return array("i", ids).tobytes(), " ".join(map(str, ids))
 
     def pieces(self, pieces: list[str]) -> tuple[bytes, str]:
         """Ids of the pieces (as bytes of int32), and the same in decimal with one space between."""
