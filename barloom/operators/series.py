@@ -202,9 +202,9 @@ def scan_rows(candles: DataFrame, lookback: int | None = None, chunk_seconds: in
     return rows.withColumn("zz", zigzag(S.col("swings"), S.col("min_reversal")).column())
 
 
-def reversal_size(atr: Sql, close: Sql) -> Sql:
-    """Smallest opposite move that counts: one ATR, else half a percent of price."""
-    return S.when(atr > 0, atr).otherwise(close * REVERSAL_FALLBACK)
+def reversal_size(atr: Sql, close: Sql, multiplier: float = 1.0, fallback: float = REVERSAL_FALLBACK) -> Sql:
+    """Smallest opposite move that counts: ATRs, else a part of the price; by default one ATR and half a percent."""
+    return S.when(atr > 0, atr if multiplier == 1 else atr * multiplier).otherwise(close * fallback)
 
 
 def merge_swings(highs: Sql, lows: Sql) -> Sql:

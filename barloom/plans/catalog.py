@@ -17,7 +17,7 @@ from barloom.functions.indicators import Indicator, apply_preset, setup_preset,
 from barloom.functions.layout import index_bars
 from barloom.functions.rows import each, each_struct
 from barloom.functions.sql import F
-from barloom.operators import geometry, levels, momentum, ranges, select, sizing, states, swings
+from barloom.operators import geometry, levels, momentum, ranges, select, sizing, states, swings, whole
 from barloom.operators.patterns import channels, detect
 from barloom.operators.patterns.breach import breach_guard as guard
 from barloom.operators.series import as_xy, bar_slice, scan_rows
@@ -40,6 +40,8 @@ from barloom.sources.views import (
 Query = Callable[[SparkSession, str], DataFrame]
 DAY = 86400
 MINUTE = 60
+#: Bars are placed by counts over spans of so many seconds.
+SPAN = 90 * DAY
 QUERIES: dict[str, Query] = {}
 
 
@@ -160,12 +162,13 @@ QUERIES |= {
 
 @query
 def macd_cross(spark, d):
-    return scan_rows(candles_walk(spark, d)).select("symbol", pf.coalesce("macd_cross", pf.lit("none")).alias("macd_cross"))
+    rows = whole.settled_rows(candles_walk(spark, d), SPAN)
+    return rows.select("symbol", pf.coalesce("macd_cross", pf.lit("none")).alias("macd_cross"))
 
 
 @query
 def vol_stats(spark, d):
-    return _flat(sizing.vol_stats(scan_rows(candles_walk(spark, d))))
+    return _flat(sizing.vol_stats(whole.settled_rows(candles_walk(spark, d), SPAN)))
 
 
 def _preset(name, columns):
@@ -207,7 +210,13 @@ def suffix_extrema_bars(spark, d):
 
 @query
 def min_reversal(spark, d):
-    return _flat(scan_rows(candles_walk(spark, d)).select("symbol", "last_atr", "min_reversal"))
+    return _flat(whole.min_reversal(candles_walk(spark, d), SPAN))
+
+
+@query
+def min_reversal_scaled(spark, d):
+    """Short series, many without an ATR: two and a half ATRs, else one percent."""
+    return _flat(whole.min_reversal(candles_user(spark, d), SPAN, multiplier=2.5, fallback=0.01))
 
 
 # ── summaries ───────────────────────────────────────────────────────────────
@@ -233,46 +242,25 @@ def line_fit(spark, d):
 
 
 @query
-def quad_fit(spark, d):
+def quad_fit(spark, d, view=candles_walk):
     """Parabola through the lows."""
-    q = let(
-        fit_parabola(as_xy(F.col("bars"), "low")),
-        lambda f: F.struct(("a", f.a), ("r2", f.r2), ("vertex", f.vertex)),
-    )
-    return _flat(scan_rows(candles_walk(spark, d)).select("symbol", q.column().alias("q")).select("symbol", "q.*"))
+    return _flat(whole.quad_fit(view(spark, d), "low", SPAN))
 
 
 @query
 def volatility_summary(spark, d):
-    rows = scan_rows(candles_walk(spark, d))
+    rows = whole.settled_rows(candles_walk(spark, d), SPAN)
     return _flat(rows.select("symbol", momentum.volatility_summary().column().alias("v")).select("symbol", "v.*"))
 
 
-def _momentum(spark, d):
-    found = momentum.divergences("rsi", "macd")
-    rows = scan_rows(candles_walk(spark, d)).withColumn("_div", found.column())
-    return rows.select("symbol", momentum.momentum_summary(F.col("_div")).column().alias("m"))
-
-
 @query
-def momentum_summary(spark, d):
-    k = momentum.DIVERGENCE_KINDS
-    return _flat(
-        _momentum(spark, d).select(
-            "symbol",
-            "m.rsi",
-            "m.rsi_state",
-            "m.macd_cross",
-            "m.macd_histogram",
-            pf.col("m.divergences.count").alias("divergence_count"),
-            *[pf.col("m.divergences.by_kind")[x].alias(x) for x in k],
-        )
-    )
+def momentum_summary(spark, d, view=candles_walk):
+    return _flat(whole.momentum_summary(view(spark, d), SPAN))
 
 
 @query
 def momentum_recent(spark, d):
-    return _flat(each(_momentum(spark, d), "m.divergences.recent", "symbol").select("symbol", "no", "x.*"))
+    return _flat(whole.recent_divergences(whole.divergences(whole.series_pivots(candles_walk(spark, d), SPAN))))
 
 
 @query
@@ -299,21 +287,18 @@ def indicator_state(spark, d):
 
 
 @query
-def volume_profile(spark, d):
-    p = levels.volume_profile(F.col("bars"))
-    rows = scan_rows(candles_walk(spark, d)).select("symbol", p.column().alias("p"))
-    return _flat(each(rows, "p.bins", "symbol", no="bin", value="volume"))
+def volume_profile(spark, d, view=candles_walk):
+    return _flat(each(whole.volume_profile(view(spark, d)), "profile.bins", "symbol", no="bin", value="volume"))
 
 
 @query
 def poc_value_area(spark, d, view=candles_walk):
-    return _flat(levels.with_levels(scan_rows(view(spark, d))).select("symbol", "poc", "vah", "val"))
+    return _flat(whole.value_area(view(spark, d)))
 
 
 @query
 def meta_summary(spark, d, view=candles_user):
-    rows = scan_rows(view(spark, d))
-    return _flat(rows.select("symbol", pf.col("n").alias("candle_count"), "timeframe_seconds", "first_ts", "last_ts", "last_close"))
+    return _flat(whole.meta_summary(view(spark, d)))
 
 
 # ── structure ───────────────────────────────────────────────────────────────
@@ -336,8 +321,8 @@ def candle_swings(spark, d):
 
 @query
 def zigzag(spark, d, view=candles_walk):
-    rows = each(scan_rows(view(spark, d)), "zz", "symbol")
-    return _flat(rows.select("symbol", "no", "x.idx", "x.kind", "x.ts", "x.price"))
+    bars = view(spark, d)
+    return _flat(whole.zigzag(swings.candle_swings(bars, chunk_seconds=SPAN), whole.min_reversal(bars, SPAN)))
 
 
 @query
@@ -389,17 +374,20 @@ def level_detail(spark, d):
 @query
 def nearest_pivot(spark, d):
     """The RSI low matched to each closing low."""
-    near = F.transform(
-        F.col("close_lows"),
-        lambda p: F.struct(("idx", p.idx), ("m", momentum.nearest_pivot(F.col("rsi_lows"), p.idx))),
-    )
-    rows = each_struct(scan_rows(candles_walk(spark, d)), near, "symbol")
-    return _flat(rows.where("m IS NOT NULL").select("symbol", "idx", pf.col("m.idx").alias("match_idx"), pf.col("m.price").alias("value")))
+    near = whole.nearest_pivots(whole.series_pivots(candles_walk(spark, d), SPAN), ("rsi",)).where("kind = 'low' AND match IS NOT NULL")
+    return _flat(near.select("symbol", pf.col("bar_idx").alias("idx"), "match_idx", pf.col("match").alias("value")))
+
+
+@query
+def nearest_pivot_sides(spark, d):
+    """RSI and MACD pivots matched to closing lows and highs."""
+    near = whole.nearest_pivots(whole.series_pivots(candles_walk(spark, d), SPAN)).where("match IS NOT NULL")
+    return _flat(near.select("symbol", "indicator", "kind", pf.col("bar_idx").alias("idx"), "match_idx", pf.col("match").alias("value")))
 
 
 @query
-def divergences(spark, d):
-    return _flat(each_struct(scan_rows(candles_walk(spark, d)), momentum.divergences("rsi", "macd"), "symbol"))
+def divergences(spark, d, view=candles_walk):
+    return _flat(whole.divergences(whole.series_pivots(view(spark, d), SPAN)).drop("side", "bar_idx"))
 
 
 @query
@@ -682,7 +670,7 @@ def _long(f: Query) -> Query:
     return lambda spark, d: f(spark, d, candles_lines)
 
 
-QUERIES |= {f"{f.__name__}_lines": _long(f) for f in (trend_summary, meta_summary, zigzag, poc_value_area, find_levels)}
+QUERIES |= {f"{f.__name__}_lines": _long(f) for f in (trend_summary, meta_summary, zigzag, poc_value_area, find_levels, quad_fit, volume_profile, divergences)}
 
 
 def trending_with_bands(spark: SparkSession, d: str) -> DataFrame:

@@ -161,6 +161,7 @@ O["min_reversal"] = sql(
     select="""SELECT symbol, round(atr, 6) AS last_atr,
   round(CASE WHEN atr > 0 THEN atr ELSE last_close * 0.005 END, 6) AS min_reversal FROM scale""",
 )
+O["min_reversal_scaled"] = O["min_reversal"].replace(WALK, USER).replace("THEN atr ELSE last_close * 0.005", "THEN atr * 2.5 ELSE last_close * 0.01")
 
 # ── summaries ───────────────────────────────────────────────────────────────
 
@@ -284,6 +285,11 @@ O["nearest_pivot"] = sql(
     select="""SELECT symbol, i AS idx, mi AS match_idx, round(mv, 6) AS value FROM matched
 WHERE side = 'low' AND indicator = 'rsi'""",
 )
+O["nearest_pivot_sides"] = sql(
+    *IND,
+    _FLAGS,
+    select="SELECT symbol, indicator, side AS kind, i AS idx, mi AS match_idx, round(mv, 6) AS value FROM matched",
+)
 O["momentum_recent"] = sql(
     *IND,
     _FLAGS,
@@ -501,5 +507,5 @@ FROM asked a ASOF LEFT JOIN bars b ON a.symbol = b.symbol AND a.at >= b.sec""",
 )
 
 # The same over the long series.
-for _name, _view in (("trend_summary", WALK), ("meta_summary", USER), ("zigzag", WALK), ("poc_value_area", WALK), ("find_levels", WALK)):
-    O[f"{_name}_lines"] = O[_name].replace(_view, LINES)
+for _name in ("trend_summary", "meta_summary", "zigzag", "poc_value_area", "find_levels", "quad_fit", "volume_profile", "divergences"):
+    O[f"{_name}_lines"] = O[_name].replace(USER if _name == "meta_summary" else WALK, LINES)
