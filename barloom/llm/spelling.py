@@ -1,7 +1,7 @@
 """Spelling variants: a frontier of (word, position, node, edits) states walks a trie that is a distributed edge table.
 
-Trie: nodes are the beginnings of words that branch or end a word; an edge carries all characters between two nodes, so
-that a walk takes as many rounds as a word passes branches, not characters. A word's states start in the node at most half
+Trie: nodes are the beginnings of words that branch, end a word or start a walk; an edge carries all characters between two
+nodes, so that a walk takes as many rounds as a word passes branches, not characters. A word's states start in the node half
 its length down, as the first half is spelled exactly unless the edit lies in it; that case is met in a second trie, of the
 reversed words, whose nodes stand in the same table. Every round joins the states with the edges of their nodes:
 
@@ -41,7 +41,8 @@ def vocabulary(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_
         F.explode(F.regexp_extract_all(F.col(text), F.lit(f"{LETTER}{{{min_chars},}}"), F.lit(0))).alias("run"),
     )
     # lower() is for ASCII only here: letters from U+00C0 on keep their case.
-    runs = runs.withColumn("run", F.when(F.col("run").rlike("[\\u00C0-\\u00DE]"), F.translate("run", UPPER, LOWER)).otherwise(F.lower("run")))
+    capital = (F.octet_length("run") > F.char_length("run")) & F.col("run").rlike("[\\u00C0-\\u00DE]")
+    runs = runs.withColumn("run", F.when(capital, F.translate("run", UPPER, LOWER)).otherwise(F.lower("run")))
     runs = runs.withColumn("h", F.crc32(F.concat("head", "run").cast("binary")))
     cut = F.expr("h % char_length(run)").cast("int")
     lost = F.concat(F.substring(F.col("run"), F.lit(1), cut), F.substring(F.col("run"), cut + 2, F.char_length("run")))
@@ -59,18 +60,24 @@ def _paths(words: DataFrame) -> DataFrame:
     both = both.withColumn("blocks", F.when(F.col("long"), blocks).otherwise(F.array("path")))
     chain = F.expr("aggregate(blocks, array(''), (a, b) -> concat(a, array(concat('#', sha2(concat(element_at(a, -1), b), 256)))))")
     both = both.withColumn("before", F.when(F.col("long"), chain).otherwise(F.array(F.lit(""))))
-    # Position k has passed k characters; after the last one there is no next (0).
-    steps = both.select("*", F.explode(F.sequence(F.lit(0), F.char_length("path"))).alias("depth"))
+    # Position k has passed k characters; after the last one there is no next (0). A word has no nodes above the one where
+    # a word shorter by one starts, as only words of its own length and of one more or less can meet it.
+    both = both.withColumns({"at": _start(F.char_length("path")), "top": _start(F.char_length("path") - 1)})
+    steps = both.select("*", F.explode(F.sequence(F.greatest("top", F.lit(0)), F.char_length("path"))).alias("depth"))
     block = F.expr(f"greatest(depth - 1, 0) div {NAMED}").cast("int")
     passed = F.substring(F.get("blocks", block), F.lit(1), F.col("depth") - block * NAMED)
     after = F.substring(F.get("blocks", F.expr(f"depth div {NAMED}").cast("int")), F.col("depth") % NAMED + 1, F.lit(1))
-    steps = steps.select("way", "word", "depth", F.concat("way", F.get("before", block), passed).alias("node"), F.coalesce(F.ascii(after), F.lit(0)).alias("next"))
-    ends = steps.groupBy("node").agg(F.min("next").alias("low"), F.max("next").alias("high"))
-    nodes = ends.where("low <> high OR high = 0 OR char_length(node) = 1").select("node")
-    size = F.char_length("word")
-    half = F.when(F.col("way") == ">", F.expr("char_length(word) div 2")).otherwise(size - F.expr("char_length(word) div 2"))
+    steps = steps.select("way", "word", "depth", F.concat("way", F.get("before", block), passed).alias("node"), F.coalesce(F.ascii(after), F.lit(0)).alias("next"), (F.col("depth") == F.col("at")).alias("starts"))
+    ends = steps.groupBy("node").agg(F.min("next").alias("low"), F.max("next").alias("high"), F.max("starts").alias("starts"))
+    nodes = ends.where("low <> high OR high = 0 OR starts").select("node")
     stop = F.struct("depth", "node")
-    return steps.join(nodes, "node", "left_semi").groupBy("way", "word").agg(F.sort_array(F.collect_list(stop)).alias("stops"), F.max(F.when(F.col("depth") <= half, stop)).alias("start"))
+    return steps.join(nodes, "node", "left_semi").groupBy("way", "word").agg(F.sort_array(F.collect_list(stop)).alias("stops"), F.max(F.when(F.col("starts"), stop)).alias("start"))
+
+
+def _start(size: Column) -> Column:
+    """Characters before the node where a word of this size starts: the half that is exact if the edit lies in the other one."""
+    shorter = F.floor(size / 2).cast("int")
+    return F.when(F.col("way") == ">", shorter).otherwise(size - shorter)
 
 
 def _path() -> Column:
