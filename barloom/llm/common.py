@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,19 +50,56 @@ def small(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.Rec
             yield batch.slice(at, rows)
 
 
+#: Vertices that a task of ``stars`` holds, and edges that one task of its second pass reads.
+VERTICES, EDGES = 250_000, 2_000_000
+
+
+def stars(edges: DataFrame) -> DataFrame:
+    """Edges (a, b), b < a, that connect what the given ones of a task connect: every vertex with its component's smallest.
+
+    A task holds at most ``VERTICES`` vertices; beyond, what it knows is sent on and it begins anew. Nothing is lost by that.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict[int, int] = {}
+
+        def root(v: int) -> int:
+            top = v
+            while (up := parent.get(top, top)) != top:
+                top = up
+            while v != top:
+                parent[v], v = top, parent.get(v, top)
+            return top
+
+        def known() -> pa.RecordBatch:
+            found = [(v, root(v)) for v in list(parent)]
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+        for batch in batches:
+            pairs = np.unique(np.stack([c.to_numpy() for c in batch.columns], axis=1), axis=0)
+            for a, b in pairs.tolist():
+                a, b = root(a), root(b)
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+            if len(parent) > VERTICES:
+                yield known()
+                parent.clear()
+        yield known()
+
+    return edges.mapInArrow(run, "a long, b long")
+
+
 def components(edges: DataFrame, name: str, rounds: int = 60) -> DataFrame:
     """Connected components of undirected edges (a, b): rows (id, label), label the smallest id of the component.
 
-    Alternates the two star operations of large-star / small-star contraction: every edge list is written
-    before the next round, and a round ends in stars when nothing moves. Per-vertex minima are plain aggregates and
+    Tasks first reduce their edges to stars. Then the two star operations of large-star / small-star contraction alternate: every
+    edge list is written before the next round, and a round ends in stars when nothing moves. Per-vertex minima are plain aggregates and
     the rows are joined back, so that a vertex with very many neighbours is never gathered. Null ends are ignored.
     """
-    cur = written(
-        edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
-        .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        .distinct(),
-        name,
-    )
+    plain = edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.col("a").cast("long"), F.col("b").cast("long"))
+    cur = written(stars(plain), name)
+    # Once more over all tasks' stars, in as few tasks as their number allows.
+    cur = written(stars(cur.coalesce(cur.count() // EDGES + 1)).distinct(), name)
     before = None
     for _ in range(rounds):
         # Large star: neighbours above v move to the smallest of v and its neighbours.

@@ -13,8 +13,12 @@ A text's set holds its distinct k-word shingles as 64-bit hashes. Hashing shingl
 Blocks beyond ``TILE`` shingles are cut into tiles, and pairs of tiles whose size classes can link are joined in tasks of
 their own; no pair is left out. Equal sets are one node throughout. The result per row is the component's smallest id.
 
+Signatures are combined before they are shuffled: of rows of a task with equal ones one goes on, and the others' keys are tied to its
+key, so that a content which very many sets share does not meet in one window.
+
 Defined results: texts that are null or without words have an empty set and stay alone; rows with the same id are one
-document where ids are compared, each with its own set; extra columns are ignored.
+document where ids are compared, each with its own set and its own component; null is an id like others, but the smallest of a
+component only where it has no other; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,8 +37,8 @@ from barloom.llm.words import Words, mix, slices
 #: Shingles in one tile of a block (8 bytes each in a task).
 TILE = 2_000_000
 LEAF, FANOUT = 32, 16
-#: Set keys a task remembers, to emit the groups of copies once (a matter of traffic only).
-SEEN = 200_000
+#: Set keys a task remembers, to emit the groups of copies once, and signatures it combines at a time (matters of traffic only).
+SEEN, COMBINED = 200_000, 1_000_000
 
 
 class Rule:
@@ -185,45 +189,74 @@ def _tile_links(keys: np.ndarray, sets: list[np.ndarray], side: np.ndarray, rule
     return out
 
 
-def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int = 4, percent: int = 85) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id (the smallest id reachable by links)."""
-    rule = Rule(k, percent)
-    kind = docs.schema[doc_id].dataType
-    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+def _combined(sig: np.ndarray, key: np.ndarray) -> pa.RecordBatch:
+    """One row of each signature; every other key that has it is tied to this row's key by two rows under a signature of their own."""
+    order = np.argsort(sig)
+    sig, key = sig[order], key[order]
+    first = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
+    low = np.minimum.reduceat(key, first)
+    lows = np.repeat(low, np.diff(np.append(first, len(sig))))
+    other = key != lows
+    ties = np.unique(np.stack([lows[other], key[other]], axis=1), axis=0)
+    tie = mix(mix(ties[:, 0].astype(np.uint64)) ^ ties[:, 1].astype(np.uint64)).astype(np.int64)
+    sig, key = np.concatenate([sig[first], tie, tie]), np.concatenate([low, ties[:, 0], ties[:, 1]])
+    return pa.RecordBatch.from_arrays([pa.array(sig), pa.array(key)], ["sig", "key"])
+
+
+def keyed(docs: DataFrame, text: str = "text", k: int = 4) -> DataFrame:
+    """``docs`` with n, the size of the text's set, and key, its hash (0 for the empty set), which no own column may be called."""
+    names = docs.columns
 
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, key = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
-            for at, sets in _sets(batch.column(1), k):
+            for at, sets in _sets(batch.column(names.index(text)), k):
                 for r, s in enumerate(sets, at):
                     n[r], key[r] = len(s), _key(s) if len(s) else 0
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(key)], ["doc_id", "n", "key"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n), pa.array(key)], [*names, "n", "key"])
+
+    return docs.mapInArrow(run, docs.selectExpr("*", "0L AS n", "0L AS key").schema)
+
+
+def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int = 4, percent: int = 85) -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id (the smallest id reachable by links)."""
+    return join_sets(docs, text, doc_id, k, percent).drop("key")
+
+
+def join_sets(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int = 4, percent: int = 85) -> DataFrame:
+    """The rows of ``join`` with key, which tells the sets of a repeated id apart (see ``keyed``)."""
+    rule = Rule(k, percent)
+    kind = docs.schema[doc_id].dataType
+    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         local = _remember(Rule(k, percent))
+        sig: list[np.ndarray] = []
+        key: list[np.ndarray] = []
+        size = 0
         for batch in batches:
             for _, sets in _sets(batch.column(0), k):
-                sig, key = [], []
                 for s in sets:
                     if len(s) and (own := _key(s)) not in seen:
                         if len(seen) >= SEEN:
                             seen.clear()
                         seen.add(own)
-                        sig.append(_signatures(s, local))
+                        sig.append(_signatures(s, local).astype(np.int64))
                         key.append(np.full(len(sig[-1]), own, np.int64))
-                if sig:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(sig).astype(np.int64)), pa.array(np.concatenate(key))], ["sig", "key"]
-                    )
-
-    nodes = written(docs.mapInArrow(keyed, docs.select("doc_id").selectExpr("*", "0L AS n", "0L AS key").schema), "join-nodes")
+                        size += len(sig[-1])
+                        if size >= COMBINED:
+                            yield _combined(np.concatenate(sig), np.concatenate(key))
+                            sig, key, size = [], [], 0
+        if size:
+            yield _combined(np.concatenate(sig), np.concatenate(key))
+
+    nodes = written(keyed(docs, "text", k).drop("text"), "join-nodes")
     shared = (
         docs.select("text")
         .mapInArrow(signed, "sig long, key long")
         .select("key", F.min("key").over(Window.partitionBy("sig")).alias("low"))
         .where("key <> low")
-        .distinct()
     )
     blocks = components(shared.select(F.col("key").alias("a"), F.col("low").alias("b")), "join-blocks")
     links = _links(docs, nodes, written(blocks, "join-block"), rule)
@@ -234,6 +267,7 @@ def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int = 4
         F.col("doc_id").cast(kind).alias("doc_id"),
         F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"),
+        "key",
     )
 
 
@@ -257,16 +291,26 @@ def _links(docs: DataFrame, nodes: DataFrame, blocks: DataFrame, rule: Rule) ->
     one = nodes.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"))
     member = written(one.join(blocks.select(F.col("id").alias("key"), F.col("label").alias("block")), "key"), "join-member")
 
+    # Ids that stand for several sets, and null, can't tell which text is meant: those texts are looked up by their sets' keys.
+    unclear = written(member.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").select("doc_id"), "join-unclear")
+
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, found in _sets(batch.column(0), k):
                 part = batch.slice(at, len(found))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([s.tobytes() for s in found], pa.binary()), *part.columns[1:]], ["shingles", "key", "block", "at"]
-                )
+                own = np.array([_key(s) if len(s) else 0 for s in found], np.int64) == part.column(1).to_numpy()
+                part = part.append_column("shingles", pa.array([s.tobytes() for s in found], pa.binary())).filter(pa.array(own))
+                yield part.select(["shingles", "key", "block", "at"])
 
     def with_sets(placed: DataFrame) -> DataFrame:
         texts = docs.join(placed.select("doc_id", "key", "block", "at"), "doc_id").select("text", "key", "block", "at")
+        if not unclear.isEmpty():
+            same = F.col("u.doc_id").eqNullSafe(F.col("d.doc_id"))
+            texts = docs.alias("d").join(unclear.alias("u"), same, "left_anti").join(placed, "doc_id").select("text", "key", "block", "at")
+            meant = keyed(docs.alias("d").join(unclear.alias("u"), same, "left_semi").select("text"), "text", k)
+            meant = meant.groupBy("key").agg(F.first("text").alias("text"))
+            theirs = placed.alias("d").join(unclear.alias("u"), same, "left_semi").select("key", "block", "at")
+            texts = texts.unionAll(meant.join(theirs, "key").select("text", "key", "block", "at"))
         return texts.mapInArrow(sets, texts.selectExpr("cast('' as binary) AS shingles", "key", "block", "at").schema)
 
     return tiled_links(member, with_sets, rule)
@@ -315,7 +359,7 @@ def tiled_links(member: DataFrame, with_sets: Callable[[DataFrame], DataFrame],
 
     def tile(table: pa.Table) -> pa.Table:
         keys = table["key"].to_numpy()
-        _, first = np.unique(keys, return_index=True)  # ids that repeat bring a text twice
+        _, first = np.unique(keys, return_index=True)  # rows that repeat bring a set twice
         sets = [np.frombuffer(x.as_py(), np.uint64) for x in table["shingles"].take(first)]
         found = _tile_links(keys[first], sets, table["side"].to_numpy()[first], rule)
         return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([x for _, x in found], pa.int64())})

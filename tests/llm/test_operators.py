@@ -191,6 +191,16 @@ def test_passages_are_found_inside_other_texts(spark):
     assert passages.repeats(empty(df)).count() == 0
 
 
+def test_passages_of_a_repeated_id_are_cut_from_the_right_text(spark):
+    rng = random.Random(35)
+    a, b = prose(rng, 50).capitalize(), prose(rng, 50).capitalize()
+    near = lambda x: x.replace(x.split()[25], "zzzz")
+    rows = [(1, f"{a} {prose(rng, 30)}"), (1, f"{b} {prose(rng, 30)}"), (2, f"{near(a)} {prose(rng, 30)}"), (3, f"{near(b)} {prose(rng, 30)}"), (4, prose(rng, 90))]
+    for order in (rows, rows[::-1]):
+        found = passages.repeats(spark.createDataFrame(order, "doc_id long, text string")).collect()
+        assert {r["doc_id"] for r in found if not r["kept"]} == {2, 3}
+
+
 def test_passages_of_short_sentences_are_found(spark):
     rng = random.Random(31)
     short = lambda n: " ".join("".join(rng.choices("ABCDEFGH", k=6)) + rng.choice(["!!", ".!!", "!!", "?"]) for _ in range(n))
@@ -342,6 +352,43 @@ def test_join_equals_brute_force(spark, docs, monkeypatch):
     assert jaccard_join.join(df.unionAll(df)).distinct().count() == len(rows)
 
 
+def test_join_tells_the_texts_of_a_repeated_id_apart(spark):
+    rng = random.Random(71)
+    text = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(60))
+    a, b, c, d = text(), text(), text(), text()
+    rows = [(1, b), (1, a), (2, f"{b} more"), (3, f"{a} more"), (None, c), (None, f"{c} more"), (None, d), (7, f"{d} more"), (None, None), (8, text())]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "doc_id long, text string").repartition(3)
+        got = collections.Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.join(df).collect())
+        assert got == {(1, 57, 1): 2, (2, 58, 1): 1, (3, 58, 1): 1, (None, 57, None): 1, (None, 58, None): 1, (None, 57, 7): 1, (7, 58, 7): 1, (None, 0, None): 1, (8, 57, 8): 1}
+
+
+def test_combined_signatures_keep_keys_connected():
+    rng = np.random.default_rng(5)
+    sig, key = rng.integers(0, 300, 4000), rng.integers(0, 900, 4000)
+    out = jaccard_join._combined(sig, key)
+
+    def parts(sig, key):
+        parent = {}
+
+        def root(x):
+            while parent.setdefault(x, x) != x:
+                x = parent[x]
+            return x
+
+        for s, k in zip(sig.tolist(), key.tolist(), strict=True):
+            x, y = root(("s", s)), root(("k", k))
+            parent[x] = y
+        groups = collections.defaultdict(set)
+        for k in set(key.tolist()):
+            groups[root(("k", k))].add(k)
+        return sorted(map(sorted, groups.values()))
+
+    few = rng.integers(0, 4000, 300)  # few enough signatures that there are many parts
+    assert parts(sig[few], key[few]) == parts(*(c.to_numpy() for c in jaccard_join._combined(sig[few], key[few]).columns))
+    assert len(np.unique(out.column(0).to_numpy()[:300])) == len(np.unique(sig))
+
+
 # ── 8 toxicity ──────────────────────────────────────────────────────────────
 
 

@@ -52,6 +52,43 @@ def test_near_copies_go_by_five_words_and_80_percent(spark, sf):
     assert {r["doc_id"] for r in kept.collect()} == set(sets) - gone
 
 
+def test_stages_carry_columns_whatever_their_names(spark, sf):
+    rng = random.Random(13)
+    text = lambda: " ".join(rng.choices(["ka", "lo", "mi", "ra", "te", "zu"], k=40))
+    names = ["score", "lang_pred", "leaks", "pii_base", "pii_spans", "_base_email", "_wide_ip", "decoded", "token_ids", "n", "key", "carried", "a.b"]
+    texts = [text(), f"{text()} jo@mail.example.com", "", None, "12 34"]
+    rows = [(i, x, "en", *[f"{c}{i}" for c in names]) for i, x in enumerate(texts)]
+    cell = lambda c: f"`{c}` string"
+    docs = spark.createDataFrame(rows, f"doc_id long, text string, lang string, {', '.join(map(cell, names))}")
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, sf)
+        own = [f"{c}_source" if name == "bpe" and c in corpus_pipeline.NEW else c for c in names]
+        assert docs.columns == ["doc_id", "text", "lang", *own, *(corpus_pipeline.NEW if name == "bpe" else [])]
+        docs = docs.cache()
+        got = docs.collect()
+        assert [r["doc_id"] for r in sorted(got)] == [0, 1]
+        assert all(r[c] == f"{d}{r['doc_id']}" for r in got for c, d in zip(own, names, strict=True))
+
+
+def test_stages_take_empty_tables_and_nulls(spark, sf):
+    schema = "doc_id long, text string, lang string, source string, n_chars int"
+    for rows in ([], [(1, None, None, None, None), (None, "some words here", None, None, None), (None, None, None, None, None)]):
+        docs = spark.createDataFrame(rows, schema)
+        for _, stage in corpus_pipeline.STAGES:
+            docs = stage(spark, docs, sf).cache()
+            docs.count()
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "token_ids", "decoded"]
+
+
+def test_rows_of_a_repeated_id_go_by_their_own_text(spark, sf):
+    rng = random.Random(14)
+    text = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(60))
+    a, b, c = text(), text(), text()
+    rows = [(1, a), (2, f"{a} x"), (2, b), (3, f"{b} y"), (3, c), (None, f"{c} z"), (None, text())]
+    kept = corpus_pipeline.one_of_each(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf).collect()
+    assert sorted(map(tuple, kept), key=str) == sorted([rows[0], rows[2], rows[4], rows[6]], key=str)
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_its_counterpart(spark, sf, name):
     con = duckdb.connect()
