@@ -89,9 +89,7 @@ class Paragraphs:
             every = np.unique(np.stack([np.append(self.begin, begin), np.append(self.stop, begin + LEAST)], axis=1), axis=0)
             self.begin, self.stop = every[:, 0], every[:, 1]
         self.row = w.row[self.begin]
-        up, down = powers(n + 1)
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(w.hash * up[:n])])
-        self.node = mix((sums[self.stop] - sums[self.begin]) * down[self.begin] + (self.stop - self.begin).astype(np.uint64)).astype(np.int64)
+        self.node = _contents(w.hash, self.begin, self.stop)
 
     def _apart(self, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
         """Beginnings of the long sentences, and of the short ones that are least among those within FIRST words."""
@@ -136,6 +134,13 @@ class Paragraphs:
         return out
 
 
+def _contents(h: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Hashes of the words from begin to before stop, wherever these lie."""
+    up, down = powers(len(h) + 1)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * up[: len(h)])])
+    return mix((sums[stop] - sums[begin]) * down[begin] + (stop - begin).astype(np.uint64)).astype(np.int64)
+
+
 def _shingles(h: np.ndarray) -> np.ndarray:
     rolled = np.zeros(max(0, len(h) - SHINGLE + 1), np.uint64)
     for k in range(SHINGLE):
@@ -173,8 +178,6 @@ def repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent
         docs.mapInArrow(keyed, "band long, node long, doc_id long")
         .select("node", *[f(c).over(band).alias(name) for f, c, name in ((F.min, "node", "low"), (F.min, "doc_id", "from"), (F.max, "doc_id", "to"))])
         .where("node <> low AND from < to")
-        .select("node", "low")
-        .distinct()
     )
     blocks = written(components(shared.select(F.col("node").alias("a"), F.col("low").alias("b")), "passage-blocks"), "passage-block")
     # Paragraphs that occur in more than one document, or share a block with another; the rest has nothing near it.
@@ -192,8 +195,9 @@ def repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent
             for at, data, offs in slices(batch.column(0)):
                 w = Words(data, offs)
                 out = [np.unique(_shingles(w.hash[a:b])).tobytes() for a, b in zip(w.first[:-1], w.first[1:], strict=True)]
-                part = batch.slice(at, len(out))
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), *part.columns[1:]], ["shingles", "key", "block", "at"])
+                part = batch.slice(at, len(out)).append_column("shingles", pa.array(out, pa.binary()))
+                own = _contents(w.hash, w.first[:-1], w.first[1:]) == part.column(1).to_numpy()  # of texts with one id, the right one
+                yield part.filter(pa.array(own)).select(["shingles", "key", "block", "at"])
 
     def with_sets(placed: DataFrame) -> DataFrame:
         rows = docs.join(placed.select("doc_id", "start", "end", "key", "block", "at"), "doc_id")
