@@ -2,10 +2,13 @@
 
 A text's set holds its distinct k-word shingles as 64-bit hashes. Hashing shingles into groups gives two things:
 
-* *Blocks.* Sets with D differing shingles agree on all but D of any K groups, so with K > D (and a margin for groups
-  that are empty) two linked sets share the content of a group that is not empty. Equal contents are found by one shuffle;
-  the connected components of "shares a group" are blocks, and no link leaves a block. K depends on a size class;
-  a set takes part in its own class and the one below, since linked sets are in equal or neighbouring classes.
+* *Blocks.* Linked sets with at most D differing shingles share the content of a group wherever no differing shingle falls into it.
+  Small sets have more groups than D (and a margin for empty ones), so that one always does. Sets of ``STRONG`` shingles or
+  more have fewer and larger groups, which unrelated sets with a common passage rarely share, from as many independent hash functions
+  as give ``GROUPS`` groups: linked sets share none of these with a probability below ``MISS`` (of the order of hash
+  collisions). Equal contents are found by one shuffle; the connected components of "shares a group" are blocks, and no link leaves
+  a block. The numbers depend on a size class; a set takes part in its own class and the one below, since linked sets are in equal or
+  neighbouring classes.
 * *Points.* Inside a block the counts by group are points of an R-tree. The overlap of two sets is at most the sum of the
   coordinate minima, of a set and a node at most that with the node's upper corner. Pairs that survive are verified
   on the shingles. Pairs that verified links already connect need no check, so a group of copies costs few.
@@ -23,6 +26,7 @@ component only where it has no other; extra columns are ignored.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -39,6 +43,8 @@ TILE = 2_000_000
 LEAF, FANOUT = 32, 16
 #: Set keys a task remembers, to emit the groups of copies once, and signatures it combines at a time (matters of traffic only).
 SEEN, COMBINED = 200_000, 1_000_000
+#: Least size of sets with larger groups, groups of such a set, and the bound on the probability that linked sets share none.
+STRONG, GROUPS, MISS = 64, 96, 1e-9
 
 
 class Rule:
@@ -61,12 +67,28 @@ class Rule:
     def size_class(self, n):
         return np.searchsorted(self.bounds, n, "right") - 1
 
+    def differing(self, c: int) -> int:
+        """A bound on the differing shingles of linked sets of which the smaller is in class c."""
+        most = self.bounds[c + 1] - 1
+        total = most + most * 100 // self.percent
+        return max(total - 2 * int(self.needed(total)), 0) + 1  # one more, as smaller totals round differently
+
+    def groups(self, c: int) -> int:
+        """Least number of groups of a hash function with which ``GROUPS`` of them keep ``MISS``, for large sets.
+
+        A group is shared where none of the differing shingles falls into it and one of the common does; whether groups are hit is
+        negatively associated, so that all fail with at most the product of their probabilities.
+        """
+        differ, common = self.differing(c), -(-self.bounds[c] * self.percent // 100)
+        enough, k = 1 - MISS ** (1 / GROUPS), 2
+        while (1 - 1 / k) ** differ * (1 - (1 - 1 / k) ** common) < enough:
+            k += max(1, k // 64)
+        return k
+
     def scheme(self, c: int) -> tuple[int, int, int]:
         """Groups, margin of empty groups, and the largest set, for pairs whose smaller set is in class c."""
         most = self.bounds[c + 1] - 1
-        total = most + most * 100 // self.percent
-        differing = total - 2 * int(self.needed(total))
-        differing = max(differing, 0) + 1  # one more, as smaller totals round differently
+        differing = self.differing(c)
         margin = 2
         for _ in range(8):
             k = differing + 1 + margin
@@ -92,12 +114,23 @@ def _signatures(s: np.ndarray, rule: Rule) -> np.ndarray:
     own = int(rule.size_class(n))
     spread = mix(s)
     high = (s >> np.uint64(32)).astype(np.uint64)
+    hashed: list[np.ndarray] = []
     for c in (own, own - 1):
         if c < 0:
             continue
         k, margin, largest = rule.scheme(c)
         if n > largest:
             continue
+        if rule.bounds[c] >= STRONG:
+            k = rule.groups(c)
+            for t in range(-(-GROUPS // k)):
+                if t == len(hashed):
+                    hashed.append(np.sort(mix(s ^ mix(np.array([t + 7], np.uint64)))))
+                group = ((hashed[t] >> np.uint64(32)) * np.uint64(k)) >> np.uint64(32)
+                first = np.flatnonzero(np.diff(group, prepend=np.uint64(k)))
+                content = mix(np.add.reduceat(hashed[t], first)) + mix(group[first] * np.uint64(4096) + np.uint64(c * 4 + 3) + np.uint64(t << 50))
+                out.append(mix(content[group[first] < GROUPS - t * k]))
+            continue
         group = (high * np.uint64(k)) >> np.uint64(32)  # in order, as the hashes are
         first = np.flatnonzero(np.diff(group, prepend=np.uint64(k)))
         tag = np.uint64(c * 4 + 1)
@@ -273,15 +306,7 @@ def join_sets(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k: in
 
 def _remember(rule: Rule) -> Rule:
     """The same rule with its schemes computed once."""
-    known: dict[int, tuple[int, int, int]] = {}
-    plain = rule.scheme
-
-    def scheme(c: int) -> tuple[int, int, int]:
-        if c not in known:
-            known[c] = plain(c)
-        return known[c]
-
-    rule.scheme = scheme
+    rule.scheme, rule.groups = functools.cache(rule.scheme), functools.cache(rule.groups)
     return rule
 
 

@@ -363,6 +363,23 @@ def test_join_tells_the_texts_of_a_repeated_id_apart(spark):
         assert got == {(1, 57, 1): 2, (2, 58, 1): 1, (3, 58, 1): 1, (None, 57, None): 1, (None, 58, None): 1, (None, 57, 7): 1, (7, 58, 7): 1, (None, 0, None): 1, (8, 57, 8): 1}
 
 
+@pytest.mark.parametrize(("percent", "k"), [(80, 5), (85, 4)])
+def test_linked_sets_share_a_signature_at_every_size(percent, k):
+    rng, rule = np.random.default_rng(percent), jaccard_join._remember(jaccard_join.Rule(k, percent))
+    for union in [*range(1, 300), *rng.integers(300, 4000, 150).tolist()]:
+        x = np.unique(rng.integers(0, 2**64, union, dtype=np.uint64))
+        rng.shuffle(x)
+        shared = -(-len(x) * percent // 100)  # no pair that links has fewer in common
+        own = int(rng.integers(0, len(x) - shared + 1))
+        a, b = np.sort(x[: shared + own]), np.sort(np.concatenate([x[:shared], x[shared + own :]]))
+        assert rule.linked(shared, len(a), len(b))
+        assert len(np.intersect1d(jaccard_join._signatures(a, rule), jaccard_join._signatures(b, rule)))
+        c = int(rule.size_class(min(len(a), len(b))))
+        if rule.bounds[c] >= jaccard_join.STRONG:  # the stated bound, at the class's worst
+            n, common = rule.groups(c), -(-rule.bounds[c] * percent // 100)
+            assert (1 - (1 - 1 / n) ** rule.differing(c) * (1 - (1 - 1 / n) ** common)) ** jaccard_join.GROUPS <= jaccard_join.MISS
+
+
 def test_combined_signatures_keep_keys_connected():
     rng = np.random.default_rng(5)
     sig, key = rng.integers(0, 300, 4000), rng.integers(0, 900, 4000)
