@@ -14,8 +14,9 @@ costs no bands: 80 % alike, they share 19 words in a row anyway.
 A paragraph's set holds its five-word
 shingles; paragraphs and windows in which fewer than ``DISTINCT`` differ from the one before (repeated words) are no passages.
 
-Bands and rows are tuned: of all settings that reach ``RECALL`` at the threshold, the one with the fewest band keys. Paragraphs
-that collide in a band with one of another document are connected; inside such a block pairs are verified by exact Jaccard (in tiles, with count
+Banding goes in two steps, which together reach ``RECALL`` at the threshold (see ``tune``). All paragraphs have a few keys of one hash function each;
+those that share none with another document have nothing near them. The others, few, have keys of ``ROWS`` hash functions, which unrelated
+paragraphs hardly share. Paragraphs that collide in these are joined into blocks, inside which pairs are verified by exact Jaccard (in tiles, with count
 vectors to skip pairs and links already connected to skip checks), and components of verified links are clusters. Equal paragraphs
 are one node, whose occurrences are told apart only at the end. In a cluster that spans documents the occurrence with the
 smallest (doc_id, start) is kept, all others are removals; overlapping occurrences in a document are joined to spans.
@@ -40,19 +41,32 @@ from barloom.llm.words import Words, mix, powers, slices
 
 LEAST, FIRST, DISTINCT, SHINGLE = 20, 4, 10, 5
 EVERY, SPAN = 5, 31
-PERCENT, RECALL = 80, 0.95
+PERCENT, RECALL, ROWS = 80, 0.99, 5
 _ENDS = np.zeros(256, bool)
 _ENDS[[ord(c) for c in ".!?"]] = True
 
 
-def tune(percent: int, recall: float, most: int = 128) -> tuple[int, int]:
-    """(bands, rows per band) with the fewest bands that find pairs at the threshold with this probability; of those the most rows."""
-    j, best = percent / 100, None
-    for rows in range(1, 9):
-        bands = int(np.ceil(np.log(1 - recall) / np.log(1 - j**rows)))
-        if bands <= most and (best is None or bands < best[0]):
-            best = (bands, rows)
-    return best
+def tune(percent: int, recall: float, rows: int = ROWS) -> tuple[int, int]:
+    """(keys of one hash function, keys of ``rows``): the fewest with which both steps together find pairs at the threshold so surely."""
+    j = percent / 100
+    first = int(np.ceil(np.log(1 - recall) / np.log(1 - j)))
+    if (1 - (1 - j) ** first) <= recall:
+        first += 1
+    rest = recall / (1 - (1 - j) ** first)
+    return first, int(np.ceil(np.log(1 - rest) / np.log(1 - j**rows)))
+
+
+def signatures(shingle: np.ndarray, span: np.ndarray, bands: int, rows: int, salt: int = 0) -> np.ndarray:
+    """Band keys of the sets ``shingle[span[2 i] : span[2 i + 1]]``: of each hash function the least value."""
+    out = np.zeros((len(span) // 2, bands), np.uint64)
+    if not len(span):
+        return out
+    for b in range(bands):
+        for r in range(rows):
+            seed = np.uint64(0x9E3779B97F4A7C15 * (salt + b * rows + r + 1) & (2**64 - 1))
+            value = np.append(mix(shingle ^ seed), np.uint64(2**64 - 1))
+            out[:, b] = mix(out[:, b] * np.uint64(31) + np.minimum.reduceat(value, span)[::2] + np.uint64(b))
+    return out
 
 
 class Paragraphs:
@@ -120,18 +134,9 @@ class Paragraphs:
                 found.append(at + value[at[:, None] + np.arange(SPAN)].argmin(axis=1))
         return np.unique(np.concatenate(found))
 
-    def bands(self, bands: int, rows: int) -> np.ndarray:
-        """Band keys, paragraphs by bands: of each hash function the least value over a paragraph's shingles."""
-        out = np.zeros((len(self.begin), bands), np.uint64)
-        if not len(self.begin):
-            return out
-        span = np.stack([self.begin, self.stop - SHINGLE + 1], axis=1).ravel()
-        for b in range(bands):
-            for r in range(rows):
-                seed = np.uint64(0x9E3779B97F4A7C15 * (b * rows + r + 1) & (2**64 - 1))
-                value = np.append(mix(self.shingle ^ seed), np.uint64(2**64 - 1))
-                out[:, b] = mix(out[:, b] * np.uint64(31) + np.minimum.reduceat(value, span)[::2] + np.uint64(b))
-        return out
+    def bands(self, bands: int) -> np.ndarray:
+        """Keys of one hash function, paragraphs by bands."""
+        return signatures(self.shingle, np.stack([self.begin, self.stop - SHINGLE + 1], axis=1).ravel(), bands, 1)
 
 
 def _contents(h: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> np.ndarray:
@@ -151,16 +156,15 @@ def _shingles(h: np.ndarray) -> np.ndarray:
 def repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = PERCENT, recall: float = RECALL) -> DataFrame:
     """Repeated passages: (doc_id, start, end, n_words, cluster, first_doc, kept); start and end are code points, end exclusive."""
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id IS NOT NULL")
-    bands, band_rows = tune(percent, recall)
+    first, second = tune(percent, recall)
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for at, data, offs in slices(batch.column(1)):
                 p = Paragraphs(data, offs)
-                keys = p.bands(bands, band_rows).astype(np.int64).ravel()
-                columns = [keys, np.repeat(p.node, bands), np.repeat(ids[at + p.row], bands)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["band", "node", "doc_id"])
+                keys = p.bands(first).astype(np.int64).ravel()
+                yield _combined(keys, np.repeat(p.node, first), np.repeat(ids[at + p.row], first))
 
     def occurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -173,38 +177,49 @@ def repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent
                 columns = [p.node, ids[at + p.row], start.astype(np.int32), end.astype(np.int32), (p.stop - p.begin).astype(np.int32)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["node", "doc_id", "start", "end", "words"])
 
-    band = Window.partitionBy("band")
-    shared = (
-        docs.mapInArrow(keyed, "band long, node long, doc_id long")
-        .select("node", *[f(c).over(band).alias(name) for f, c, name in ((F.min, "node", "low"), (F.min, "doc_id", "from"), (F.max, "doc_id", "to"))])
-        .where("node <> low AND from < to")
-    )
-    blocks = written(components(shared.select(F.col("node").alias("a"), F.col("low").alias("b")), "passage-blocks"), "passage-block")
-    # Paragraphs that occur in more than one document, or share a block with another; the rest has nothing near it.
+    near = written(_colliding(docs.mapInArrow(keyed, "band long, node long, from long, to long")).select("node").distinct(), "passage-near")
+    # Paragraphs that occur in more than one document, or may have another's near them.
     every = docs.mapInArrow(occurring, "node long, doc_id long, start int, end int, words int")
     every = every.withColumns({"low": F.min("doc_id").over(Window.partitionBy("node")), "high": F.max("doc_id").over(Window.partitionBy("node"))})
-    blocked = every.join(blocks.select(F.col("id").alias("node"), F.col("label").alias("block")), "node", "left")
-    occurs = written(blocked.where("block IS NOT NULL OR low < high"), "passage-occurs")
+    some = every.join(near.withColumn("near", F.lit(True)), "node", "left")
+    occurs = written(some.where("near OR low < high"), "passage-occurs")
     rule = Rule(SHINGLE, percent)
     place = F.min(F.struct("doc_id", "start", "end"))
-    member = occurs.where("block IS NOT NULL").groupBy("node", "block").agg(F.min("words").cast("long").alias("n"), place.alias("place"))
-    member = written(member.select(F.col("node").alias("key"), "n", "block", "place.doc_id", "place.start", "place.end"), "passage-member")
+    placed = occurs.where("near").groupBy("node").agg(place.alias("place"), F.max("high").alias("to"))
+    placed = placed.select(F.col("node").alias("key"), "place.doc_id", "place.start", "place.end", "to")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, data, offs in slices(batch.column(0)):
                 w = Words(data, offs)
-                out = [np.unique(_shingles(w.hash[a:b])).tobytes() for a, b in zip(w.first[:-1], w.first[1:], strict=True)]
-                part = batch.slice(at, len(out)).append_column("shingles", pa.array(out, pa.binary()))
+                found = [np.unique(_shingles(w.hash[a:b])) for a, b in zip(w.first[:-1], w.first[1:], strict=True)]
+                part = batch.slice(at, len(found)).append_column("shingles", pa.array([s.tobytes() for s in found], pa.binary()))
+                part = part.append_column("n", pa.array([len(s) for s in found], pa.int64()))
                 own = _contents(w.hash, w.first[:-1], w.first[1:]) == part.column(1).to_numpy()  # of texts with one id, the right one
-                yield part.filter(pa.array(own)).select(["shingles", "key", "block", "at"])
+                yield part.filter(pa.array(own)).select(["key", "from", "to", "n", "shingles"])
 
-    def with_sets(placed: DataFrame) -> DataFrame:
-        rows = docs.join(placed.select("doc_id", "start", "end", "key", "block", "at"), "doc_id")
-        rows = rows.select(F.expr("substring(text, start + 1, end - start)").alias("text"), "key", "block", "at")
-        return rows.mapInArrow(sets, rows.selectExpr("cast('' as binary) AS shingles", "key", "block", "at").schema)
+    texts = docs.join(placed, "doc_id").select(F.expr("substring(text, start + 1, end - start)").alias("text"), "key", F.col("doc_id").alias("from"), "to")
+    held = written(texts.mapInArrow(sets, "key long, from long, to long, n long, shingles binary"), "passage-sets")
 
-    linked = components(tiled_links(member, with_sets, rule, by_size=False), "passage-links").select(F.col("id").alias("node"), "label")
+    def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                key, low, high = (batch.column(i).to_numpy() for i in range(3))
+                end = np.cumsum(batch.column(3).to_numpy())
+                shingle = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint64)
+                span = np.stack([np.append(0, end[:-1]), end], axis=1).ravel()
+                keys = signatures(shingle, span, second, ROWS, salt=first).astype(np.int64).ravel()
+                yield _combined(keys, *(np.repeat(x, second) for x in (key, low, high)))
+
+    shared = _colliding(held.mapInArrow(banded, "band long, node long, from long, to long")).where("node <> low")
+    blocks = components(shared.select(F.col("node").alias("a"), F.col("low").alias("b")), "passage-blocks")
+    blocks = blocks.select(F.col("id").alias("key"), F.col("label").alias("block"))
+    member = written(held.groupBy("key").agg(F.min("n").alias("n")).join(blocks, "key"), "passage-member")
+
+    def with_sets(at: DataFrame) -> DataFrame:
+        return held.select("key", "shingles").join(at.select("key", "block", "at"), "key").select("shingles", "key", "block", "at")
+
+    linked = components(tiled_links(member, with_sets, rule), "passage-links").select(F.col("id").alias("node"), "label")
     told = occurs.join(linked, "node", "left").withColumn("cluster", F.coalesce("label", "node"))
     cluster = told.groupBy("cluster").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max("doc_id").alias("last"))
     told = told.join(cluster.where("first.doc_id < last"), "cluster").select(
@@ -213,6 +228,24 @@ def repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent
     return _spans(told)
 
 
+def _combined(band: np.ndarray, node: np.ndarray, low: np.ndarray, high: np.ndarray | None = None) -> pa.RecordBatch:
+    """One row of each (band, node), with the least and the greatest of its documents."""
+    high = low if high is None else high
+    order = np.lexsort((node, band))
+    band, node = band[order], node[order]
+    at = np.flatnonzero(np.append(True, (band[1:] != band[:-1]) | (node[1:] != node[:-1]))) if len(band) else order
+    columns = [band[at], node[at]]
+    columns += [f.reduceat(x[order], at) if len(at) else x for f, x in ((np.minimum, low), (np.maximum, high))]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["band", "node", "from", "to"])
+
+
+def _colliding(keys: DataFrame) -> DataFrame:
+    """(node, low) of the nodes of bands that several nodes and documents have; low is the band's least node."""
+    band = Window.partitionBy("band")
+    names = (F.min, "node", "low"), (F.max, "node", "high"), (F.min, "from", "begin"), (F.max, "to", "last")
+    return keys.select("node", *[f(c).over(band).alias(name) for f, c, name in names]).where("low < high AND begin < last").select("node", "low")
+
+
 def _spans(rows: DataFrame) -> DataFrame:
     """Joins overlapping paragraphs of a document that are alike kept or not."""
     order = Window.partitionBy("doc_id", "kept").orderBy("start", "end")

@@ -241,9 +241,47 @@ def test_every_shared_run_holds_an_equal_window():
 
 
 def test_bands_reach_the_recall():
-    for percent, recall in ((80, 0.95), (80, 0.999), (60, 0.99)):
-        bands, rows = passages.tune(percent, recall)
-        assert 1 - (1 - (percent / 100) ** rows) ** bands >= recall
+    for percent, recall in ((80, 0.95), (80, 0.99), (80, 0.999), (60, 0.99)):
+        first, second = passages.tune(percent, recall)
+        j = percent / 100
+        assert (1 - (1 - j) ** first) * (1 - (1 - j**passages.ROWS) ** second) >= recall
+
+
+def test_passages_equal_all_pairs_of_paragraphs(spark, docs):
+    """Against a plain join of all paragraphs that share a shingle, over all documents of the smallest table."""
+    rows = [(r["doc_id"], r["text"] or "") for r in docs.select("doc_id", "text").collect()]
+    sets, where = {}, collections.defaultdict(set)
+    for i, text in rows:
+        data = np.frombuffer(text.encode(), np.uint8)
+        for windows in (False, True):
+            p = passages.Paragraphs(data, np.array([0, len(data)]), windows=windows)
+            for node, a, b in zip(p.node.tolist(), p.begin.tolist(), p.stop.tolist(), strict=True):
+                where[node].add(i)
+                if not windows:
+                    sets[node] = set(p.shingle[a : b - passages.SHINGLE + 1].tolist())
+    holders = collections.defaultdict(set)
+    for node, s in sets.items():
+        for x in s:
+            holders[x].add(node)
+    parent = {node: node for node in where}
+
+    def root(x):
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for node, s in sets.items():
+        common = collections.Counter(o for x in s for o in holders[x] if o > node)
+        for o, n in common.items():
+            if 100 * n >= passages.PERCENT * (len(s) + len(sets[o]) - n) and len(where[node] | where[o]) > 1:
+                parent[root(node)] = root(o)
+    spread = collections.defaultdict(set)
+    for node, ids in where.items():
+        spread[root(node)] |= ids
+    want = {i for ids in spread.values() if len(ids) > 1 for i in ids}
+    got = {r["doc_id"] for r in passages.repeats(docs).select("doc_id").distinct().collect()}
+    assert want and got <= want
+    assert len(got) >= passages.RECALL * len(want)
 
 
 # ── 4 M-tree ────────────────────────────────────────────────────────────────
