@@ -85,3 +85,24 @@ def test_incremental_scan_confirms_swings_late(spark, feed):
         for e in own:
             kinds = [*kinds[:-1], e.kind] if e.action == "replace" else [*kinds, e.kind]
         assert all(x != y for x, y in zip(kinds, kinds[1:], strict=False))
+
+
+def test_a_shuffled_feed_gives_what_the_ordered_one_gives(spark, feed, tmp_path):
+    bars, _ = feed
+    mixed = bars.withColumn("_at", F.unix_seconds("ts") + F.pmod(F.xxhash64("symbol", "ts"), F.lit(20)) * 3600)
+    cuts = mixed.selectExpr("percentile(_at, array(0.2, 0.4, 0.6, 0.8))").first()[0]
+    edges = [float("-inf"), *cuts, float("inf")]
+    for a, b in zip(edges, edges[1:], strict=False):
+        part = mixed.where((F.col("_at") > a) & (F.col("_at") <= b)).drop("_at").orderBy(F.rand(3))
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "mixed"))
+    newest = bars.agg(F.max(F.unix_seconds("ts"))).first()[0]
+    settled = bars.where(F.unix_seconds("ts") <= newest - 24 * 3600)
+    settled.coalesce(1).write.parquet(str(tmp_path / "ordered"))
+    rules = spark.sql(
+        "SELECT * FROM VALUES ('a', 101D, CAST(NULL AS STRING), 'x'), ('a', 98D, 'above', 'y'), ('b', 100D, 'below', 'z'), ('b', -5D, 'cross', 'never') AS t(symbol, price, direction, note)"
+    )
+    live = run(spark, stream_alerts(stream(spark, str(tmp_path / "mixed")), rules, "24 hours"), "append", "mixed_alerts").collect()
+    assert sorted(map(repr, live)) == sorted(map(repr, price_alerts(settled, rules).select(*live[0].__fields__).collect()))
+    live = run(spark, incremental_scan(stream(spark, str(tmp_path / "mixed")), "24 hours"), "append", "mixed_scan").collect()
+    once = run(spark, incremental_scan(stream(spark, str(tmp_path / "ordered"))), "append", "ordered_scan").collect()
+    assert sorted(map(tuple, live)) == sorted(map(tuple, once)) and once
