@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import re
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
+from pyspark.sql import DataFrame, SparkSession
+
 from barloom.functions.sql import F, Sql
 from barloom.functions.arrays import Candidates, tail, windows
 from barloom.operators.patterns.hits import hit, point, when_enough
@@ -202,4 +205,95 @@ def template_hits(zz: Sql, atr: Sql, templates: Sequence[Template] = HARMONICS)
     )
     return when_enough(atr > 0, F.transform(in_order, lambda m: m.hit))
 
-__all__ = ["HARMONICS", "Ratio", "Template", "template_hits"]
+#: Columns of a table of templates. Pivots of a window are p0, p1, ... in the formulas, dir is 1 or -1, ratios go by their names.
+TEMPLATE_SCHEMA = (
+    "no int, name string, roles array<string>, bullish_low_at int, "
+    "ratios array<struct<name: string, num: array<int>, den: array<int>, anchors: array<double>, low: double, high: double, tol: double>>, "
+    "confidence string, target string, invalidation string, guard string"
+)
+#: A table of templates becomes expressions of one plan; it may have so many rows.
+MOST_TEMPLATES = 500
+_WORDS = {*"abs least greatest sqrt ln exp pow coalesce and or not case when then else end between is null".split()}
+_TOKEN = re.compile(r"\s*(?:(\d+\.?\d*(?:[eE][+-]?\d+)?)|([A-Za-z_]\w*)|(<=|>=|<>|!=|[-+*/%(),<>=]))")
+
+
+def formula(text: str, values: Mapping[str, Sql]) -> Sql:
+    """SQL for an arithmetic formula over named values; anything but numbers, operators, plain functions and these names is an error."""
+    out, at, text = [], 0, text.strip()
+    while at < len(text):
+        m = _TOKEN.match(text, at)
+        if not m:
+            raise ValueError(f"cannot read {text[at:]!r} in formula {text!r}")
+        number, name, sign = m.groups()
+        if name is not None and name not in values and name.lower() not in _WORDS:
+            raise ValueError(f"unknown name {name!r} in formula {text!r}; known are {', '.join(values)}")
+        out.append(sign or (str(F.lit(float(number))) if number else str(values[name]) if name in values else name))
+        at = m.end()
+    return Sql(f"({' '.join(out)})")
+
+
+def read_templates(table: DataFrame) -> tuple[Template, ...]:
+    """Templates from rows of ``TEMPLATE_SCHEMA``, in the order of no and name; extra columns are ignored.
+
+    A ratio with anchors must lie near one of them, one without inside [low, high]; tol defaults to the usual tolerance. A null
+    guard lets all pass; any other null, a pivot outside the window, a name twice or an unknown name in a formula is an error.
+    """
+    rows = table.select("no", "name", "roles", "bullish_low_at", "ratios", "confidence", "target", "invalidation", "guard")
+    rows = rows.orderBy("no", "name").limit(MOST_TEMPLATES + 1).collect()
+    if len(rows) > MOST_TEMPLATES:
+        raise ValueError(f"more than {MOST_TEMPLATES} templates")
+    if len({r["name"] for r in rows}) < len(rows):
+        raise ValueError("templates need names of their own")
+    return tuple(_template(r.asDict(recursive=True)) for r in rows)
+
+
+def _template(row: dict) -> Template:
+    missing = [k for k, v in row.items() if v is None and k not in ("no", "guard")]
+    if missing:
+        raise ValueError(f"template {row['name']!r} lacks {', '.join(missing)}")
+    k = len(row["roles"])
+    if not re.fullmatch(r"\w+", row["name"]) or not 2 <= k <= MAX_PIVOTS or not 0 <= row["bullish_low_at"] < k:
+        raise ValueError(f"template {row['name']!r}: a name is a word, a window has 2 to {MAX_PIVOTS} pivots")
+    ratios = []
+    for r in row["ratios"]:
+        ends = [*(r["num"] or ()), *(r["den"] or ())]
+        if not re.fullmatch(r"[a-z]\w*", r["name"] or "") or len(r["num"] or ()) != 2 or len(ends) != 4 or not all(0 <= e < k for e in ends):
+            raise ValueError(f"ratio {r['name']!r} of template {row['name']!r} needs a name and two pairs of pivots")
+        if r["name"] in ("w", "dir", "hit") or re.fullmatch(r"p\d+", r["name"]) or r["name"] in _WORDS or r["name"] in {x.name for x in ratios}:
+            raise ValueError(f"ratio {r['name']!r} of template {row['name']!r} has a name that is taken")
+        if not r["anchors"] and (r["low"] is None or r["high"] is None):
+            raise ValueError(f"ratio {r['name']!r} of template {row['name']!r} has neither anchors nor limits")
+        tol = FIB_TOLERANCE if r["tol"] is None else r["tol"]
+        ratios.append(Ratio(r["name"], tuple(r["num"]), tuple(r["den"]), tuple(r["anchors"] or ()), r["low"] or 0.0, r["high"] or 0.0, tol))
+
+    def said(text: str, known: tuple[Ratio, ...] = tuple(ratios)) -> Callable[[Sql], Sql]:
+        bound = lambda x: {**{f"p{i}": x.w[i].price for i in range(k)}, "dir": x.dir, **{r.name: x[r.name] for r in known}}
+        formula(text, bound(Sql("x")))  # errors come when the table is read
+        return lambda x: formula(text, bound(x))
+
+    formulas = [said(row[name]) for name in ("confidence", "target", "invalidation")]
+    return Template(row["name"], tuple(row["roles"]), row["bullish_low_at"], tuple(ratios), *formulas, said(row["guard"]) if row["guard"] else None)
+
+
+def _texts(t: Template) -> tuple:
+    """A shipped template as a row, its formulas spelled over p0, p1, ... and the ratios' names."""
+    k = len(t.roles)
+
+    class Spelled:
+        dir = Sql("dir")
+        w = tuple(type("Pivot", (), {"price": Sql(f"p{i}")}) for i in range(k))
+
+        def __getattr__(self, name: str) -> Sql:
+            return Sql(name)
+
+    plain = lambda f: re.sub(r"(?<=\d)D\b", "", str(f(Spelled()))) if f else None
+    ratios = [(r.name, list(r.num), list(r.den), list(r.anchors), r.low, r.high, r.tol) for r in t.ratios]
+    return t.name, list(t.roles), t.bullish_low_at, ratios, plain(t.confidence), plain(t.target), plain(t.invalidation), plain(t.guard)
+
+
+def template_table(spark: SparkSession, templates: Sequence[Template] = HARMONICS) -> DataFrame:
+    """The shipped templates as a table that users store, edit and extend."""
+    return spark.createDataFrame([(no, *_texts(t)) for no, t in enumerate(templates)], TEMPLATE_SCHEMA)
+
+
+__all__ = ["HARMONICS", "Ratio", "Template", "read_templates", "template_hits", "template_table"]

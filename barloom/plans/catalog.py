@@ -18,7 +18,7 @@ from barloom.functions.layout import index_bars
 from barloom.functions.rows import each, each_struct
 from barloom.functions.sql import F
 from barloom.operators import geometry, levels, momentum, ranges, select, sizing, states, swings, whole
-from barloom.operators.patterns import channels, detect
+from barloom.operators.patterns import channels, detect, templates
 from barloom.operators.patterns.breach import breach_guard as guard
 from barloom.operators.series import as_xy, bar_slice, scan_rows
 from barloom.operators.trend import trend_by_symbol, with_segments
@@ -459,6 +459,13 @@ QUERIES |= {
 }
 
 
+@query
+def template_rows(spark, d):
+    """The shipped templates read from a table, over the path bars."""
+    rows = templates.read_templates(templates.template_table(spark))
+    return _points_flat(detect.with_detector(scan_rows(candles_paths(spark, d)), "templates", templates=rows), "hits")
+
+
 def _patterns(spark, d, view=candles_walk):
     return detect.with_patterns(scan_rows(view(spark, d)))
 

@@ -482,6 +482,7 @@ O["wedges"] = _detector(WEDGE, "wedge_hits", USER)
 O["cup_handle"] = _detector(CUP, "cup_hits", PATHS)
 O["rounding_bottom"] = _detector(ROUND, "rb_hits", PATHS)
 O["template_match"] = _detector(TPL, "tpl_hits", PATHS)
+O["template_rows"] = O["template_match"]
 O["gaps"] = _detector(GAP, "gap_hits")
 O["flags_users"] = _detector(FLAG, "flag_hits", USER)
 O["triangles_users"] = _detector(TRI, "tri_hits", USER)

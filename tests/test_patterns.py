@@ -1,3 +1,4 @@
+import random
 from collections import defaultdict
 
 import pytest
@@ -7,6 +8,7 @@ from shapes import SHAPES, candles, quiet, walk
 from barloom.functions.sql import F
 from barloom.operators.geometry import pattern_geometry
 from barloom.operators.patterns.detect import hit_points, hit_rows, with_patterns
+from barloom.operators.patterns.templates import HARMONICS, TEMPLATE_SCHEMA, read_templates, template_hits, template_table
 from barloom.operators.series import scan_rows
 
 
@@ -123,3 +125,61 @@ def test_breached_level_kills_a_hit(spark):
 def test_short_series_have_no_patterns(spark):
     rows = with_patterns(scan_rows(candles(spark, {"nine": quiet(9), "one": quiet(1)})))
     assert [r.n for r in rows.where(F.size(F.col("patterns")).column() == 0).collect()].__len__() == 2
+
+
+def _zigzags(spark, n=2000):
+    """Random zigzags of twelve pivots with legs of Fibonacci ratios, so that most templates match somewhere."""
+    rng, rows = random.Random(11), []
+    for i in range(n):
+        price, leg, zz = 100.0, 10.0, []
+        for j in range(12):
+            zz.append((j * 5, j, "low" if j % 2 == 0 else "high", j * 18000, price))
+            price += leg if j % 2 == 0 else -leg
+            leg *= rng.choice((0.382, 0.5, 0.618, 0.786, 0.886, 1.13, 1.272, 1.618, 1.9, 2.24, 2.83)) * rng.uniform(0.97, 1.03)
+        rows.append((f"s{i}", zz, rng.uniform(0.01, 0.3)))
+    return spark.createDataFrame(rows, "symbol string, zz array<struct<idx:int,ord:int,kind:string,ts:long,price:double>>, atr double")
+
+
+def _template_hits(zz, templates):
+    found = zz.select("symbol", template_hits(F.col("zz"), F.col("atr"), templates).column().alias("hits"))
+    return {r["symbol"]: r["hits"] for r in found.collect()}
+
+
+def test_templates_from_a_table_equal_the_shipped_ones(spark, tmp_path):
+    zz = _zigzags(spark)
+    template_table(spark).withColumn("extra", pf.lit(1)).write.parquet(str(tmp_path / "t"))
+    rows = read_templates(spark.read.parquet(str(tmp_path / "t")))
+    assert [t.name for t in rows] == [t.name for t in HARMONICS]
+    shipped = _template_hits(zz, HARMONICS)
+    assert _template_hits(zz, rows) == shipped
+    assert len({h["kind"] for hits in shipped.values() for h in hits}) >= 8
+    assert read_templates(template_table(spark).limit(0)) == ()
+
+
+def test_a_template_of_a_user_needs_no_code(spark):
+    zz = _zigzags(spark, 80)
+    row = (7, "steps", ["A", "B", "C"], 0, [("r", [1, 2], [0, 1], None, 0.4, 0.6, 0.01)], "0.5 + abs(r - 0.5)", "p2 + dir * (p1 - p0)", "CASE WHEN dir > 0 THEN least(p0, p2) ELSE greatest(p0, p2) END", "dir * (p2 - p0) > 0")
+    got = _template_hits(zz, read_templates(spark.createDataFrame([row], TEMPLATE_SCHEMA)))
+    count = 0
+    for r in zz.collect():
+        want = []
+        for w in zip(r["zz"], r["zz"][1:], r["zz"][2:], strict=False):
+            p = [x["price"] for x in w]
+            d, ratio = (1.0 if w[0]["kind"] == "low" else -1.0), abs(p[1] - p[2]) / abs(p[0] - p[1])
+            if min(abs(p[1] - p[0]), abs(p[2] - p[1])) >= 2 * r["atr"] and 0.39 <= ratio <= 0.61 and d * (p[2] - p[0]) > 0:
+                kind = "steps_bullish" if d > 0 else "steps_bearish"
+                want.append((kind, 0.5 + abs(ratio - 0.5), p[2] + d * (p[1] - p[0]), min(p[0], p[2]) if d > 0 else max(p[0], p[2])))
+        count += len(want)
+        assert [(h["kind"], h["confidence"], h["target_price"], h["invalidation_price"]) for h in got[r["symbol"]]] == want
+    assert count > 20
+
+
+@pytest.mark.parametrize(
+    "change",
+    [{"target": "p9"}, {"target": "secret + 1"}, {"target": "p0; p1"}, {"target": None}, {"bullish_low_at": 4}, {"name": "two words"}, {"ratios": [("r", [0, 7], [0, 1], None, 0.1, 0.2, None)]}, {"ratios": [("r", [0, 1], [1, 2], None, None, None, None)]}],
+)
+def test_templates_that_make_no_sense_are_errors(spark, change):
+    row = dict(no=1, name="steps", roles=["A", "B", "C"], bullish_low_at=0, ratios=[("r", [1, 2], [0, 1], [0.5], None, None, None)], confidence="0.5", target="p0", invalidation="p1", guard=None)
+    assert len(read_templates(spark.createDataFrame([tuple(row.values())], TEMPLATE_SCHEMA))) == 1
+    with pytest.raises(ValueError):
+        read_templates(spark.createDataFrame([tuple((row | change).values())], TEMPLATE_SCHEMA))
