@@ -16,7 +16,7 @@ shingles; paragraphs and windows in which fewer than ``DISTINCT`` differ from th
 
 Banding goes in two steps, which together reach ``RECALL`` at the threshold (see ``tune``). All paragraphs have a few keys of one hash function each;
 those that share none with another document have nothing near them. The others, few, have keys of ``ROWS`` hash functions, which unrelated
-paragraphs hardly share. Paragraphs that collide in these are joined into blocks, inside which pairs are verified by exact Jaccard (in tiles, with count
+paragraphs hardly share. Paragraphs that collide in these are joined into blocks, inside which pairs are verified by exact Jaccard (small blocks at once, large ones in tiles, with count
 vectors to skip pairs and links already connected to skip checks), and components of verified links are clusters. Equal paragraphs
 are one node, whose occurrences are told apart only at the end. In a cluster that spans documents the occurrence with the
 smallest (doc_id, start) is kept, all others are removals; overlapping occurrences in a document are joined to spans.
@@ -27,7 +27,7 @@ only inside one document is left alone; without repeats there are no rows; extra
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +41,8 @@ from barloom.llm.words import Words, mix, powers, slices
 
 LEAST, FIRST, DISTINCT, SHINGLE = 20, 4, 10, 5
 EVERY, SPAN = 5, 31
+#: Paragraphs times shingles of blocks whose pairs are all verified at once; larger ones go by tiles.
+SMALL = 1 << 20
 PERCENT, RECALL, ROWS = 80, 0.99, 5
 _ENDS = np.zeros(256, bool)
 _ENDS[[ord(c) for c in ".!?"]] = True
@@ -214,12 +216,17 @@ def repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent
     shared = _colliding(held.mapInArrow(banded, "band long, node long, from long, to long")).where("node <> low")
     blocks = components(shared.select(F.col("node").alias("a"), F.col("low").alias("b")), "passage-blocks")
     blocks = blocks.select(F.col("id").alias("key"), F.col("label").alias("block"))
-    member = written(held.groupBy("key").agg(F.min("n").alias("n")).join(blocks, "key"), "passage-member")
+    blocks = blocks.join(held.groupBy("key").agg(F.min("n").alias("n")), "key")
+    size = blocks.groupBy("block").agg((F.count("*") * F.sum("n") <= SMALL).alias("small"))
+    member = written(blocks.join(size, "block"), "passage-member")
 
     def with_sets(at: DataFrame) -> DataFrame:
         return held.select("key", "shingles").join(at.select("key", "block", "at"), "key").select("shingles", "key", "block", "at")
 
-    linked = components(tiled_links(member, with_sets, rule), "passage-links").select(F.col("id").alias("node"), "label")
+    small = held.select("key", "shingles").join(member.where("small").select("key", "block"), "key").select("block", "key", "shingles")
+    links = small.repartition("block").sortWithinPartitions("block", "key").mapInArrow(_small_links(rule), "a long, b long")
+    links = links.unionAll(tiled_links(member.where("NOT small").select("key", "n", "block"), with_sets, rule))
+    linked = components(links, "passage-links").select(F.col("id").alias("node"), "label")
     told = occurs.join(linked, "node", "left").withColumn("cluster", F.coalesce("label", "node"))
     cluster = told.groupBy("cluster").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max("doc_id").alias("last"))
     told = told.join(cluster.where("first.doc_id < last"), "cluster").select(
@@ -228,6 +235,43 @@ def repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent
     return _spans(told)
 
 
+def _small_links(rule: Rule) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Verified links of small blocks from rows (block, key, shingles) sorted by block; a block may go on in the next batch."""
+
+    def links(table: pa.Table) -> pa.RecordBatch:
+        block, key = table["block"].to_numpy(), table["key"].to_numpy()
+        sets = [np.frombuffer(x, np.uint64) for x in table["shingles"].to_pylist()]
+        first = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
+        out = [np.zeros((0, 2), np.int64)]
+        for a, b in zip(first, np.append(first[1:], len(block)), strict=True):
+            n = np.array([len(s) for s in sets[a:b]])
+            _, at = np.unique(np.concatenate(sets[a:b]), return_inverse=True)
+            held = np.zeros((b - a, int(at.max()) + 1), np.float32)
+            held[np.repeat(np.arange(b - a), n), at] = 1
+            shared = (held @ held.T).astype(np.int64)
+            i, j = np.nonzero(np.triu(rule.linked(shared, n[:, None], n[None, :]), 1))
+            out.append(np.stack([key[a + i], key[a + j]], axis=1))
+        found = np.concatenate(out)
+        found = found[found[:, 0] != found[:, 1]]
+        return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if batch.num_rows:
+                table = pa.Table.from_batches([batch])
+                table = table if held is None else pa.concat_tables([held, table])
+                block = table["block"].to_numpy()
+                cut = int(np.searchsorted(block, block[-1]))
+                held = table.slice(cut)
+                if cut:
+                    yield links(table.slice(0, cut))
+        if held is not None:
+            yield links(held)
+
+    return run
+
+
 def _combined(band: np.ndarray, node: np.ndarray, low: np.ndarray, high: np.ndarray | None = None) -> pa.RecordBatch:
     """One row of each (band, node), with the least and the greatest of its documents."""
     high = low if high is None else high

@@ -247,8 +247,10 @@ def test_bands_reach_the_recall():
         assert (1 - (1 - j) ** first) * (1 - (1 - j**passages.ROWS) ** second) >= recall
 
 
-def test_passages_equal_all_pairs_of_paragraphs(spark, docs):
+@pytest.mark.parametrize("small", [passages.SMALL, 300])
+def test_passages_equal_all_pairs_of_paragraphs(spark, docs, monkeypatch, small):
     """Against a plain join of all paragraphs that share a shingle, over all documents of the smallest table."""
+    monkeypatch.setattr(passages, "SMALL", small)
     rows = [(r["doc_id"], r["text"] or "") for r in docs.select("doc_id", "text").collect()]
     sets, where = {}, collections.defaultdict(set)
     for i, text in rows:
