@@ -41,6 +41,8 @@ from barloom.llm.words import Words, mix, powers, slices
 
 LEAST, FIRST, DISTINCT, SHINGLE = 20, 4, 10, 5
 EVERY, SPAN = 5, 31
+#: Bytes of text worked on at once (a longer text is whole).
+PART = 1 << 19
 #: Paragraphs times shingles of blocks whose pairs are all verified at once; larger ones go by tiles.
 SMALL = 1 << 20
 PERCENT, RECALL, ROWS = 80, 0.99, 5
@@ -163,7 +165,7 @@ def repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy()
-            for at, data, offs in slices(batch.column(1)):
+            for at, data, offs in slices(batch.column(1), PART):
                 p = Paragraphs(data, offs)
                 keys = p.bands(first).astype(np.int64).ravel()
                 yield _combined(keys, np.repeat(p.node, first), np.repeat(ids[at + p.row], first))
@@ -171,7 +173,7 @@ def repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent
     def occurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy()
-            for at, data, offs in slices(batch.column(1)):
+            for at, data, offs in slices(batch.column(1), PART):
                 p = Paragraphs(data, offs, windows=True)
                 point = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
                 zero = point[offs[p.row]]
@@ -192,7 +194,7 @@ def repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, data, offs in slices(batch.column(0)):
+            for at, data, offs in slices(batch.column(0), PART):
                 w = Words(data, offs)
                 found = [np.unique(_shingles(w.hash[a:b])) for a, b in zip(w.first[:-1], w.first[1:], strict=True)]
                 part = batch.slice(at, len(found)).append_column("shingles", pa.array([s.tobytes() for s in found], pa.binary()))
