@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +33,8 @@ from barloom.llm.common import small, written
 
 #: Characters of text in a block (one text at least): a matter of memory only.
 BLOCK_CHARS = 2_500_000
+#: Characters of text that are encoded at once (one text at least): a matter of memory and speed only.
+ENCODE_CHARS = 800_000
 #: A pair of ids is one number: the first one times this, plus the second one.
 SECOND = 1 << 24
 #: Groups with more links are taken by distinct ids and their numbers.
@@ -64,17 +67,18 @@ class PieceEncoder:
         self.model = sentencepiece.SentencePieceProcessor(model_proto=tables.model)
         self.space = tables.space
         self.find = re.compile(" +[^ ]*").findall
-        self.kept = _Kept(self._word)
+        self.kept = _Kept(lambda word: self._words([word])[0])
 
-    def _word(self, word: str) -> bytes:
+    def _words(self, words: list[str]) -> list[bytes]:
         # The model adds one space of its own before a text.
-        ids = self.model.encode(word[1:], num_threads=1) if word != " " else [self.space]
-        return np.array(ids, np.int32).tobytes()
+        found = self.model.encode([w[1:] for w in words], num_threads=1)
+        return [array("i", ids if w != " " else [self.space]).tobytes() for w, ids in zip(words, found, strict=True)]
 
-    def ids(self, text: str) -> bytes:
-        """Ids of a text that begins with the added space."""
-        kept = self.kept
-        return b"".join([kept[w] for w in self.find(text)])
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text (as bytes of int32), which begins with the added space; words that are new are encoded together."""
+        found, get = [self.find(t) for t in texts], self.kept.__getitem__
+        self.kept.learn(set().union(*found), self._words)
+        return [b"".join(map(get, f)) for f in found]
 
 
 class _Side:
@@ -91,8 +95,9 @@ class _Side:
         before = np.concatenate([[0], total])[offsets[:-1]]
         self.ends = total - np.repeat(before, np.diff(offsets))
 
-    def table(self, at: str) -> pa.Table:
-        return pa.table({"doc": self.doc, "end": self.ends, at: np.arange(len(self.ids))})
+    def table(self, at: str, width: int) -> pa.Table:
+        """Tokens by (document, end) as one number: a document's ends are below ``width``."""
+        return pa.table({"end": self.doc.to_numpy().astype(np.int64) * width + self.ends, at: np.arange(len(self.ids))})
 
 
 class _Tokens:
@@ -146,18 +151,32 @@ def _unpacked(raw: bytes, n: int) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(4, n).T).view("<u4").ravel()
 
 
+def _encoded(encode, texts: list[str]) -> list[bytes]:
+    """Ids of the texts, some of them at a time, so that their pieces take little memory."""
+    out, some, held = [], [], 0
+    for t in texts:
+        some.append(t)
+        held += len(t)
+        if held >= ENCODE_CHARS:
+            out += encode(some)
+            some, held = [], 0
+    return out + encode(some)
+
+
 def _block(ids: pa.Array, texts: list[str], encode_a, encode_b, tokens_a: _Tokens, tokens_b: _Tokens, decimals: pa.Array, with_groups: bool) -> dict:
     """The results of a block's texts, and its links by position in the block's sorted list of pairs."""
     whole = [" " + t if t else "" for t in texts]
-    raw_a, raw_b = [encode_a(t) if t else b"" for t in whole], [encode_b(t) if t else b"" for t in whole]
+    raw_a, raw_b = _encoded(encode_a, whole), _encoded(encode_b, whole)
     spaced = "".join(whole).encode()
     agree = all(tokens.spell(np.frombuffer(b"".join(raw), np.int32)) == spaced for raw, tokens in ((raw_a, tokens_a), (raw_b, tokens_b)))
     for i, t in enumerate(whole if not agree else ()):
         if t and not (tokens_a.spell(np.frombuffer(raw_a[i], np.int32)) == t.encode() == tokens_b.spell(np.frombuffer(raw_b[i], np.int32))):
             raw_a[i] = raw_b[i] = b""
     a, b = _Side(raw_a, tokens_a), _Side(raw_b, tokens_b)
-    met = a.table("at_a").join(b.table("at_b"), ["doc", "end"], join_type="inner", use_threads=False).sort_by("at_a")
-    at_a, at_b, doc = (met.column(c).to_numpy() for c in ("at_a", "at_b", "doc"))
+    width = max(s.ends.max(initial=0) for s in (a, b)) + 1
+    met = a.table("at_a", width).join(b.table("at_b", width), "end", join_type="inner", use_threads=False).sort_by("at_a")
+    at_a, at_b = (met.column(c).to_numpy() for c in ("at_a", "at_b"))
+    doc = a.doc.to_numpy()[at_a]
     cut_a, cut_b = np.concatenate([[0], at_a + 1]), np.concatenate([[0], at_b + 1])
     n_a, n_b = np.diff(cut_a), np.diff(cut_b)
     size = len(texts)

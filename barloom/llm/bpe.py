@@ -112,11 +112,20 @@ class _Kept(dict):
         found = self.older.get(key)
         if found is None:
             found = self.make(key)
+        self.put(key, found)
+        return found
+
+    def put(self, key, found) -> None:
         if len(self) >= KEPT // 2:
             self.older = dict(self)
             self.clear()
         self[key] = found
-        return found
+
+    def learn(self, keys: set, make_many) -> None:
+        """Those of the keys that are not known, made all at once."""
+        new = [k for k in keys if k not in self and k not in self.older]
+        for key, found in zip(new, make_many(new), strict=True) if new else ():
+            self.put(key, found)
 
 
 class Encoder:

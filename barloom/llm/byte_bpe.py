@@ -89,7 +89,11 @@ class Encoder:
         self.t = tables
         self.find = regex.compile(pattern)
         self.kept = _Kept(self._piece)
+        self.kept_ids = _Kept(lambda piece: array("i", self.merged(piece.encode())).tobytes())
         self.blob = np.frombuffer(tables.blob, np.uint8)
+        pairs = np.array(sorted(tables.merges.items()), np.int64).reshape(-1, 2)
+        # One pair more that is none, so that every place in the list is there.
+        self.pairs, self.ranks = np.append(pairs[:, 0], _NEVER), np.append(pairs[:, 1], _NEVER)
 
     def merged(self, piece: bytes) -> list[int]:
         """The ids of a piece: the pair with the lowest rank merges first, of equal ones the leftmost."""
@@ -135,6 +139,43 @@ class Encoder:
                     heapq.heappush(heap, (r, left, ids[left], ids[right]))
         return [i for i in ids if i >= 0]
 
+    def merged_many(self, pieces: list[str]) -> list[bytes]:
+        """Ids (as bytes of int32) of many pieces: in every round each piece merges its own lowest pair."""
+        raw, out = [p.encode() for p in pieces], [b""] * len(pieces)
+        short = []
+        for i, p in enumerate(raw):
+            if len(p) > LONG or (self.t.whole and p in self.t.ids):
+                out[i] = array("i", self.merged(p)).tobytes()
+            else:
+                short.append(i)
+        ids = np.array(self.t.bytes, np.int64)[np.frombuffer(b"".join([raw[i] for i in short]), np.uint8)]
+        of = np.repeat(np.arange(len(short)), [len(raw[i]) for i in short])
+        done = []
+        while len(ids):
+            pair = ids[:-1] << _BITS | ids[1:]
+            place = np.searchsorted(self.pairs, pair)
+            at = np.flatnonzero((self.pairs[place] == pair) & (of[:-1] == of[1:]))
+            rank = self.ranks[place[at]]
+            first = np.flatnonzero(np.diff(of[at], prepend=-1))
+            low = np.minimum.reduceat(rank, first) if len(at) else rank
+            at = at[rank == np.repeat(low, np.diff(first, append=len(at)))]
+            at = at[np.diff(of[at], prepend=-1) != 0]
+            ids[at] = low & _MASK
+            # Pieces without a pair that merges are done.
+            open_ = np.zeros(len(short), bool)
+            open_[of[at]] = True
+            here = open_[of]
+            done.append((of[~here], ids[~here]))
+            here[at + 1] = False
+            ids, of = ids[here], of[here]
+        if done:
+            of, ids = (np.concatenate(x) for x in zip(*done, strict=True))
+            ids = ids[np.argsort(of, kind="stable")].astype(np.int32).tobytes()
+            ends = 4 * np.cumsum(np.bincount(of, minlength=len(short)))
+            for i, a, b in zip(short, [0, *ends.tolist()], ends.tolist(), strict=False):
+                out[i] = ids[a:b]
+        return out
+
     def _piece(self, piece: str) -> tuple[bytes, str]:
         ids = self.merged(piece.encode())
         return array("i", ids).tobytes(), " ".join(map(str, ids))
@@ -145,9 +186,11 @@ class Encoder:
         found = [kept[p] for p in pieces]
         return b"".join([f[0] for f in found]), " ".join([f[1] for f in found])
 
-    def ids(self, text: str) -> bytes:
-        kept = self.kept
-        return b"".join([kept[p][0] for p in self.find.findall(text)])
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text (as bytes of int32); pieces that are new are merged together."""
+        found, get = [self.find.findall(t) for t in texts], self.kept_ids.__getitem__
+        self.kept_ids.learn(set().union(*found), self.merged_many)
+        return [b"".join(map(get, f)) for f in found]
 
     def decode(self, ids: np.ndarray) -> bytes:
         if not len(ids):

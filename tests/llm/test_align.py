@@ -136,3 +136,23 @@ def test_empty_table(spark, tables):
     df = spark.createDataFrame([], "doc_id string, text string")
     assert align.align(df, *tables).collect() == []
     assert align.align(spark.createDataFrame([("q", None)], "doc_id string, text string"), *tables).collect()[0][1:] == (0, 0, 0, 0, 0, 0, "")
+
+
+def test_words_that_are_new_are_encoded_together(tables, plain):
+    a, pattern, b = tables
+    encoder, pieces = byte_bpe.Encoder(a, pattern), align.PieceEncoder(b)
+    texts = [" " + t for t in TEXTS if t]
+    new = sorted({p for t in texts for p in encoder.find.findall(t)} | {"z" * n for n in (1, 2, 99, 100, 101, 250)} | {""})
+    assert [list(memoryview(x).cast("i")) for x in encoder.merged_many(new)] == [encoder.merged(p.encode()) for p in new]
+    assert encoder.merged_many([]) == [] == encoder.ids([])
+    calls, model = [], pieces.model
+
+    class Counted:
+        def encode(self, words, **more):
+            calls.append(words)
+            return model.encode(words, **more)
+
+    pieces.model = Counted()
+    got = align._encoded(pieces.ids, texts)
+    assert len(calls) == 1 and len(calls[0]) > 20
+    assert [list(memoryview(x).cast("i")) for x in got] == [model.encode(t[1:]) for t in texts]
