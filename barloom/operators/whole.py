@@ -274,26 +274,29 @@ def nearest_pivots(pivots: DataFrame, indicators: tuple[str, ...] = ("rsi", "mac
     """Every closing pivot with the nearest pivot of the same kind of each indicator, at most ``reach`` bars away.
 
     (symbol, indicator, kind, bar_idx, ts, price, match_idx, match_ts, match); the earlier one on ties, without match
-    where there is none. A join by buckets of 2 * reach + 1 bars: an indicator pivot stands in the one or two buckets it reaches.
+    where there is none. The pivots are read once and shuffled once, by chunks of ``FOLD_BARS`` bars; an indicator pivot stands in
+    the one or two chunks it reaches, and the nearest ones are values of short windows.
     """
-    size = 2 * reach + 1
-    names = F.explode(F.array(*[F.lit(i) for i in indicators])).alias("indicator")
-    asked = pivots.where("series = 'close'").select("symbol", names, "kind", "bar_idx", "ts", "price")
+    at, series = F.col("bar_idx"), F.col("series")
 
     def bucket(i: Column) -> Column:
-        return F.floor(i / size).cast("long")
+        return F.floor(i / FOLD_BARS).cast("long")
 
-    at = F.col("bar_idx")
-    spread = F.explode(F.array_distinct(F.array(bucket(at - reach), bucket(at + reach)))).alias("bucket")
-    there = pivots.where(F.col("series").isin(*indicators)).select(
-        "symbol", F.col("series").alias("indicator"), "kind", spread, at.alias("match_idx"), F.col("ts").alias("match_ts"), F.col("price").alias("match")
-    )
-    met = asked.withColumn("bucket", bucket(at)).join(there, ["symbol", "indicator", "kind", "bucket"])
-    distance = F.abs(F.col("match_idx") - at)
-    best = F.min(F.struct(distance.alias("away"), "match_idx", "match_ts", "match")).alias("best")
-    keys = ["symbol", "indicator", "kind", "bar_idx"]
-    near = met.where(distance <= reach).groupBy(*keys).agg(best).select(*keys, "best.match_idx", "best.match_ts", "best.match")
-    return asked.join(near, keys, "left")
+    far = F.when(series == "close", 0).otherwise(reach)
+    spread = F.explode(F.sequence(bucket(at - far), bucket(at + far))).alias("bucket")
+    placed = pivots.where(series.isin("close", *indicators)).select("symbol", "series", "kind", "bar_idx", "ts", "price", spread)
+    order = Window.partitionBy("symbol", "kind", "bucket").orderBy("bar_idx")
+
+    def nearest(name: str) -> Column:
+        pivot = F.when(series == name, F.struct(at.alias("match_idx"), F.col("ts").alias("match_ts"), F.col("price").alias("match")))
+        before = F.last(pivot, ignorenulls=True).over(order.rangeBetween(-reach, 0))
+        after = F.first(pivot, ignorenulls=True).over(order.rangeBetween(0, reach))
+        earlier = after.isNull() | (at - before["match_idx"] <= after["match_idx"] - at)
+        return F.when(before.isNull(), after).when(earlier, before).otherwise(after)
+
+    found = placed.withColumn("_near", F.array(*[F.struct(F.lit(i).alias("indicator"), nearest(i).alias("near")) for i in indicators]))
+    found = found.where(series == "close").select("symbol", "kind", "bar_idx", "ts", "price", F.explode("_near").alias("of"))
+    return found.select("symbol", "of.indicator", "kind", "bar_idx", "ts", "price", "of.near.match_idx", "of.near.match_ts", "of.near.match")
 
 
 def _with_previous(rows: DataFrame, keys: list[str], fields: list[str], fold_bars: int) -> DataFrame:
@@ -307,8 +310,11 @@ def _with_previous(rows: DataFrame, keys: list[str], fields: list[str], fold_bar
 
 
 def divergences(pivots: DataFrame, indicators: tuple[str, ...] = ("rsi", "macd"), fold_bars: int = FOLD_BARS) -> DataFrame:
-    """Consecutive closing pivots of one kind against their matched indicator pivots, as `momentum.divergences` over whole series."""
-    matched = nearest_pivots(pivots, indicators)
+    """Consecutive closing pivots of one kind against their matched indicator pivots, as `momentum.divergences` over whole series.
+
+    The matched pivots are used twice, by the rows and by the ends of chunks, and kept for that.
+    """
+    matched = nearest_pivots(pivots, indicators).persist()
     fields = ["ts", "price", "match_ts", "match"]
     rows = _with_previous(matched, ["symbol", "indicator", "kind"], fields, fold_bars).where("prev.match IS NOT NULL AND match IS NOT NULL")
     lower, higher = F.col("price") < F.col("prev.price"), F.col("price") > F.col("prev.price")

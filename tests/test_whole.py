@@ -164,3 +164,12 @@ def test_empty_tables(spark):
     assert whole.zigzag(candle_swings(bars, chunk_seconds=SPAN), whole.min_reversal(bars, SPAN)).collect() == []
     for df in (whole.meta_summary(bars), whole.quad_fit(bars, "low", SPAN), whole.value_area(bars), whole.momentum_summary(bars, SPAN)):
         assert df.collect() == []
+
+
+def test_divergences_compute_the_pivots_once(spark, sf):
+    """They are matched by short windows in one shuffle, without a join that would read them again."""
+    pivots = whole.series_pivots(candles(spark, {"a": walk(300, 3)}), SPAN)
+    matched = whole.nearest_pivots(pivots)._jdf.queryExecution().optimizedPlan().toString()
+    joins = pivots._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+    assert matched.count("Join ") == joins
+    assert whole.divergences(pivots)._jdf.queryExecution().withCachedData().toString().count("InMemoryRelation") >= 2
