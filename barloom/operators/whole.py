@@ -21,12 +21,16 @@ from barloom.functions.layout import block_layout, index_bars
 from barloom.functions.sql import F as S
 from barloom.operators import levels, momentum
 from barloom.operators.series import REVERSAL_FALLBACK, SWING_LOOKBACK, reversal_size, scan_rows
+from barloom.operators.swings import candle_swings
+from barloom.session import settled
 from barloom.sources.resample import arrival_key, infer_timeframe
 
 #: Bars after which every filter of a scan has forgotten its start (the slowest: an EMA of 26 into one of 9, both e^-40).
 SETTLED = 2048
 #: Bars of a chunk whose swings are folded by one call.
 FOLD_BARS = 65_536
+#: Parts of a symbol's prices of which only those with a sought quantile are ordered.
+PARTS = 64
 
 
 # ── the end of a series ─────────────────────────────────────────────────────
@@ -127,6 +131,74 @@ def value_area(candles: DataFrame) -> DataFrame:
     return volume_profile(candles).select("symbol", levels.value_area(S.col("profile")).column().alias("area")).select("symbol", "area.*")
 
 
+# ── rounds of sums: levels ──────────────────────────────────────────────────
+
+
+def level_clusters(prices: DataFrame, k: int = levels.CLUSTERS) -> DataFrame:
+    """(symbol, clusters): `levels.level_clusters` of the rows (symbol, price), by sums over distinct prices.
+
+    A round is one aggregate with map-side combine, its result a small table of one row per symbol; a symbol that has settled
+    keeps its centres. Prices and rounds are written below ``spark.checkpoint.dir``.
+    """
+    points = settled(prices.where("price IS NOT NULL").groupBy("symbol", "price").agg(F.count("*").alias("n")), "levels")
+    sizes = points.groupBy("symbol").agg(F.sum("n").alias("size"))
+    one_by_one = F.array_sort(F.flatten(F.collect_list(F.array_repeat("price", F.col("n").cast("int")))))  # k prices at most
+    few = points.join(sizes.where(F.col("size") <= k), "symbol").groupBy("symbol").agg(one_by_one.alias("centres")).withColumn("done", F.lit(True))
+    many = _quantiles(points, sizes.where(F.col("size") > k), k).withColumn("done", F.lit(False))
+    state = settled(few.unionAll(many), "levels")
+    for _ in range(levels.CLUSTER_STEPS):
+        if not state.where("NOT done").head(1):
+            break
+        state = settled(_moved(points.join(state, "symbol"), k), "levels")
+    return state.select("symbol", F.array_sort("centres").alias("clusters"))
+
+
+def _moved(near: DataFrame, k: int) -> DataFrame:
+    """Centres moved to the means of the prices that are nearest to them; one without any stays, and all of a symbol that is done."""
+    centres = [F.get("centres", F.lit(i)) for i in range(k)]
+    away = F.array(*[F.abs(F.col("price") - c) for c in centres])
+    at = near.select("symbol", "centres", "done", "price", "n", F.array_position(away, F.array_min(away)).alias("at"))
+    mean = [F.try_divide(F.sum(F.when(F.col("at") == i + 1, F.col("price") * F.col("n"))), F.sum(F.when(F.col("at") == i + 1, F.col("n")))) for i in range(k)]
+    new = at.groupBy("symbol", "centres", "done").agg(*[m.alias(f"_{i}") for i, m in enumerate(mean)])
+    new = new.select("symbol", "centres", "done", F.array(*[F.coalesce(f"_{i}", c) for i, c in enumerate(centres)]).alias("new"))
+    step = F.array_max(F.zip_with("new", "centres", lambda a, b: F.abs(a - b)))
+    return new.select("symbol", F.when(F.col("done"), F.col("centres")).otherwise(F.col("new")).alias("centres"), (F.col("done") | (step <= levels.CLUSTER_SETTLED)).alias("done"))
+
+
+def _quantiles(points: DataFrame, sizes: DataFrame, k: int) -> DataFrame:
+    """(symbol, centres): the prices at the middles of k equal parts of a symbol's rows in order; ``points`` has (symbol, price, n).
+
+    Approximate quantiles cut the prices into ``PARTS`` parts; rows are counted by part, and only parts that hold a middle are ordered.
+    """
+    borders = points.groupBy("symbol").agg(F.percentile_approx("price", [i / PARTS for i in range(1, PARTS)], 1000).alias("borders"))
+    part = F.size(F.filter("borders", lambda b: b <= F.col("price"))).alias("part")
+    placed = settled(points.join(borders, "symbol").select("symbol", "price", "n", part), "levels")
+    earlier = F.sum("rows").over(Window.partitionBy("symbol").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    counts = placed.groupBy("symbol", "part").agg(F.sum("n").alias("rows")).withColumn("ahead", F.coalesce(earlier, F.lit(0)))
+    counts = counts.join(sizes, "symbol").select("*", F.explode(F.array(*[F.lit(i) for i in range(k)])).alias("i"))
+    middle = F.floor((F.col("i") + 0.5) / float(k) * F.col("size")) - F.col("ahead")
+    wanted = counts.withColumn("middle", middle).where("middle >= 0 AND middle < rows").select("symbol", "part", "i", "middle")
+    order = Window.partitionBy("symbol", "part", "i").orderBy("price").rowsBetween(Window.unboundedPreceding, 0)
+    upto = placed.join(wanted, ["symbol", "part"]).withColumn("upto", F.sum("n").over(order))
+    found = upto.where("middle < upto AND middle >= upto - n")
+    return found.groupBy("symbol").agg(F.array(*[F.max(F.when(F.col("i") == i, F.col("price"))) for i in range(k)]).alias("centres"))
+
+
+def find_levels(candles: DataFrame, chunk_seconds: int) -> DataFrame:
+    """(symbol, last_close, clusters, support, resistance), as `levels.with_levels` over whole series.
+
+    Bars without a symbol are one series, those without a time come first, as in a scan row.
+    """
+    named = F.coalesce(F.concat(F.lit("="), F.col("symbol").cast("string")), F.lit(""))
+    bars = candles.withColumns({"symbol": named, "ts": F.coalesce("ts", F.expr("timestamp'0001-01-01 00:00:00'"))})
+    clusters = level_clusters(candle_swings(bars, chunk_seconds=chunk_seconds).select("symbol", "price"))
+    ends = bars.groupBy("symbol").agg(F.max_by("close", arrival_key(bars)).alias("last_close"))
+    name = F.when(F.col("symbol") != "", F.expr("substring(symbol, 2)")).cast(candles.schema["symbol"].dataType)
+    rows = ends.join(clusters, "symbol", "left").select(name.alias("symbol"), "last_close", F.coalesce("clusters", F.expr("array()").cast("array<double>")).alias("clusters"))
+    support, resistance = levels.nearest_levels(S.col("clusters"), S.col("last_close"))
+    return rows.withColumns({"support": support.column(), "resistance": resistance.column()})
+
+
 # ── order: zigzag ───────────────────────────────────────────────────────────
 
 

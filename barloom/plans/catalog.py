@@ -356,13 +356,23 @@ def level_clusters(spark, d):
 
 
 @query
-def find_levels(spark, d, view=candles_walk):
-    rows = levels.with_levels(scan_rows(view(spark, d)))
+def find_levels(spark, d):
+    """Of short series, as projections of the scan row."""
+    return _flat(_sides(levels.with_levels(scan_rows(candles_walk(spark, d)))))
+
+
+@query
+def find_levels_lines(spark, d):
+    """Of long series, by rounds of sums."""
+    return _flat(_sides(whole.find_levels(candles_lines(spark, d), SPAN)))
+
+
+def _sides(rows: DataFrame) -> DataFrame:
     sides = [
         F.transform(F.col(side), lambda p, i, side=side: F.struct(("side", side), ("no", i), ("price", p)))
         for side in ("support", "resistance")
     ]
-    return _flat(each_struct(rows, F.concat(*sides), "symbol"))
+    return each_struct(rows, F.concat(*sides), "symbol")
 
 
 @query
@@ -684,7 +694,7 @@ def _long(f: Query) -> Query:
     return lambda spark, d: f(spark, d, candles_lines)
 
 
-QUERIES |= {f"{f.__name__}_lines": _long(f) for f in (trend_summary, meta_summary, zigzag, poc_value_area, find_levels, quad_fit, volume_profile)}
+QUERIES |= {f"{f.__name__}_lines": _long(f) for f in (trend_summary, meta_summary, zigzag, poc_value_area, quad_fit, volume_profile)}
 
 
 def trending_with_bands(spark: SparkSession, d: str) -> DataFrame:

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import functools
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: str | int = "*", partitions: int = 8, app: str = "barloom", shared: str | None = None) -> SparkSession:
@@ -35,3 +39,20 @@ def checkpoint_root(spark: SparkSession) -> str:
     if not root:
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return root
+
+
+@functools.cache
+def _local_root() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="barloom-")
+
+
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a table written below the checkpoint folder: computed once, cut from their lineage, of known size.
+
+    Where that folder is unset, a local session (one machine) takes a folder of its own.
+    """
+    spark = df.sparkSession
+    local = not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.master.startswith("local")
+    path = f"{(_local_root() if local else checkpoint_root(spark)).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from shapes import candles, walk
 
@@ -166,6 +167,27 @@ def test_empty_tables(spark):
         assert df.collect() == []
 
 
+def test_levels_by_rounds_of_sums_equal_the_scan_row(spark):
+    """Also of few swings, of none, of one price, of bars without symbol or time."""
+    rng = random.Random(6)
+    coarse = [(c, c + 1.0, c - 1.0, c, 1.0) for c in (float(rng.randrange(4)) for _ in range(900))]
+    spikes = [(o, h * (1e6 if i % 97 == 50 else 1), x, c, v) for i, (o, h, x, c, v) in enumerate(walk(1500, 9))]
+    series = {"a": walk(3000, 3), "few": walk(24, 4), "none": walk(5, 5), "flat": [(5, 5, 5, 5, 3.0)] * 40, "coarse": coarse, "spikes": spikes, "lost": walk(400, 8)}
+    bars = candles(spark, series)
+    late = F.col("symbol").isin("a", "lost") & (F.unix_seconds("ts") == F.min(F.unix_seconds("ts")).over(Window.partitionBy("symbol")))
+    bars = bars.withColumn("ts", F.when(~late, F.col("ts"))).withColumn("symbol", F.when(F.col("symbol") != "lost", F.col("symbol")))
+    columns = ["symbol", *[F.transform(c, lambda x: F.round(x, 6)).alias(c) for c in ("clusters", "support", "resistance")]]
+    want = {r[0]: tuple(r) for r in levels.with_levels(scan_rows(bars)).select(*columns).collect()}
+    got = whole.find_levels(bars, SPAN).select(*columns).collect()
+    assert len(got) == len(want) == len(series) and {r[0]: tuple(r) for r in got} == want
+    assert want["none"][1] == [] and len(want["a"][1]) == levels.CLUSTERS
+
+
+def test_levels_of_long_series_gather_no_bars(spark, sf):
+    plan = QUERIES["find_levels_lines"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "later_low" not in plan and "collect_list(struct" not in plan
+
+
 def test_divergences_compute_the_pivots_once(spark, sf):
     """They are matched by short windows in one shuffle, without a join that would read them again."""
     pivots = whole.series_pivots(candles(spark, {"a": walk(300, 3)}), SPAN)
