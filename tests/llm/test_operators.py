@@ -571,3 +571,15 @@ def test_model_adds_spans_and_redaction_removes_them(spark):
     assert pii.find(empty(df), pii.train(empty(df))).count() == 0
 
 
+
+
+def test_tasks_give_freed_memory_back(monkeypatch):
+    """At their beginning and their end, so that a worker that is used again does not add up what its tasks held."""
+    from barloom.llm import common
+
+    calls = []
+    monkeypatch.setattr(common, "release", lambda: calls.append(1))
+    batches = iter([pa.RecordBatch.from_arrays([pa.array(range(7))], ["x"])])
+    assert [b.num_rows for b in common.small(batches, 3)] == [3, 3, 1] and len(calls) == 2
+    monkeypatch.undo()
+    common.release()
