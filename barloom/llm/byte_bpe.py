@@ -186,8 +186,10 @@ class Encoder:
         found = [kept[p] for p in pieces]
         return b"".join([f[0] for f in found]), " ".join([f[1] for f in found])
 
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text (as bytes of int32); pieces that are new are merged together."""
+    def ids(self, texts: str | list[str]) -> bytes | list[bytes]:
+        """Ids (as bytes of int32) of a text, or of each of a list; pieces that are new are merged together."""
+        if isinstance(texts, str):
+            return self.ids([texts])[0]
         found, get = [self.find.findall(t) for t in texts], self.kept_ids.__getitem__
         self.kept_ids.learn(set().union(*found), self.merged_many)
         return [b"".join(map(get, f)) for f in found]
