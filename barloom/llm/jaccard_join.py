@@ -35,14 +35,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from barloom.llm.common import components, written
+from barloom.llm.common import components, release, small, written
 from barloom.llm.words import Words, mix, slices
 
 #: Shingles in one tile of a block (8 bytes each in a task).
 TILE = 2_000_000
 LEAF, FANOUT = 32, 16
-#: Set keys a task remembers, to emit the groups of copies once, and signatures it combines at a time (matters of traffic only).
-SEEN, COMBINED = 200_000, 1_000_000
+#: Set keys a task remembers, to emit the groups of copies once, signatures it combines at a time, and bytes of text and rows that it
+#: works on and sends on at once (matters of traffic and memory only).
+SEEN, COMBINED, PART, SENT = 100_000, 500_000, 1 << 19, 50_000
 #: Least size of sets with larger groups, groups of such a set, and the bound on the probability that linked sets share none.
 STRONG, GROUPS, MISS = 64, 96, 1e-9
 
@@ -99,7 +100,7 @@ class Rule:
 
 def _sets(column: pa.Array, k: int) -> Iterator[tuple[int, list[np.ndarray]]]:
     """(first row, sorted distinct shingle hashes of each row) by slices."""
-    for at, data, offs in slices(column):
+    for at, data, offs in slices(column, PART):
         shingles, begin = Words(data, offs).shingles(k)
         yield at, [np.unique(shingles[a:b]) for a, b in zip(begin[:-1], begin[1:], strict=True)]
 
@@ -236,19 +237,23 @@ def _combined(sig: np.ndarray, key: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(sig), pa.array(key)], ["sig", "key"])
 
 
-def keyed(docs: DataFrame, text: str = "text", k: int = 4) -> DataFrame:
-    """``docs`` with n, the size of the text's set, and key, its hash (0 for the empty set), which no own column may be called."""
+def keyed(docs: DataFrame, text: str = "text", k: int = 4, keep_text: bool = True) -> DataFrame:
+    """``docs`` with n, the size of the text's set, and key, its hash (0 for the empty set), which no own column may be called.
+
+    Without ``keep_text`` the texts don't come back from the tasks.
+    """
     names = docs.columns
+    own = [c for c in names if keep_text or c != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             n, key = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
             for at, sets in _sets(batch.column(names.index(text)), k):
                 for r, s in enumerate(sets, at):
                     n[r], key[r] = len(s), _key(s) if len(s) else 0
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n), pa.array(key)], [*names, "n", "key"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(names.index(c)) for c in own], pa.array(n), pa.array(key)], [*own, "n", "key"])
 
-    return docs.mapInArrow(run, docs.selectExpr("*", "0L AS n", "0L AS key").schema)
+    return docs.mapInArrow(run, (docs if keep_text else docs.drop(text)).selectExpr("*", "0L AS n", "0L AS key").schema)
 
 
 def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int = 4, percent: int = 85) -> DataFrame:
@@ -266,9 +271,17 @@ def join_sets(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k: in
         seen: set[int] = set()
         local = _remember(Rule(k, percent))
         sig: list[np.ndarray] = []
-        key: list[np.ndarray] = []
+        key: list[int] = []
         size = 0
-        for batch in batches:
+
+        def combined() -> Iterator[pa.RecordBatch]:
+            rows = _combined(np.concatenate(sig), np.repeat(np.array(key, np.int64), [len(x) for x in sig]))
+            sig.clear()
+            key.clear()
+            for at in range(0, rows.num_rows, SENT):
+                yield rows.slice(at, SENT)
+
+        for batch in small(batches):
             for _, sets in _sets(batch.column(0), k):
                 for s in sets:
                     if len(s) and (own := _key(s)) not in seen:
@@ -276,15 +289,16 @@ def join_sets(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k: in
                             seen.clear()
                         seen.add(own)
                         sig.append(_signatures(s, local).astype(np.int64))
-                        key.append(np.full(len(sig[-1]), own, np.int64))
+                        key.append(own)
                         size += len(sig[-1])
                         if size >= COMBINED:
-                            yield _combined(np.concatenate(sig), np.concatenate(key))
-                            sig, key, size = [], [], 0
+                            yield from combined()
+                            size = 0
         if size:
-            yield _combined(np.concatenate(sig), np.concatenate(key))
+            yield from combined()
+        release()
 
-    nodes = written(keyed(docs, "text", k).drop("text"), "join-nodes")
+    nodes = written(keyed(docs, "text", k, keep_text=False), "join-nodes")
     shared = (
         docs.select("text")
         .mapInArrow(signed, "sig long, key long")
@@ -320,7 +334,7 @@ def _links(docs: DataFrame, nodes: DataFrame, blocks: DataFrame, rule: Rule) ->
     unclear = written(member.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").select("doc_id"), "join-unclear")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             for at, found in _sets(batch.column(0), k):
                 part = batch.slice(at, len(found))
                 own = np.array([_key(s) if len(s) else 0 for s in found], np.int64) == part.column(1).to_numpy()
@@ -385,8 +399,13 @@ def tiled_links(member: DataFrame, with_sets: Callable[[DataFrame], DataFrame],
     def tile(table: pa.Table) -> pa.Table:
         keys = table["key"].to_numpy()
         _, first = np.unique(keys, return_index=True)  # rows that repeat bring a set twice
-        sets = [np.frombuffer(x.as_py(), np.uint64) for x in table["shingles"].take(first)]
+        shingles = table["shingles"]
+        sets = [np.frombuffer(shingles[i].as_buffer(), np.uint64) for i in first.tolist()]  # no copies
         found = _tile_links(keys[first], sets, table["side"].to_numpy()[first], rule)
-        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([x for _, x in found], pa.int64())})
+        out = pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([x for _, x in found], pa.int64())})
+        if table.nbytes > PART:
+            del table, shingles, sets
+            release()
+        return out
 
     return placed.groupBy("block", "c", "i", "j", "next").applyInArrow(tile, "a long, b long")

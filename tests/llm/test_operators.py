@@ -583,3 +583,31 @@ def test_tasks_give_freed_memory_back(monkeypatch):
     assert [b.num_rows for b in common.small(batches, 3)] == [3, 3, 1] and len(calls) == 2
     monkeypatch.undo()
     common.release()
+
+
+class Tasks:
+    """Stands for a table: takes the function that tasks run."""
+
+    columns = ["doc_id", "text"]
+    schema = None
+
+    def mapInArrow(self, run, schema):
+        self.run = run
+
+    def selectExpr(self, *_):
+        return self
+
+    drop = selectExpr
+
+
+def test_sets_are_keyed_in_small_parts_without_the_texts():
+    texts = [f"one two three four w{i}" for i in range(1200)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1200)), pa.array(texts)], ["doc_id", "text"])
+    jaccard_join.keyed(tasks := Tasks(), keep_text=False)
+    parts = list(tasks.run(iter([batch])))
+    assert max(p.num_rows for p in parts) <= 500
+    assert all(p.schema.names == ["doc_id", "n", "key"] for p in parts)
+    whole = pa.Table.from_batches(parts).to_pydict()
+    assert whole["doc_id"] == list(range(1200)) and set(whole["n"]) == {2} and len(set(whole["key"])) == 1200
+    jaccard_join.keyed(tasks)
+    assert pa.Table.from_batches(list(tasks.run(iter([batch])))).to_pydict() == {"doc_id": whole["doc_id"], "text": texts, "n": whole["n"], "key": whole["key"]}
