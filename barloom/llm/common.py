@@ -62,7 +62,7 @@ def small(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.Rec
 
 
 #: Vertices that a task of ``stars`` holds, and edges that one task of its second pass reads.
-VERTICES, EDGES = 250_000, 2_000_000
+VERTICES, EDGES = 150_000, 2_000_000
 
 
 def stars(edges: DataFrame) -> DataFrame:
@@ -82,20 +82,24 @@ def stars(edges: DataFrame) -> DataFrame:
                 parent[v], v = top, parent.get(v, top)
             return top
 
-        def known() -> pa.RecordBatch:
-            found = [(v, root(v)) for v in list(parent)]
-            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+        def known() -> Iterator[pa.RecordBatch]:
+            a = np.fromiter(parent, np.int64, len(parent))
+            for at in range(0, len(a), 50_000):
+                part = a[at : at + 50_000]
+                b = np.fromiter(map(root, part.tolist()), np.int64, len(part))
+                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(b)], ["a", "b"])
+            parent.clear()
 
-        for batch in batches:
+        for batch in small(batches, 50_000):
             pairs = np.unique(np.stack([c.to_numpy() for c in batch.columns], axis=1), axis=0)
             for a, b in pairs.tolist():
                 a, b = root(a), root(b)
                 if a != b:
                     parent[max(a, b)] = min(a, b)
             if len(parent) > VERTICES:
-                yield known()
-                parent.clear()
-        yield known()
+                yield from known()
+        yield from known()
+        release()
 
     return edges.mapInArrow(run, "a long, b long")
 

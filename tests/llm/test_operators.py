@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from barloom.llm import bpe, chat, decontaminate, jaccard_join, language_id, mtree, passages, pii, toxicity, warc
+from barloom.llm import bpe, chat, common, decontaminate, jaccard_join, language_id, mtree, passages, pii, toxicity, warc
 from barloom.llm.common import components
 
 BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -611,3 +611,13 @@ def test_sets_are_keyed_in_small_parts_without_the_texts():
     assert whole["doc_id"] == list(range(1200)) and set(whole["n"]) == {2} and len(set(whole["key"])) == 1200
     jaccard_join.keyed(tasks)
     assert pa.Table.from_batches(list(tasks.run(iter([batch])))).to_pydict() == {"doc_id": whole["doc_id"], "text": texts, "n": whole["n"], "key": whole["key"]}
+
+
+def test_stars_are_sent_in_parts():
+    n = 120_000
+    pairs = [pa.array(np.arange(1, n)), pa.array(np.zeros(n - 1, np.int64))]
+    common.stars(tasks := Tasks())
+    parts = list(tasks.run(iter([pa.RecordBatch.from_arrays(pairs, ["a", "b"])])))
+    assert max(p.num_rows for p in parts) <= 50_000
+    whole = pa.Table.from_batches(parts).to_pydict()
+    assert sorted(whole["a"]) == list(range(1, n)) and set(whole["b"]) == {0}
