@@ -51,6 +51,11 @@ def vocabulary(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_
     return counted.where(F.col("n") >= min_count)
 
 
+def _hashed(df: DataFrame) -> DataFrame:
+    """To be joined by hash tables of its shuffled parts, not by sorting both sides: of a key it has some dozens of rows at most."""
+    return df.hint("shuffle_hash")
+
+
 def _paths(words: DataFrame) -> DataFrame:
     """Every word both ways, with the trie nodes that it passes, in order: (word, way, stops of depth and node)."""
     both = words.select("word", F.explode(F.array(F.struct(F.lit(">").alias("way"), F.col("word").alias("path")), F.struct(F.lit("<").alias("way"), F.reverse("word").alias("path")))).alias("p"))
@@ -71,7 +76,7 @@ def _paths(words: DataFrame) -> DataFrame:
     ends = steps.groupBy("node").agg(F.min("next").alias("low"), F.max("next").alias("high"), F.max("starts").alias("starts"))
     nodes = ends.where("low <> high OR high = 0 OR starts").select("node")
     stop = F.struct("depth", "node")
-    return steps.join(nodes, "node", "left_semi").groupBy("way", "word").agg(F.sort_array(F.collect_list(stop)).alias("stops"), F.max(F.when(F.col("starts"), stop)).alias("start"))
+    return steps.join(_hashed(nodes), "node", "left_semi").groupBy("way", "word").agg(F.sort_array(F.collect_list(stop)).alias("stops"), F.max(F.when(F.col("starts"), stop)).alias("start"))
 
 
 def _start(size: Column) -> Column:
@@ -97,7 +102,7 @@ def _asked(edges: DataFrame, paths: DataFrame) -> DataFrame:
     second = edges.where("char_length(label) > 1").select(_at("2", F.substring("label", 2, 1)).alias("at"), "label", "child")
     ends = paths.select(F.element_at("stops", -1)["node"].alias("child"), F.lit("").alias("next"))
     beyond = edges.select(F.col("node").alias("child"), F.substring("label", 1, 1).alias("next")).unionAll(ends)
-    short = edges.where("char_length(label) = 1").join(beyond, "child").select(_at("2", F.col("next")).alias("at"), "label", "child")
+    short = edges.where("char_length(label) = 1").join(_hashed(beyond), "child").select(_at("2", F.col("next")).alias("at"), "label", "child")
     return first.unionAll(second).unionAll(short)
 
 
@@ -125,7 +130,7 @@ def _stepped(states: DataFrame, asked: DataFrame) -> DataFrame:
         want("dropped", "1", two, fresh & (two != "") & (one != two)),
         want("added", "2", one, fresh),
     )
-    x = states.select("word", "rest", "edits", F.explode(F.array_compact(wants)).alias("w")).select("word", "rest", "edits", "w.*").join(asked, "at")
+    x = states.select("word", "rest", "edits", F.explode(F.array_compact(wants)).alias("w")).select("word", "rest", "edits", "w.*").join(_hashed(asked), "at")
     m, size, kind = F.char_length("label"), F.char_length("rest"), F.col("kind")
     tail = F.substring(F.col("label"), F.lit(2), m)
     fits = (
@@ -155,7 +160,7 @@ def neighbours(words: DataFrame, name: str = "spelling") -> DataFrame:
     found = done[0] if done else states.select("word", "node")
     for more in done[1:]:
         found = found.unionAll(more)
-    return found.join(ends, "node").select("word", "near").distinct()
+    return found.join(_hashed(ends), "node").select("word", "near").distinct()
 
 
 def _roots(forms: DataFrame, name: str) -> DataFrame:
@@ -174,8 +179,8 @@ def variants(words: DataFrame, ratio: int = 2, name: str = "spelling") -> DataFr
     """Per word: form (its most frequent neighbour, if that has ``ratio`` times its count), root (the last form), n, n_near, form_n."""
     near = neighbours(words, name)
     counts = words.select(F.col("word").alias("near"), F.col("n").alias("near_n"))
-    best = near.join(counts, "near").groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("less"), F.col("near"))).alias("top"))
-    found = words.join(best, "word", "left")
+    best = near.join(_hashed(counts), "near").groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("less"), F.col("near"))).alias("top"))
+    found = words.join(_hashed(best), "word", "left")
     has = -F.col("top.less") >= ratio * F.col("n")
     found = written(
         found.select(
@@ -184,7 +189,7 @@ def variants(words: DataFrame, ratio: int = 2, name: str = "spelling") -> DataFr
         name,
     )
     roots = _roots(found.where("form IS NOT NULL"), name)
-    return found.join(roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return found.join(_hashed(roots), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
 def group(docs: DataFrame, id_col: str = "doc_id", text: str = "text", name: str = "spelling") -> DataFrame:

@@ -100,3 +100,12 @@ def test_no_words(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "a b c")], "doc_id long, text string")
     assert spelling.group(df).collect() == []
     assert spelling.group(df.limit(0)).columns == ["word", "form", "root", "n", "n_near", "form_n"]
+
+
+def test_words_meet_by_hash_tables_without_sorting_both_sides(spark):
+    words = spark.createDataFrame([("house", 9), ("houses", 4), ("mouse", 3)], "word string, n long")
+    paths = spelling._paths(words)
+    asked = spelling._asked(spelling._edges(paths), paths)
+    for df in (paths, spelling._stepped(spelling._starts(paths), asked)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
