@@ -17,6 +17,7 @@ import hashlib
 import json
 import re
 import unicodedata
+import weakref
 from array import array
 from collections.abc import Iterator
 
@@ -24,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from barloom.llm.common import small
+from barloom.llm.common import release, small
 
 #: Encoded words, pieces and checked pairs that a Python worker keeps of late (a matter of speed only).
 KEPT = 400_000
@@ -145,8 +146,10 @@ class Encoder:
         self.split = regex.compile("|".join(regex.escape(a) for a in sorted(tables.added, key=len, reverse=True)) or r"(?!)")
         self.letters = dict(enumerate(_byte_letters()))
         self.blob = np.frombuffer(tables.blob, np.uint8)
-        self.kept_pieces = _Kept(lambda text: array("i", self.piece(text)).tobytes())
-        self.kept = _Kept(self._word)
+        # The stores don't hold the encoder: it goes with its task, not when Python looks for cycles.
+        me = weakref.proxy(self)
+        self.kept_pieces = _Kept(lambda text: array("i", me.piece(text)).tobytes())
+        self.kept = _Kept(lambda word: me._word(word))
         self.fits = _Kept(lambda pair: tables.compatible(*divmod(pair, len(tables.keys))))
 
     def piece(self, text: str) -> list[int]:
@@ -260,5 +263,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", digests_only: bool =
                     carried = [batch.column(names.index(c)).slice(at, row - at) for c in keep]
                     yield pa.RecordBatch.from_arrays(carried + [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [*keep, *new])
                     columns, at, size = [[] for _ in new], row, 0
+        del encoder
+        release()
 
     return docs.mapInArrow(run, schema)

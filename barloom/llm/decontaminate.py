@@ -32,6 +32,8 @@ from barloom.llm.words import Words, mix, slices
 
 ENTRY, BLOCK = 64, 8
 PART_WORDS = 2_000_000
+#: Bytes of text, and cells of passages by blocks, that a task works on at once (a matter of memory only).
+PART, CELLS = 1 << 19, 1 << 18
 K1, B = 1.2, 0.75
 THRESHOLD = 0.6
 COVER, ANSWER_COVER = 0.8, 0.5
@@ -51,7 +53,7 @@ def fold(data: np.ndarray) -> np.ndarray:
 
 
 def _words(texts: pa.Array) -> Iterator[tuple[int, Words]]:
-    for at, data, offs in slices(texts):
+    for at, data, offs in slices(texts, PART):
         yield at, Words(fold(data), offs, BREAKS)
 
 
@@ -134,7 +136,7 @@ class Index:
         row = w.row[at]
         half = base[row] + (at - w.first[row]) // ENTRY
         row_of = np.repeat(np.arange(w.rows), halves)
-        group = max(1, (1 << 21) // self.blocks)
+        group = max(1, CELLS // self.blocks)
         for lo in range(0, base[-1], group):
             hi = min(base[-1], lo + group)
             a, b = np.searchsorted(half, [lo, hi + 1])

@@ -306,7 +306,8 @@ def join_sets(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k: in
         .where("key <> low")
     )
     blocks = components(shared.select(F.col("key").alias("a"), F.col("low").alias("b")), "join-blocks")
-    links = _links(docs, nodes, written(blocks, "join-block"), rule)
+    # Written, so that the tasks that compare tiles don't hold a second Python worker for the contraction of what they find.
+    links = written(_links(docs, nodes, written(blocks, "join-block"), rule), "join-found")
     joined = components(links, "join-links").withColumnRenamed("id", "key")
     nodes = nodes.join(joined, "key", "left").withColumn("label", F.coalesce("label", "key"))
     least = nodes.where("n > 0").groupBy("label").agg(F.min("doc_id").alias("least"))

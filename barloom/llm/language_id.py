@@ -20,13 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.common import small
-from barloom.llm.words import SLICE_BYTES
 
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 15  # a power of two
 SMOOTHING = 0.5
 #: A posterior is taken over at most so many n-grams' worth of evidence, so that long texts do not all score 1.
 EVIDENCE = 60.0
+#: Characters that a task works on at once (a matter of memory only); a longer text is taken whole.
+PART = 1 << 18
 UNKNOWN = "und"
 
 _LETTER = np.zeros(0x110000, bool)
@@ -44,7 +45,7 @@ def _grams(texts: list[str | None], buckets: int) -> Iterator[tuple[int, int, li
     letters, shift = _letters(), np.uint64(64 - (buckets.bit_length() - 1))
     while at < n:
         to, size = at, 0
-        while to < n and (to == at or size + len(texts[to] or "") <= SLICE_BYTES // 2):
+        while to < n and (to == at or size + len(texts[to] or "") <= PART):
             size += len(texts[to] or "") + 1
             to += 1
         parts = [(t or "").lower() for t in texts[at:to]]

@@ -20,8 +20,9 @@ LOWER[65:91] += 32
 
 
 def powers(n: int) -> list[np.ndarray]:
+    """At least n powers and inverse powers; a worker keeps them, so not many more than its slices ask for."""
     if len(_POWERS[0]) < n:
-        size = max(n, SLICE_BYTES + 1)
+        size = -(-n // (1 << 16)) << 16
         for k, base in enumerate((_P, pow(_P, -1, 1 << 64))):
             steps = np.full(size, base, np.uint64)
             steps[0] = 1

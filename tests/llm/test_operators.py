@@ -1,9 +1,11 @@
 """Operators of the training-data pipeline against plain versions, round trips and the cases their docstrings define."""
 
 import collections
+import gc
 import hashlib
 import random
 import re
+import weakref
 import zlib
 
 import numpy as np
@@ -13,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from barloom.llm import bpe, chat, common, decontaminate, jaccard_join, language_id, mtree, passages, pii, toxicity, warc
+from barloom.llm import bpe, chat, common, decontaminate, jaccard_join, language_id, mtree, passages, pii, toxicity, warc, words
 from barloom.llm.common import components
 
 BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -621,3 +623,40 @@ def test_stars_are_sent_in_parts():
     assert max(p.num_rows for p in parts) <= 50_000
     whole = pa.Table.from_batches(parts).to_pydict()
     assert sorted(whole["a"]) == list(range(1, n)) and set(whole["b"]) == {0}
+
+
+def test_an_encoder_goes_with_its_task():
+    encoder = bpe.Encoder(bpe.Tables(BPE))
+    encoder.encode("Some words, some others.")
+    gone = weakref.ref(encoder)
+    gc.disable()
+    try:
+        del encoder
+        assert gone() is None
+    finally:
+        gc.enable()
+
+
+def test_tasks_of_the_pipeline_work_on_small_parts(monkeypatch):
+    monkeypatch.setattr(words, "_POWERS", [np.ones(1, np.uint64), np.ones(1, np.uint64)])
+    texts = [f"word{i} " * 2_000 for i in range(300)]
+    parts = list(decontaminate._words(pa.array(texts)))
+    assert sum(w.rows for _, w in parts) == 300 and max(len(w._sums) for _, w in parts) <= 1 << 20
+    assert max(map(len, words._POWERS)) <= 1 << 20
+    grams = list(language_id._grams(texts, language_id.BUCKETS))
+    assert [lo for lo, *_ in grams] == [0, *[hi for _, hi, *_ in grams[:-1]]] and grams[-1][1] == 300
+    assert max(len(row) for *_, row in grams) <= 1 << 19
+
+
+def test_a_search_in_small_groups_finds_the_same(monkeypatch):
+    rng = random.Random(15)
+    text = lambda n: " ".join(f"w{rng.randrange(5_000)}" for _ in range(n))
+    items = [(i, text(rng.randrange(5, 300))) for i in range(60)]
+    index = decontaminate.Index(items)
+    texts = pa.array([f"{text(rng.randrange(200))} {items[i % 60][1]} {text(rng.randrange(200))}" for i in range(90)] + ["", text(900)])
+    search = lambda: [index.candidates(w) for _, w in decontaminate._words(texts)]
+    found = search()
+    assert sum(map(len, found)) == 90
+    for cells in (1, 500, 1 << 21):
+        monkeypatch.setattr(decontaminate, "CELLS", cells)
+        assert search() == found
