@@ -5,10 +5,13 @@ nodes, so that a walk takes as many rounds as a word passes branches, not charac
 its length down, as the first half is spelled exactly unless the edit lies in it; that case is met in a second trie, of the
 reversed words, whose nodes stand in the same table. Every round joins the states with the edges of their nodes:
 
-* no edit yet: the edge with the word's next character is the word's own path; every other one is a replaced, an
-  inserted or a deleted character, if the rest of its label then agrees (an edit can always be put where two words first differ);
+* no edit yet: the edge with the word's next character is the word's own path; every other one is a replaced or a
+  deleted character, if the rest of its label then agrees (an edit can always be put where two words first differ);
 * one edit: only the edge that agrees is followed.
 
+Near is mutual, so every pair is walked from one side only and turned round at the end: a character is deleted but none
+inserted (the longer word finds the shorter), and replaced only by a larger one (the smaller word finds the larger).
+
 An edge can be asked for by its first character or by the one after that, so that a state meets only edges that agree in the
 character that matters. States with one edit and no characters left are neighbours where their node ends a word. A node has
 at most as many edges as there are letters, so a round makes at most some dozens of rows of a state, whatever words share a beginning.
@@ -65,10 +68,10 @@ def _paths(words: DataFrame) -> DataFrame:
     both = both.withColumn("blocks", F.when(F.col("long"), blocks).otherwise(F.array("path")))
     chain = F.expr("aggregate(blocks, array(''), (a, b) -> concat(a, array(concat('#', sha2(concat(element_at(a, -1), b), 256)))))")
     both = both.withColumn("before", F.when(F.col("long"), chain).otherwise(F.array(F.lit(""))))
-    # Position k has passed k characters; after the last one there is no next (0). A word has no nodes above the one where
-    # a word shorter by one starts, as only words of its own length and of one more or less can meet it.
-    both = both.withColumns({"at": _start(F.char_length("path")), "top": _start(F.char_length("path") - 1)})
-    steps = both.select("*", F.explode(F.sequence(F.greatest("top", F.lit(0)), F.char_length("path"))).alias("depth"))
+    # Position k has passed k characters; after the last one there is no next (0). A word has no nodes above its own start,
+    # as only words of its own length and of one more meet it, which start there or below.
+    both = both.withColumn("at", _start(F.char_length("path")))
+    steps = both.select("*", F.explode(F.sequence("at", F.char_length("path"))).alias("depth"))
     block = F.expr(f"greatest(depth - 1, 0) div {NAMED}").cast("int")
     passed = F.substring(F.get("blocks", block), F.lit(1), F.col("depth") - block * NAMED)
     after = F.substring(F.get("blocks", F.expr(f"depth div {NAMED}").cast("int")), F.col("depth") % NAMED + 1, F.lit(1))
@@ -128,7 +131,6 @@ def _stepped(states: DataFrame, asked: DataFrame) -> DataFrame:
         want("same", "1", one, F.col("rest") != ""),
         want("replaced", "2", two, fresh & (F.col("rest") != "")),
         want("dropped", "1", two, fresh & (two != "") & (one != two)),
-        want("added", "2", one, fresh),
     )
     x = states.select("word", "rest", "edits", F.explode(F.array_compact(wants)).alias("w")).select("word", "rest", "edits", "w.*").join(_hashed(asked), "at")
     m, size, kind = F.char_length("label"), F.char_length("rest"), F.col("kind")
@@ -136,33 +138,37 @@ def _stepped(states: DataFrame, asked: DataFrame) -> DataFrame:
     fits = (
         F.when(kind == "same", F.col("rest").startswith(F.col("label")))
         .when(kind == "replaced", tail == F.substring(F.col("rest"), F.lit(2), m - 1))
-        .when(kind == "dropped", F.col("label") == F.substring(F.col("rest"), F.lit(2), m))
-        .otherwise(tail == F.substring(F.col("rest"), F.lit(1), m - 1))
+        .otherwise(F.col("label") == F.substring(F.col("rest"), F.lit(2), m))
     )
-    x = x.where(fits & ((kind == "same") | (F.substring("label", 1, 1) != F.substring("rest", 1, 1))))
-    used = F.when(kind == "dropped", m + 1).when(kind == "added", m - 1).otherwise(m)
+    # Of two words that differ in one character the smaller finds the larger; a deleted one differs from the next already.
+    x = x.where(fits & ((kind != "replaced") | (F.substring("label", 1, 1) > F.substring("rest", 1, 1))))
+    used = F.when(kind == "dropped", m + 1).otherwise(m)
     return x.select("word", F.col("child").alias("node"), F.substring(F.col("rest"), used + 1, size).alias("rest"), F.when(kind == "same", F.col("edits")).otherwise(F.lit(1)).alias("edits"))
 
 
-def neighbours(words: DataFrame, name: str = "spelling") -> DataFrame:
-    """Pairs (word, near) of words that are one inserted, deleted or replaced character apart, each both ways, once."""
+def _walked(words: DataFrame, name: str) -> DataFrame:
+    """Pairs (word, near) one way each: near lacks a character of word, or has a larger one in its place."""
     paths = written(_paths(words), name)
     asked = written(_asked(written(_edges(paths), name), paths), name)
+    # The last character left out (the word before it is a neighbour if the node ends one), or one edit and all spelled.
+    done = F.expr("(edits = 0 AND char_length(rest) = 1) OR (edits = 1 AND rest = '')")
     states = written(_starts(paths), name)
-    done = []
+    found = states.where(done).select("word", "node")
     while states.head(1):
-        # The last character left out: the word before it is a neighbour if the node ends one.
-        done.append(states.where("edits = 0 AND char_length(rest) = 1").select("word", "node"))
         stepped = written(_stepped(states, asked), name)
-        done.append(stepped.where("edits = 1 AND rest = ''").select("word", "node"))
-        states = stepped.where("edits = 0 OR rest <> ''")
+        found = found.unionAll(stepped.where(done).select("word", "node"))
+        states = stepped.where("rest <> ''")
     ends = paths.select(F.element_at("stops", -1)["node"].alias("node"), F.col("word").alias("near"))
-    found = done[0] if done else states.select("word", "node")
-    for more in done[1:]:
-        found = found.unionAll(more)
     return found.join(_hashed(ends), "node").select("word", "near").distinct()
 
 
+def neighbours(words: DataFrame, name: str = "spelling") -> DataFrame:
+    """Pairs (word, near) of words that are one inserted, deleted or replaced character apart, each both ways, once."""
+    pairs = _walked(words, name)
+    way = F.explode(F.array(F.struct("word", "near"), F.struct(F.col("near").alias("word"), F.col("word").alias("near"))))
+    return pairs.select(way.alias("p")).select("p.*")
+
+
 def _roots(forms: DataFrame, name: str) -> DataFrame:
     """(word, root) of the words that have a form; a form has twice the count, so that chains are short and end."""
     cur = written(forms.select("word", F.col("form").alias("root")), name)

@@ -109,3 +109,11 @@ def test_words_meet_by_hash_tables_without_sorting_both_sides(spark):
     for df in (paths, spelling._stepped(spelling._starts(paths), asked)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_a_pair_is_walked_from_one_side(spark):
+    words = {"house": 9, "houses": 4, "mouse": 3, "hous\u00e9": 5, "ouses": 4, "horse": 7, "hourse": 3}
+    df = spark.createDataFrame(list(words.items()), "word string, n long")
+    walked = [tuple(r) for r in spelling._walked(df, "spelling").collect()]
+    assert sorted(walked) == sorted((a, b) for a in words for b in words if apart_by_one(a, b) and (len(a) > len(b) or (len(a) == len(b) and a < b)))
+    assert sorted(map(tuple, spelling.neighbours(df).collect())) == sorted(walked + [(b, a) for a, b in walked])
