@@ -3,9 +3,10 @@
 Tokens of either tokenizer are intervals of a text's bytes. Offsets where tokens of both end cut them into groups, and all pairs
 of tokens of a group are links. The work is done on Arrow columns, a block of texts at a time: token lists are flattened with
 their parent indices, a cumulative sum per parent gives the ends, an Acero hash join on (document, end) the common ends,
-and ``Table.group_by`` the links per document and the documents per pair of ids. Spark merges these partial counts,
-finds the highest count of every first id, and brings the counts back to the blocks that asked for them, by pair and then by
-block. So a block's links are stored once, packed, and counts move once per pair and block, not per link.
+and ``Table.group_by`` the links per document, for one part of the block after the other. The block counts the documents per pair
+of ids. Spark merges these partial counts, finds the highest count of every first id, and brings the counts back to the blocks
+that asked for them, by pair and then by block. So a block's links are stored once, packed, and counts move once per pair and
+block, not per link.
 
 Defined results: texts that are null or empty, or whose tokens' bytes of either tokenizer are not the text's (with one space before
 it), have no tokens: zeros and an empty string. Rows that repeat count as documents each. Texts are taken whole; a block holds one
@@ -29,12 +30,16 @@ from pyspark.sql.types import StructField, StructType
 
 from barloom.llm import byte_bpe
 from barloom.llm.bpe import _Kept
-from barloom.llm.common import small, written
+from barloom.llm.common import release, small, written
 
 #: Characters of text in a block (one text at least): a matter of memory only.
 BLOCK_CHARS = 2_500_000
 #: Characters of text that are encoded at once (one text at least): a matter of memory and speed only.
 ENCODE_CHARS = 800_000
+#: Characters of text whose tokens are linked at once (one text at least): a matter of memory and speed only.
+PART_CHARS = 200_000
+#: Words and pieces that either encoder of a task keeps of late: a matter of memory and speed only.
+KEPT = 200_000
 #: A pair of ids is one number: the first one times this, plus the second one.
 SECOND = 1 << 24
 #: Groups with more links are taken by distinct ids and their numbers.
@@ -61,13 +66,13 @@ class PieceTables:
 class PieceEncoder:
     """Encodes word by word: no token holds a space after another character, so that no merge crosses a word's beginning."""
 
-    def __init__(self, tables: PieceTables):
+    def __init__(self, tables: PieceTables, kept: int | None = None):
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_proto=tables.model)
         self.space = tables.space
         self.find = re.compile(" +[^ ]*").findall
-        self.kept = _Kept(lambda word: self._words([word])[0])
+        self.kept = _Kept(most=kept)
 
     def _words(self, words: list[str]) -> list[bytes]:
         # The model adds one space of its own before a text.
@@ -76,8 +81,8 @@ class PieceEncoder:
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Ids of each text (as bytes of int32), which begins with the added space; words that are new are encoded together."""
-        found, get = [self.find(t) for t in texts], self.kept.__getitem__
-        self.kept.learn(set().union(*found), self._words)
+        found = [self.find(t) for t in texts]
+        get = self.kept.learn(set().union(*found), self._words).__getitem__
         return [b"".join(map(get, f)) for f in found]
 
 
@@ -163,10 +168,18 @@ def _encoded(encode, texts: list[str]) -> list[bytes]:
     return out + encode(some)
 
 
-def _block(ids: pa.Array, texts: list[str], encode_a, encode_b, tokens_a: _Tokens, tokens_b: _Tokens, decimals: pa.Array, with_groups: bool) -> dict:
-    """The results of a block's texts, and its links by position in the block's sorted list of pairs."""
-    whole = [" " + t if t else "" for t in texts]
-    raw_a, raw_b = _encoded(encode_a, whole), _encoded(encode_b, whole)
+def _parts(texts: list[str]) -> Iterator[slice]:
+    """The texts of a block in parts."""
+    begin = held = 0
+    for i, t in enumerate(texts, 1):
+        held += len(t)
+        if held >= PART_CHARS or i == len(texts):
+            yield slice(begin, i)
+            begin, held = i, 0
+
+
+def _part(whole: list[str], raw_a: list[bytes], raw_b: list[bytes], tokens_a: _Tokens, tokens_b: _Tokens, decimals: pa.Array, with_groups: bool) -> tuple[dict, pa.Table]:
+    """Own results of some texts, and their links by document and pair of ids; documents begin at 0."""
     spaced = "".join(whole).encode()
     agree = all(tokens.spell(np.frombuffer(b"".join(raw), np.int32)) == spaced for raw, tokens in ((raw_a, tokens_a), (raw_b, tokens_b)))
     for i, t in enumerate(whole if not agree else ()):
@@ -176,11 +189,11 @@ def _block(ids: pa.Array, texts: list[str], encode_a, encode_b, tokens_a: _Token
     width = max(s.ends.max(initial=0) for s in (a, b)) + 1
     met = a.table("at_a", width).join(b.table("at_b", width), "end", join_type="inner", use_threads=False).sort_by("at_a")
     at_a, at_b = (met.column(c).to_numpy() for c in ("at_a", "at_b"))
+    del met
     doc = a.doc.to_numpy()[at_a]
     cut_a, cut_b = np.concatenate([[0], at_a + 1]), np.concatenate([[0], at_b + 1])
     n_a, n_b = np.diff(cut_a), np.diff(cut_b)
-    size = len(texts)
-    groups = np.bincount(doc, minlength=size)
+    groups = np.bincount(doc, minlength=len(whole))
     first_group = np.concatenate([[0], np.cumsum(groups)])
     linked = np.concatenate([[0], np.cumsum(n_a * n_b)])
 
@@ -195,12 +208,32 @@ def _block(ids: pa.Array, texts: list[str], encode_a, encode_b, tokens_a: _Token
     data = memoryview(spelled.buffers()[2] or b"")
     bounds = where[a.offsets + b.offsets]
     spelled_docs = [data[x : y - 1] if y > x else b"" for x, y in zip(bounds, bounds[1:], strict=False)]
+    rows = {
+        "n_a": np.diff(a.offsets),
+        "n_b": np.diff(b.offsets),
+        "n_groups": groups,
+        "n_links": linked[first_group[1:]] - linked[first_group[:-1]],
+        "groups_sha256": [hashlib.sha256(s).hexdigest() if len(s) else "" for s in spelled_docs],
+    }
+    if with_groups:
+        rows["groups"] = [bytes(s).decode() for s in spelled_docs]
+    del code, mark_a, mark_b, spelled, where, data, spelled_docs
+    return rows, _links(a, b, cut_a, cut_b, doc)
+
 
-    links = _links(a, b, cut_a, cut_b, doc)
-    known = links.group_by("pair", use_threads=False).aggregate([("doc", "count")]).sort_by("pair")
-    pair = known.column("pair").to_numpy()
-    of, n = links.column("doc").to_numpy().astype(np.int64), links.column("n_sum").to_numpy()
-    place = np.searchsorted(pair, links.column("pair").to_numpy())
+def _block(ids: pa.Array, texts: list[str], encode_a, encode_b, tokens_a: _Tokens, tokens_b: _Tokens, decimals: pa.Array, with_groups: bool) -> dict:
+    """The results of a block's texts, and its links by position in the block's sorted list of pairs."""
+    whole = [" " + t if t else "" for t in texts]
+    raw_a, raw_b = _encoded(encode_a, whole), _encoded(encode_b, whole)
+    made, of, pairs, n = [], [], [], []
+    for at in _parts(whole):
+        part, links = _part(whole[at], raw_a[at], raw_b[at], tokens_a, tokens_b, decimals, with_groups)
+        made.append(part)
+        of.append(links.column("doc").to_numpy().astype(np.int64) + at.start)
+        pairs.append(links.column("pair").to_numpy())
+        n.append(links.column("n_sum").to_numpy())
+    of, n = np.concatenate(of), np.concatenate(n)
+    pair, place, n_docs = np.unique(np.concatenate(pairs), return_inverse=True, return_counts=True)
     order = np.argsort(of * (len(pair) + 1) + place, kind="stable")
     of, place, n = of[order], place[order], n[order]
     if len(n) and n.max() >= 1 << 32:
@@ -209,15 +242,12 @@ def _block(ids: pa.Array, texts: list[str], encode_a, encode_b, tokens_a: _Token
     step[np.flatnonzero(np.diff(of, prepend=-1))] = place[np.flatnonzero(np.diff(of, prepend=-1))]
     rows = {
         "id": ids,
-        "n_a": np.diff(a.offsets),
-        "n_b": np.diff(b.offsets),
-        "n_groups": groups,
-        "n_links": linked[first_group[1:]] - linked[first_group[:-1]],
-        "groups_sha256": [hashlib.sha256(s).hexdigest() if len(s) else "" for s in spelled_docs],
-        "n_pairs": np.bincount(of, minlength=size),
+        **{c: np.concatenate([part[c] for part in made]) for c in COUNTS},
+        "groups_sha256": [s for part in made for s in part["groups_sha256"]],
+        "n_pairs": np.bincount(of, minlength=len(texts)),
     }
     if with_groups:
-        rows["groups"] = pa.array([bytes(s).decode() for s in spelled_docs], pa.large_string())
+        rows["groups"] = pa.array([s for part in made for s in part["groups"]], pa.large_string())
     sink = pa.BufferOutputStream()
     table = pa.table(rows)
     with pa.ipc.new_stream(sink, table.schema) as writer:
@@ -229,7 +259,7 @@ def _block(ids: pa.Array, texts: list[str], encode_a, encode_b, tokens_a: _Token
         "steps": _packed(step),
         "times": _packed(n),
         "pairs": pair,
-        "n_docs": known.column("doc_count").to_numpy(),
+        "n_docs": n_docs,
     }
 
 
@@ -242,7 +272,7 @@ def blocks(docs: DataFrame, a: byte_bpe.Tables, pattern: str, b: PieceTables, id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table_a, table_b = shared.value
-        encode_a, encode_b = byte_bpe.Encoder(table_a, pattern).ids, PieceEncoder(table_b).ids
+        encode_a, encode_b = byte_bpe.Encoder(table_a, pattern, KEPT).ids, PieceEncoder(table_b, KEPT).ids
         tokens_a, tokens_b = _Tokens(table_a.texts), _Tokens(table_b.texts)
         decimals = _decimals(len(table_a.texts), len(table_b.texts))
         ids, texts, held, no = [], [], 0, 0
@@ -265,6 +295,7 @@ def blocks(docs: DataFrame, a: byte_bpe.Tables, pattern: str, b: PieceTables, id
                 if held >= block_chars:
                     yield out()
                     ids, texts, held, no = [], [], 0, no + 1
+                    release()
         if texts:
             yield out()
 

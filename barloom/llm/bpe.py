@@ -106,8 +106,8 @@ class Tables:
 class _Kept(dict):
     """A store of results by key that keeps what was asked for of late: two generations of half the size."""
 
-    def __init__(self, make):
-        self.make, self.older = make, {}
+    def __init__(self, make=None, most: int | None = None):
+        self.make, self.older, self.most = make, {}, most
 
     def __missing__(self, key):
         found = self.older.get(key)
@@ -117,16 +117,20 @@ class _Kept(dict):
         return found
 
     def put(self, key, found) -> None:
-        if len(self) >= KEPT // 2:
+        if len(self) >= (self.most or KEPT) // 2:
             self.older = dict(self)
             self.clear()
         self[key] = found
 
-    def learn(self, keys: set, make_many) -> None:
-        """Those of the keys that are not known, made all at once."""
-        new = [k for k in keys if k not in self and k not in self.older]
-        for key, found in zip(new, make_many(new), strict=True) if new else ():
+    def learn(self, keys: set, make_many) -> dict:
+        """Results of all the keys, also of more than are kept; those that are not known are made all at once."""
+        out = {k: found for k in keys if (found := self.get(k)) is not None}
+        again = {k: found for k in keys - out.keys() if (found := self.older.get(k)) is not None}
+        new = [k for k in keys if k not in out and k not in again]
+        more = again | dict(zip(new, make_many(new), strict=True)) if new else again
+        for key, found in more.items():
             self.put(key, found)
+        return out | more
 
 
 class Encoder:

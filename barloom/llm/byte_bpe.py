@@ -19,6 +19,7 @@ import base64
 import hashlib
 import heapq
 import json
+import weakref
 from array import array
 from collections.abc import Iterator
 
@@ -83,13 +84,15 @@ class Tables:
 class Encoder:
     """Encodes pieces inside a task."""
 
-    def __init__(self, tables: Tables, pattern: str):
+    def __init__(self, tables: Tables, pattern: str, kept: int | None = None):
         import regex
 
         self.t = tables
         self.find = regex.compile(pattern)
-        self.kept = _Kept(self._piece)
-        self.kept_ids = _Kept(lambda piece: array("i", self.merged(piece.encode())).tobytes())
+        # The store doesn't hold the encoder: it goes with its task, not when Python looks for cycles.
+        me = weakref.proxy(self)
+        self.kept = _Kept(lambda piece: me._piece(piece), kept)
+        self.kept_ids = _Kept(most=kept)
         self.blob = np.frombuffer(tables.blob, np.uint8)
         pairs = np.array(sorted(tables.merges.items()), np.int64).reshape(-1, 2)
         # One pair more that is none, so that every place in the list is there.
@@ -190,8 +193,8 @@ class Encoder:
         """Ids (as bytes of int32) of a text, or of each of a list; pieces that are new are merged together."""
         if isinstance(texts, str):
             return self.ids([texts])[0]
-        found, get = [self.find.findall(t) for t in texts], self.kept_ids.__getitem__
-        self.kept_ids.learn(set().union(*found), self.merged_many)
+        found = [self.find.findall(t) for t in texts]
+        get = self.kept_ids.learn(set().union(*found), self.merged_many).__getitem__
         return [b"".join(map(get, f)) for f in found]
 
     def decode(self, ids: np.ndarray) -> bytes:

@@ -1,15 +1,19 @@
 """Links between two tokenizers' tokens against a plain version with the libraries, and the cases that the docstring defines."""
 
 import collections
+import gc
 import hashlib
+import tracemalloc
+import weakref
 
+import pyarrow as pa
 import public_tokenizers as P
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
 from barloom.llm import align, byte_bpe
-from barloom.llm.bpe import _byte_letters
+from barloom.llm.bpe import _byte_letters, _Kept
 
 
 @pytest.fixture(scope="module")
@@ -124,8 +128,6 @@ def test_wide_groups_are_counted_like_others(spark, tables, plain, monkeypatch):
         monkeypatch.setattr(align, "WIDE", wide)
         a, pattern, b = tables
         enc_a, enc_b = byte_bpe.Encoder(a, pattern).ids, align.PieceEncoder(b).ids
-        import pyarrow as pa
-
         got[wide] = align._block(pa.array(range(len(texts))), texts, enc_a, enc_b, align._Tokens(a.texts), align._Tokens(b.texts), align._decimals(len(a.texts), len(b.texts)), False)
     for key in ("pairs", "n_docs"):
         assert got[0][key].tolist() == got[10**9][key].tolist()
@@ -156,3 +158,72 @@ def test_words_that_are_new_are_encoded_together(tables, plain):
     got = align._encoded(pieces.ids, texts)
     assert len(calls) == 1 and len(calls[0]) > 20
     assert [list(memoryview(x).cast("i")) for x in got] == [model.encode(t[1:]) for t in texts]
+
+
+def test_encoders_go_with_their_task(tables):
+    a, pattern, b = tables
+    encoders = [byte_bpe.Encoder(a, pattern), align.PieceEncoder(b)]
+    for e in encoders:
+        e.ids([" Some words, some others."])
+    gone = [weakref.ref(e) for e in encoders]
+    gc.disable()
+    try:
+        del e, encoders
+        assert [g() for g in gone] == [None, None]
+    finally:
+        gc.enable()
+
+
+def test_a_block_is_linked_in_parts(tables):
+    a, pattern, b = tables
+    encoded = [byte_bpe.Encoder(a, pattern).ids, align.PieceEncoder(b).ids]
+    tokens, decimals = [align._Tokens(t.texts) for t in (a, b)], align._decimals(len(a.texts), len(b.texts))
+
+    def peak(n):
+        texts = [" ".join(f"some words {i * k} here" for k in range(100)) for i in range(n)]
+        texts[1::7] = [None] * len(texts[1::7])
+        ids = pa.array(range(n))
+        texts = [t or "" for t in texts]
+        for e in encoded:
+            align._encoded(e, [" " + t for t in texts if t])
+        tracemalloc.start()
+        found = align._block(ids, texts, *encoded, *tokens, decimals, False)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return most, found
+
+    # Eight times the texts: one part would take eight times as much.
+    (few, _), (many, found) = peak(100), peak(800)
+    assert many < 4 * few
+    assert len(found["pairs"]) == len(found["n_docs"]) and max(found["n_docs"]) == 800 - len(range(1, 800, 7))
+
+
+@pytest.mark.parametrize("part_chars", [1, 40, 10**9])
+def test_parts_don_t_show(tables, monkeypatch, part_chars):
+    a, pattern, b = tables
+    encoded = [byte_bpe.Encoder(a, pattern).ids, align.PieceEncoder(b).ids]
+    texts = [t or "" for t in TEXTS]
+    got = []
+    for size in (align.PART_CHARS, part_chars):
+        monkeypatch.setattr(align, "PART_CHARS", size)
+        got.append(align._block(pa.array(range(len(texts))), texts, *encoded, align._Tokens(a.texts), align._Tokens(b.texts), align._decimals(len(a.texts), len(b.texts)), True))
+    for x, y in zip(got[0].values(), got[1].values(), strict=True):
+        assert bytes(x) == bytes(y) if not isinstance(x, int) else x == y
+
+
+def test_more_new_words_than_are_kept(tables, plain):
+    store, calls = _Kept(most=4), []
+
+    def make(keys):
+        calls.append(sorted(keys))
+        return [k * 2 for k in keys]
+
+    assert store.learn(set(range(1, 10)), make) == {k: 2 * k for k in range(1, 10)}
+    assert len(store) + len(store.older) <= 4
+    kept = {*store, *store.older}
+    assert store.learn({*kept, 50}, make)[50] == 100
+    assert calls == [list(range(1, 10)), [50]]
+    a, pattern, b = tables
+    texts = [" " + t for t in TEXTS if t]
+    for few, many in ((byte_bpe.Encoder(a, pattern, 4), byte_bpe.Encoder(a, pattern)), (align.PieceEncoder(b, 4), align.PieceEncoder(b))):
+        assert few.ids(texts) == few.ids(texts) == many.ids(texts)
